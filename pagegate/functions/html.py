@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegate.functions.text import WS, collapse_ws
+from pagegate.functions.text import WS, collapse_ws, let
 
 Q = "[\"']"
 
@@ -123,15 +123,19 @@ def is_html(body: Column, content_type: Column) -> Column:
 
 def tag_chunks(html: Column, tag: str) -> Column:
     """Array of (tag text, text before it) for every `<tag ...>`, in document order."""
-    parts = F.split(html, rf"(?i)(?=<{tag}\b)")
-    indexed = F.transform(
-        parts,
-        lambda part, i: F.struct(
-            F.regexp_extract(part, rf"(?i)^<{tag}\b[^>]*>", 0).alias("tag"),
-            F.array_join(F.slice(parts, 1, i), "").alias("before"),
+    return let(
+        F.split(html, rf"(?i)(?=<{tag}\b)"),
+        lambda parts: F.filter(
+            F.transform(
+                parts,
+                lambda part, i: F.struct(
+                    F.regexp_extract(part, rf"(?i)^<{tag}\b[^>]*>", 0).alias("tag"),
+                    F.array_join(F.slice(parts, 1, i), "").alias("before"),
+                ),
+            ),
+            lambda p: p["tag"] != "",
         ),
     )
-    return F.filter(indexed, lambda p: p["tag"] != "")
 
 
 def _last_start(before: Column, pattern: str) -> Column:
@@ -165,14 +169,14 @@ def heading_at(before: Column) -> Column:
 
 def section_at(before: Column) -> Column:
     """Readable page location: heading, landmark, or both."""
-    heading, region = heading_at(before), region_at(before)
-    return (
-        F.when(
-            heading.isNotNull(),
-            F.concat(F.lit("“"), heading, F.lit("”"), F.coalesce(F.concat(F.lit(" ("), region, F.lit(")")), F.lit(""))),
-        )
-        .otherwise(F.coalesce(region, F.lit("—")))
-    )
+
+    def label(at: Column) -> Column:
+        inside = F.coalesce(F.concat(F.lit(" ("), at["region"], F.lit(")")), F.lit(""))
+        return F.when(
+            at["heading"].isNotNull(), F.concat(F.lit("“"), at["heading"], F.lit("”"), inside)
+        ).otherwise(F.coalesce(at["region"], F.lit("—")))
+
+    return let(F.struct(heading_at(before).alias("heading"), region_at(before).alias("region")), label)
 
 
 def image_source(tag: Column) -> Column:
@@ -200,23 +204,24 @@ ATTR_PAIR = "([a-zA-Z_:][-a-zA-Z0-9_:.]*)" + f"{WS}*={WS}*" + "(\"[^\"]*\"|'[^']
 
 def attr_map(tag_body: Column) -> Column:
     """All attributes of a tag body as a map; a later duplicate wins, bare disabled/hidden count as empty."""
-    names = F.transform(find_all(tag_body, ATTR_PAIR, 1), lambda n: F.lower(n))
-    values = F.transform(
-        find_all(tag_body, ATTR_PAIR, 2), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", "")
-    )
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    # the last pair of each name wins, which a map built from raw duplicates would reject
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]),
+    pairs = F.zip_with(
+        find_all(tag_body, ATTR_PAIR, 1),
+        find_all(tag_body, ATTR_PAIR, 2),
+        lambda n, v: F.struct(F.lower(n).alias("k"), F.regexp_replace(v, "^[\"']|[\"']$", "").alias("v")),
     )
     bare = F.transform(
         F.array_distinct(
-            F.transform(
-                find_all(tag_body, rf"(?i)(?:^|{WS})(disabled|hidden)(?={WS}|$|/)", 1), lambda b: F.lower(b)
-            )
+            F.transform(find_all(tag_body, rf"(?i)(?:^|{WS})(disabled|hidden)(?={WS}|$|/)", 1), F.lower)
         ),
         lambda b: F.struct(b.alias("k"), F.lit("").alias("v")),
     )
-    extra = F.filter(bare, lambda b: ~F.array_contains(names, b["k"]))
-    return F.map_from_entries(F.concat(last, extra))
+    # bare ones first: a written value of the same attribute comes later and wins
+    return let(
+        F.concat(bare, pairs),
+        lambda all_: F.map_from_entries(
+            F.filter(
+                all_,
+                lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["k"] == p["k"]),
+            )
+        ),
+    )

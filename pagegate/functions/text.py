@@ -10,6 +10,11 @@ WS = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\uf
 NON_WS = "[^" + WS[1:]
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -34,23 +39,28 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"))
 
 
-def syllables(word: Column) -> Column:
-    """Syllable estimate of one word: silent endings dropped, then vowel groups of at most two."""
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    body = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
+def syllables(prose: Column) -> Column:
+    """Syllable estimate of collapsed prose, counted over the whole text at once.
+
+    A word of one to three letters counts one. A longer word loses a silent ending and a leading y,
+    then counts its vowel groups of at most two letters, and at least one.
+    """
+    letters = F.regexp_replace(F.lower(prose), "[^a-z ]", "")
+    short = F.regexp_count(letters, F.lit("(?<![a-z])[a-z]{1,3}(?![a-z])"))
+    longer = F.regexp_count(letters, F.lit("[a-z]{4,}"))
+    body = F.regexp_replace(letters, "(?<![a-z])[a-z]{1,3}(?![a-z])", "")
+    body = F.regexp_replace(body, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", "")
+    body = F.regexp_replace(body, "(?<![a-z])y", "")
     groups = F.regexp_count(body, F.lit("[aeiouy]{1,2}"))
-    return (
-        F.when(w == "", 0).when(F.length(w) <= 3, 1).when(groups == 0, 1).otherwise(groups).cast("int")
-    )
+    voiced = F.regexp_count(body, F.lit("[a-z]*[aeiouy][a-z]*"))
+    return short + groups + longer - voiced
 
 
 def flesch_reading_ease(prose: Column) -> Column:
     """Flesch reading ease of collapsed prose; null below 30 words."""
-    words = word_list(prose)
-    n = F.size(words).cast("double")
+    n = F.size(word_list(prose)).cast("double")
     sentences = F.greatest(F.regexp_count(prose, F.lit("[.!?]+")), F.lit(1)).cast("double")
-    total = F.aggregate(words, F.lit(0), lambda acc, w: acc + syllables(w)).cast("double")
-    score = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (total / n)
+    score = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (syllables(prose) / n)
     return F.when(n >= 30, score)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegate.functions.html import first_match, matches
-from pagegate.functions.text import WS, js_trim
+from pagegate.functions.text import WS, js_trim, let
 
 # Host names that look like a staging or preview site.
 STAGING_HOST = r"(?i)\b(?:[A-Za-z0-9_-]+\.)*(?:staging|qa[0-9]?|dev|preview|test)\.[a-z0-9-]+\.[a-z]{2,}\b"
@@ -34,16 +34,23 @@ def raw_path(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """Path without trailing slashes, '/' for the root; text that is no URL stays as it is."""
-    p = F.regexp_replace(percent_path(raw_path(url)), "/+$", "")
-    return F.when(host_of(url).isNull(), url).otherwise(F.when(p == "", "/").otherwise(p))
+    path = let(
+        percent_path(raw_path(url)),
+        lambda p: F.coalesce(F.nullif(F.regexp_replace(p, "/+$", ""), F.lit("")), F.lit("/")),
+    )
+    return F.when(host_of(url).isNull(), url).otherwise(path)
 
 
 def percent_path(path: Column) -> Column:
     """Percent-encodes what a URL path may not carry (spaces, quotes, non-ASCII)."""
-    enc = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
-    for ch in PATH_KEEPS:
-        enc = F.replace(enc, F.lit("%%%02X" % ord(ch)), F.lit(ch))
-    return F.when(matches(path, r"[^!#-;=?-_a-z|~]"), enc).otherwise(path)
+
+    def encode(p: Column) -> Column:
+        enc = F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+        for ch in PATH_KEEPS:
+            enc = F.replace(enc, F.lit("%%%02X" % ord(ch)), F.lit(ch))
+        return F.when(p.rlike(r"[^!#-;=?-_a-z|~]"), enc).otherwise(p)
+
+    return let(path, encode)
 
 
 def drop_fragment(url: Column) -> Column:
@@ -52,51 +59,63 @@ def drop_fragment(url: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Resolves `.` and `..` segments of an absolute path."""
-    segs = F.split(path, "/")
-    kept = F.aggregate(
-        F.slice(segs, 2, F.size(segs)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    ends_in_dot = matches(path, r"/\.\.?$")
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    fixed = F.when(ends_in_dot & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(matches(path, r"/\.\.?(/|$)"), fixed).otherwise(path)
+
+    def resolve(p: Column) -> Column:
+        kept = F.aggregate(
+            F.split(F.substring(p, 2, 1 << 30), "/"),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        closed = F.when(p.rlike(r"/\.\.?$"), "/").otherwise("")
+        joined = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), closed), "^/+$", "/")
+        return F.when(p.rlike(r"/\.\.?(/|$)"), joined).otherwise(p)
+
+    return let(path, resolve)
 
 
 def abs_url(ref: Column, base: Column) -> Column:
-    """`ref` resolved against the page it stands on; null when it cannot be one."""
-    ref = js_trim(ref)
-    origin = origin_of(base)
-    scheme = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:", 0)
-    base_path = raw_path(base)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
-    ref_path = F.regexp_extract(ref, "^[^?#]*", 0)
-    rest = F.regexp_replace(ref, "(?s)^[^?#]*", "")
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    absolute = matches(ref, "(?i)^https?://[^/?#]+")
-    full_path = F.when(raw_path(ref) == "", F.lit("/")).otherwise(percent_path(_without_dots(raw_path(ref))))
-    return (
-        F.when(origin.isNull(), F.lit(None).cast("string"))
-        .when(absolute, F.concat(origin_of(ref), full_path, F.regexp_replace(ref, "(?s)^[^?#]*", "")))
-        .when(matches(ref, "(?i)^[a-z][a-z0-9+.-]*:"), F.when(matches(ref, "(?i)^https?:"), None).otherwise(ref))
-        .when(
-            ref.startswith("//"),
-            F.concat(
-                F.lower(F.concat(scheme, F.regexp_extract(ref, "^//[^/?#]*", 0))),
-                F.regexp_replace(F.regexp_extract(ref, "^//[^/?#]*([^?#]*)", 1), "^$", "/"),
-                rest,
-            ),
+    """`ref` resolved against the page it stands on; null when it cannot be one.
+
+    The three parts (origin, path, query and fragment) are chosen by the form of the reference and
+    put together once.
+    """
+
+    def resolve(r: Column) -> Column:
+        base_path = raw_path(base)
+        own_path = F.when(base_path == "", "/").otherwise(base_path)
+        folder = F.when(base_path == "", "/").otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+        web = r.rlike("(?i)^https?://[^/?#]+")
+        with_host = r.startswith("//")
+        bare = (r == "") | r.startswith("#")
+        origin = (
+            F.when(web, origin_of(r))
+            .when(with_host, F.lower(F.concat(F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:", 0), F.regexp_extract(r, "^//[^/?#]*", 0))))
+            .otherwise(origin_of(base))
         )
-        .when(ref.startswith("/"), F.concat(origin, percent_path(_without_dots(ref_path)), rest))
-        .when(ref.startswith("?"), F.concat(origin, F.when(base_path == "", F.lit("/")).otherwise(base_path), rest))
-        .when(
-            (ref == "") | ref.startswith("#"),
-            F.concat(origin, F.when(base_path == "", F.lit("/")).otherwise(base_path), base_query, rest),
+        path = (
+            F.when(web, F.regexp_replace(raw_path(r), "^$", "/"))
+            .when(with_host, F.regexp_replace(F.regexp_extract(r, "^//[^/?#]*([^?#]*)", 1), "^$", "/"))
+            .when(bare | r.startswith("?"), own_path)
+            .when(r.startswith("/"), F.regexp_extract(r, "^[^?#]*", 0))
+            .otherwise(F.concat(folder, F.regexp_extract(r, "^[^?#]*", 0)))
         )
-        .otherwise(F.concat(origin, percent_path(_without_dots(F.concat(folder, ref_path))), rest))
+        kept_query = F.when(bare, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)).otherwise("")
+        rest = F.concat(kept_query, F.regexp_replace(r, "(?s)^[^?#]*", ""))
+        other_scheme = r.rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~web
+        return (
+            F.when(other_scheme, F.when(~r.rlike("(?i)^https?:"), r))
+            .otherwise(F.concat(origin, percent_path(_without_dots(path)), rest))
+        )
+
+    return let(js_trim(ref), resolve)
+
+
+def resolved_host(ref: Column, base: Column) -> Column:
+    """Host a reference leads to; relative references stay on the page's host."""
+    return F.coalesce(
+        host_of(js_trim(ref)), F.lower(first_match(js_trim(ref), "^//([^/?#]+)", 1)), host_of(base)
     )
 
 
@@ -159,69 +178,66 @@ def uri_scheme(uri: Column) -> Column:
     return F.lower(first_match(js_trim(uri), "(?i)^([a-z][a-z0-9+.-]*):", 1))
 
 
-def validate_uri(uri: Column) -> Column:
-    """Struct (scheme, valid, level, reason) for one link target."""
-    raw = F.coalesce(js_trim(uri), F.lit(""))
-    scheme = uri_scheme(raw)
-    after = F.regexp_replace(raw, "(?i)^[a-z][a-z0-9+.-]*:", "")
-    address = F.element_at(F.split(after, r"\?"), 1)
-    bad_mail = F.filter(
-        F.transform(F.split(address, ","), lambda a: js_trim(a)), lambda a: ~a.rlike(EMAIL)
+def _uri_verdict(name, valid: bool, level: str, reason) -> Column:
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
+        as_col(name).cast("string").alias("scheme"),
+        F.lit(valid).alias("valid"),
+        F.lit(level).alias("level"),
+        as_col(reason).alias("reason"),
     )
 
-    def verdict(name, valid, level, reason):
-        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-        return F.struct(
-            as_col(name).cast("string").alias("scheme"),
-            as_col(valid).alias("valid"),
-            as_col(level).alias("level"),
-            as_col(reason).alias("reason"),
-        )
 
-    well_formed = matches(raw, f"(?i)^(https?|ftp)://[^/?#{WS[1:-1]}]+[^{WS[1:-1]}]*$|^blob:")
-    return (
-        F.when(raw == "", verdict(None, False, "invalid", "empty URI"))
-        .when(raw == "#", verdict(None, False, "invalid", 'fragment-only "#" (no target)'))
-        .when(scheme.isNull() & raw.startswith("#"), verdict("fragment", True, "ok", "in-page anchor"))
-        .when(scheme.isNull(), verdict("relative", True, "ok", "relative URL"))
-        .when(
-            scheme.isin("http", "https", "ftp", "blob"),
-            F.when(well_formed, verdict(scheme, True, "ok", "well-formed")).otherwise(
-                verdict(scheme, False, "invalid", F.concat(F.lit("malformed "), scheme, F.lit(" URL")))
-            ),
-        )
-        .when(
-            scheme == "mailto",
-            F.when(address == "", verdict(scheme, False, "invalid", "mailto with no address"))
+def validate_uri(uri: Column) -> Column:
+    """Struct (scheme, valid, level, reason) for one link target."""
+    ok = lambda name, reason: _uri_verdict(name, True, "ok", reason)
+    bad = lambda name, reason: _uri_verdict(name, False, "invalid", reason)
+
+    def check(u: Column) -> Column:
+        raw, scheme, after = u["raw"], u["scheme"], u["after"]
+        address = F.element_at(F.split(after, r"\?"), 1)
+        bad_mail = F.filter(F.transform(F.split(address, ","), js_trim), lambda a: ~a.rlike(EMAIL))
+        well_formed = raw.rlike(f"(?i)^(https?|ftp)://[^/?#{WS[1:-1]}]+[^{WS[1:-1]}]*$|^blob:")
+        number = F.when(address == "", "(empty)").otherwise(address)
+        return (
+            F.when(raw == "", bad(None, "empty URI"))
+            .when(raw == "#", bad(None, 'fragment-only "#" (no target)'))
+            .when(scheme.isNull() & raw.startswith("#"), ok("fragment", "in-page anchor"))
+            .when(scheme.isNull(), ok("relative", "relative URL"))
+            .when(scheme.isin("http", "https", "ftp", "blob") & well_formed, ok(scheme, "well-formed"))
             .when(
-                F.size(bad_mail) > 0,
-                verdict(scheme, False, "invalid", F.concat(F.lit("invalid email: "), F.try_element_at(bad_mail, F.lit(1)))),
+                scheme.isin("http", "https", "ftp", "blob"),
+                bad(scheme, F.concat(F.lit("malformed "), scheme, F.lit(" URL"))),
             )
-            .otherwise(verdict(scheme, True, "ok", "valid mailto")),
-        )
-        .when(
-            scheme.isin("tel", "sms"),
-            F.when(address.rlike(PHONE), verdict(scheme, True, "ok", F.concat(F.lit("valid "), scheme))).otherwise(
-                verdict(
-                    scheme,
-                    False,
-                    "invalid",
-                    F.concat(F.lit("invalid phone number: "), F.when(address == "", F.lit("(empty)")).otherwise(address)),
-                )
-            ),
-        )
-        .when(
-            scheme == "javascript",
-            F.when(
-                js_trim(after).rlike(rf"^(void{WS}*\({WS}*0{WS}*\)|;?)$"),
-                verdict(scheme, False, "invalid", "javascript: no-op (dead control)"),
-            ).otherwise(verdict(scheme, True, "warning", "javascript: URI — inline handler, prefer real handler")),
+            .when((scheme == "mailto") & (address == ""), bad(scheme, "mailto with no address"))
+            .when(
+                (scheme == "mailto") & (F.size(bad_mail) > 0),
+                bad(scheme, F.concat(F.lit("invalid email: "), F.try_element_at(bad_mail, F.lit(1)))),
+            )
+            .when(scheme == "mailto", ok(scheme, "valid mailto"))
+            .when(scheme.isin("tel", "sms") & address.rlike(PHONE), ok(scheme, F.concat(F.lit("valid "), scheme)))
+            .when(scheme.isin("tel", "sms"), bad(scheme, F.concat(F.lit("invalid phone number: "), number)))
+            .when(
+                (scheme == "javascript") & raw.rlike(JS_NOOP), bad(scheme, "javascript: no-op (dead control)")
+            )
+            .when(
+                scheme == "javascript",
+                _uri_verdict(scheme, True, "warning", "javascript: URI — inline handler, prefer real handler"),
+            )
+            .when(scheme == "data", _uri_verdict(scheme, True, "informational", "data: URI (inline payload)"))
+            .otherwise(bad(scheme, F.concat(F.lit("unsupported scheme: "), scheme)))
         )
-        .when(scheme == "data", verdict(scheme, True, "informational", "data: URI (inline payload)"))
-        .otherwise(verdict(scheme, False, "invalid", F.concat(F.lit("unsupported scheme: "), scheme)))
+
+    raw = F.coalesce(js_trim(uri), F.lit(""))
+    parts = F.struct(
+        raw.alias("raw"),
+        uri_scheme(raw).alias("scheme"),
+        F.regexp_replace(raw, "(?i)^[a-z][a-z0-9+.-]*:", "").alias("after"),
     )
+    return let(parts, check)
 
 
 def is_dead_target(uri: Column) -> Column:
-    v = validate_uri(uri)
-    return ~v["valid"] & (v["scheme"].isNull() | (v["scheme"] == "javascript"))
+    """Empty, a bare `#`, or a javascript no-op: nothing a click could reach."""
+    raw = js_trim(uri)
+    return (raw == "") | (raw == "#") | raw.rlike(JS_NOOP)

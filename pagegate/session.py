@@ -45,3 +45,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads see fixed rows even when an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a scan of fewer splits than cores over all cores; a larger scan stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
