@@ -62,7 +62,7 @@ BODY = {
     13: '<div class="cookie-banner">c</div><a href="tel:+1 555 123 4567">call</a><div class="accordion">a</div>'
         '<div class="modal">m</div><video src="/v/clip.mp4"></video><a href="/files/guide.pdf">guide</a>',
     14: "</template><p>We delve into things. It's important to note that we delve into more, a testament to all.</p>"
-        + "".join(f"<p>{' '.join(['steady'] * 39)} para{i}</p>" for i in range(10)),
+        + "".join(f"<p>{' '.join(['steady'] * 39)} para{i}</p>" for i in range(60)),
 }
 
 # Response headers by page_id % 4, each value as SQL text; a null leaves the header out.
@@ -97,7 +97,7 @@ STATUS_SQL = (
 LOCATION_SQL = "CASE WHEN page_id % 23 = 2 AND page_id % 46 = 2 THEN concat('/moved/', CAST(page_id AS VARCHAR(20))) END"
 
 _DOCTYPE = (
-    "CASE page_id % 16 WHEN 14 THEN replace(html, '<article>', '<article><template>') "
+    "CASE page_id % 16 WHEN 14 THEN replace(html, '<body>', '<body><template>') "
     "WHEN 12 THEN replace(replace(html, ' lang=', ' data-lang='), '<!DOCTYPE html>', "
     + quoted('<!DOCTYPE HTML PUBLIC "-//W3C//DTD HTML 4.01//EN">')
     + ") WHEN 13 THEN replace(replace(html, '<!DOCTYPE html>', ''), '<meta charset=\"utf-8\">', '') ELSE html END"
@@ -158,3 +158,96 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("error_code"),
         F.col("page_id").alias("ord"),
     )
+
+
+# ---- site-level facts, one row per site, drawn from its smallest page id `k` -----------------
+
+ORIGIN_SQL = "CASE WHEN k % 6 = 0 THEN concat('http://', site) ELSE concat('https://', site) END"
+ROBOTS_STATUS = "CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END"
+ROBOTS_BODY = (
+    "CASE WHEN k % 7 = 1 THEN concat('User-agent: *', chr(10), 'Disallow: /') "
+    "WHEN k % 7 = 2 THEN concat('User-agent: *', chr(10), 'Disallow:') "
+    "ELSE concat('User-agent: *', chr(10), 'Sitemap: https://', site, '/sitemap.xml') END"
+)
+HAD_SITEMAP = "k % 3 <> 1"
+SOFT404_STATUS = "CASE WHEN k % 5 = 1 THEN 200 ELSE 404 END"
+TWIN_STATUS = "CASE WHEN k % 4 = 1 THEN 200 ELSE 301 END"
+EXPOSED = (
+    ("/.git/config", "k % 8 = 1", "concat('[core]', chr(10), 'bare = false')", "'text/plain'"),
+    ("/.env", "k % 8 = 2", "'SECRET_KEY=abc'", "'text/plain'"),
+    ("/.env", "k % 8 = 3", "'<html><body>SECRET_KEY=abc</body></html>'", "'text/html'"),
+    ("/backup.zip", "k % 8 = 4", "'PK'", "'application/zip'"),
+    ("/wp-config.php.bak", "k % 8 = 5", "'DB_PASSWORD'", "'text/plain'"),
+)
+INDEX_BODY = "CASE WHEN k % 9 = 4 THEN '<title>Index of /</title>' ELSE '<title>Home</title>' END"
+TLS = {
+    "reachable": "k % 11 <> 3",
+    "days_remaining": "k % 60 - 8",
+    "authorized": "k % 13 <> 5",
+    "cert_name": "CASE WHEN k % 10 = 7 THEN 'other.example.com' WHEN k % 2 = 0 THEN site "
+                 "ELSE concat('*', substr(site, strpos(site, '.'))) END",
+    "protocol": "CASE WHEN k % 6 = 5 THEN 'TLSv1.1' ELSE 'TLSv1.3' END",
+}
+
+
+def sites_sql() -> str:
+    return f"SELECT site, '{SCAN}' AS scan_id, min(page_id) AS k FROM (SELECT page_id, {SITE_SQL} AS site FROM pages) GROUP BY site"
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _read(spark, sf_dir, "pages")
+        .select(F.expr(SITE_SQL).alias("site"), "page_id")
+        .groupBy("site")
+        .agg(F.min("page_id").alias("k"))
+        .select("site", F.lit(SCAN).alias("scan_id"), "k")
+    )
+
+
+def _spark(sql: str):
+    return F.expr(sql.replace("strpos(", "instr("))
+
+
+def site_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).select(
+        "site", "scan_id", F.expr(ORIGIN_SQL).alias("origin"), F.lit("live").alias("env"),
+        F.expr(HAD_SITEMAP).alias("had_sitemap"),
+    )
+
+
+def robots_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).select(
+        "site", "scan_id", F.expr(ROBOTS_STATUS).alias("status"), F.expr(ROBOTS_BODY).alias("body")
+    )
+
+
+def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sites(spark, sf_dir)
+    row = lambda kind, path, status, ctype, body: s.select(
+        "site", "scan_id", F.lit(kind).alias("kind"), F.lit(path).alias("path"),
+        F.concat(F.expr(ORIGIN_SQL), F.lit(path)).alias("url"), F.expr(status).alias("status"),
+        F.expr(ctype).alias("content_type"), F.expr(body).alias("body"),
+    )
+    out = row("unknown-path", "/__no_such_page", SOFT404_STATUS, "'text/html'", "''")
+    out = out.unionByName(row("http-origin", "", TWIN_STATUS, "'text/html'", "''"))
+    out = out.unionByName(row("origin", "", "200", "'text/html'", INDEX_BODY))
+    for path, cond, body, ctype in EXPOSED:
+        out = out.unionByName(row("exposure", path, f"CASE WHEN {cond} THEN 200 ELSE 404 END", ctype, body))
+    return out
+
+
+def tls_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).select(
+        "site", "scan_id",
+        *[_spark(sql).alias(name) for name, sql in TLS.items()],
+        F.lit(None).cast("string").alias("error"),
+    ).withColumn("names", F.array("cert_name"))
+
+
+def check_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that broke: structured data on some pages, titles on every page of some sites."""
+    c = crawl(spark, sf_dir).filter("status = 200").select("site", "scan_id", "url", F.col("ord").alias("k"))
+    broke = lambda check, cond: c.filter(cond).select(
+        "site", "scan_id", "url", F.lit(check).alias("check_id"), F.lit("unreadable").alias("error")
+    )
+    return broke("schema", "k % 61 = 7").unionByName(broke("title", "site LIKE 'blog.%'"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagegate.plans import page_rules
+from pagegate.plans import page_rules, site_audit
 
-MODULES = (page_rules,)
+MODULES = (page_rules, site_audit)
 
 
 def queries() -> dict:

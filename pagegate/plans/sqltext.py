@@ -68,8 +68,8 @@ def keep(items: str, var: str, cond: str) -> str:
 
 
 # The page context in the checking engine: table `x`.
-CTX = f"""
-WITH c AS ({crawl_sql()}),
+CTX_FROM = f"""
+WITH c AS (@CRAWL@),
 x0 AS (
   SELECT *,
     coalesce(nullif({ext('html', '(?is)<head.*?</head>')}, ''), substr(html, 1, 8000)) AS head,
@@ -88,7 +88,10 @@ x AS (
     {ext('head', rf'(?i)<link\b[^>]*rel{WS}*={WS}*{Q}canonical{Q}[^>]*>')} AS canonical_tag
   FROM x0)
 """
-VISIBLE = f"""{CTX}, v AS (SELECT *, {visible('html')} AS visible FROM x WHERE status = 200)"""
+CTX = CTX_FROM.replace("@CRAWL@", crawl_sql())
+LIVE_CTX = CTX_FROM.replace("@CRAWL@", f"SELECT * REPLACE ('live' AS env) FROM ({crawl_sql()})")
+VISIBLE_STEP = f""", v AS (SELECT *, {visible('html')} AS visible FROM x WHERE status = 200)"""
+VISIBLE = CTX + VISIBLE_STEP
 
 
 def arms(*rows: tuple[str, str, str, str], source: str = "x") -> str:
