@@ -121,6 +121,15 @@ def is_html(body: Column, content_type: Column) -> Column:
     return matches(content_type, "(?i)text/html") | matches(body, rf"(?i)<html[{WS[1:-1]}>]")
 
 
+def meta_tag_present(head: Column, name: str) -> Column:
+    return matches(head, rf"(?i)<meta\b[^>]*name{WS}*={WS}*{Q}{name}{Q}")
+
+
+def header(name: str) -> Column:
+    """Response header by lower-case name, empty text when absent."""
+    return F.coalesce(F.try_element_at(F.col("headers"), F.lit(name)), F.lit(""))
+
+
 def tag_chunks(html: Column, tag: str) -> Column:
     """Array of (tag text, text before it) for every `<tag ...>`, in document order."""
     return let(

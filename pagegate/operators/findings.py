@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +64,24 @@ def _finding(check_id: str, hit: Hit) -> Column:
     return F.when(hit.when, row)
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(d: Detector) -> Column:
+    """The detector's findings as one array column. Columns are unresolved expressions, so one built
+    for a session's JVM serves every query of it; building them anew is most of a query's planning."""
+    key = (id(SparkContext._gateway), d)
+    if key not in _BUILT:
+        if d.many is not None:
+            _BUILT[key] = d.many().cast(f"array<{FINDING_STRUCT}>")
+        else:
+            _BUILT[key] = F.array(*[_finding(d.check_id, h) for h in d.hits()])
+    return _BUILT[key]
+
+
 def detect(ctx: DataFrame, detectors: Iterable[Detector], keep: Iterable[str] = ()) -> DataFrame:
     """Runs the chosen detectors over a page context in one pass."""
-    groups = [
-        F.array(*[_finding(d.check_id, h) for d in detectors if d.many is None for h in d.hits()])
-    ]
-    groups = [g for g, n in zip(groups, [any(d.many is None for d in detectors)]) if n]
-    for d in detectors:
-        if d.many is not None:
-            groups.append(d.many().cast(f"array<{FINDING_STRUCT}>"))
+    groups = [_built(d) for d in detectors]
     every = F.concat(*groups) if len(groups) > 1 else groups[0]
     found = F.filter(every, lambda f: f.isNotNull())
     return ctx.select("site", "scan_id", "url", "ord", *keep, F.inline(found))

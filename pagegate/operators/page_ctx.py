@@ -11,24 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegate.functions import html as H
+from pagegate.functions.html import header
 from pagegate.functions.text import WS
 from pagegate.functions.urls import detect_env
 from pagegate.operators.detect_advisory import paragraph_words, rhythm
+from pagegate.operators.detect_static import located_images
 
 KEYS = ("site", "scan_id")
 
 Q = H.Q
 
 
-def meta_tag_present(head: Column, name: str) -> Column:
-    return H.matches(head, rf"(?i)<meta\b[^>]*name{WS}*={WS}*{Q}{name}{Q}")
-
-
-def header(name: str) -> Column:
-    """Response header by lower-case name, empty text when absent."""
-    return F.coalesce(F.try_element_at(F.col("headers"), F.lit(name)), F.lit(""))
-
-
 def html_pages(crawl: DataFrame) -> DataFrame:
     """Pages that can be audited: status 200 and HTML. The status test reaches the file scan."""
     return crawl.filter(F.col("status") == 200).filter(H.is_html(F.col("body"), F.col("content_type")))
@@ -69,6 +62,7 @@ def page_ctx(crawl: DataFrame, env: str | None = None) -> DataFrame:
         F.lower(header("x-robots-tag")).alias("x_robots"),
         H.find_all(html, r"(?i)<input\b[^>]*>").alias("inputs"),
         H.find_all(html, r"(?i)<a\b[^>]*>").alias("anchors"),
+        F.when(F.size("imgs") > 0, located_images(html)).alias("img_located"),
         rhythm(paragraph_words(H.paragraphs(html))).alias("rhythm"),
     )
 
