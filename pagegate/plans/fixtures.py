@@ -143,14 +143,13 @@ def headers_col():
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
 
 
-def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted crawl: one scan of every site in the table."""
-    return pages(spark, sf_dir).select(
+def crawl_of(src: DataFrame, url_sql: str = URL_SQL, body_sql: str = BODY_SQL) -> DataFrame:
+    return src.select(
         _expr(SITE_SQL).alias("site"),
         F.lit(SCAN).alias("scan_id"),
-        _expr(URL_SQL).alias("url"),
+        _expr(url_sql).alias("url"),
         _expr(STATUS_SQL).alias("status"),
-        _expr(BODY_SQL).alias("body"),
+        _expr(body_sql).alias("body"),
         headers_col().alias("headers"),
         F.lit("text/html").alias("content_type"),
         _expr(LOCATION_SQL).alias("location"),
@@ -160,6 +159,11 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted crawl: one scan of every site in the table."""
+    return crawl_of(pages(spark, sf_dir))
+
+
 # ---- site-level facts, one row per site, drawn from its smallest page id `k` -----------------
 
 ORIGIN_SQL = "CASE WHEN k % 6 = 0 THEN concat('http://', site) ELSE concat('https://', site) END"
@@ -251,3 +255,125 @@ def check_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site", "scan_id", "url", F.lit(check).alias("check_id"), F.lit("unreadable").alias("error")
     )
     return broke("schema", "k % 61 = 7").unionByName(broke("title", "site LIKE 'blog.%'"))
+
+
+# ---- links, sitemaps, redirects --------------------------------------------------------------
+
+CODE_SQL = "CASE length(url) % 11 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 301 ELSE 200 END"
+
+
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three pages are listed, and each site lists one page that was never crawled."""
+    c = pages(spark, sf_dir).select(F.expr(SITE_SQL).alias("site"), F.lit(SCAN).alias("scan_id"), F.expr(URL_SQL).alias("url"), "page_id")
+    extra = sites(spark, sf_dir).select("site", "scan_id", F.concat(F.lit("https://"), "site", F.lit("/never-fetched")).alias("url"))
+    return c.filter("page_id % 3 <> 1").select("site", "scan_id", "url").unionByName(extra)
+
+
+SITEMAP_URLS_SQL = (
+    f"SELECT {SITE_SQL} AS site, {URL_SQL} AS url FROM pages WHERE page_id % 3 <> 1 "
+    f"UNION ALL SELECT site, concat('https://', site, '/never-fetched') FROM ({sites_sql()})"
+)
+
+
+def sitemap_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index per site naming one child map per listed page, plus a flat map of the site's root."""
+    c = sitemap_urls(spark, sf_dir)
+    child = c.select(
+        "site", "scan_id", F.concat(F.lit("https://"), "site", F.lit("/map-"), F.md5("url"), F.lit(".xml")).alias("map"), "url"
+    )
+    index = child.select(
+        "site", "scan_id", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"),
+        F.concat(F.lit("<sitemapindex><sitemap><loc>"), "map", F.lit("</loc></sitemap></sitemapindex>")).alias("body"),
+    )
+    docs = child.select(
+        "site", "scan_id", F.col("map").alias("url"),
+        F.concat(
+            F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")),
+            F.lit(" </loc></url><url><loc>https://elsewhere.example.net/x</loc></url></urlset>"),
+        ).alias("body"),
+    )
+    flat = sites(spark, sf_dir).select(
+        "site", "scan_id", F.concat(F.lit("https://"), "site", F.lit("/flat.xml")).alias("url"),
+        F.concat(F.lit("<urlset><url><loc>https://"), "site", F.lit("/</loc></url></urlset>")).alias("body"),
+    )
+    return index.unionByName(docs).unionByName(flat)
+
+
+def sitemap_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).select(
+        "site", "scan_id",
+        F.explode(
+            F.array(
+                F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")), F.concat(F.lit("https://"), "site", F.lit("/flat.xml"))
+            )
+        ).alias("sitemap"),
+    )
+
+
+def url_status(targets: DataFrame) -> DataFrame:
+    """Stored answers of urls that were asked; every seventeenth was never asked."""
+    return targets.select("site", "scan_id", "url").distinct().filter("length(url) % 17 <> 3").withColumn("code", F.expr(CODE_SQL))
+
+
+# Redirects of the 301 pages: most lead to the next page of the table, some back to themselves in a
+# ring of three (the pages of ids 92k+2, 92k+25, 92k+48).
+REDIRECT_TO = "CASE WHEN page_id % 69 = 2 THEN page_id + 23 WHEN page_id % 69 = 25 THEN page_id + 23 ELSE page_id - 46 END"
+
+
+def redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).select("page_id", F.expr(URL_SQL).alias("url"))
+    hop = p.filter("page_id % 23 = 2").select("page_id", "url", F.expr(REDIRECT_TO).alias("to_id"))
+    hop = hop.withColumn("to_id", F.expr("CASE WHEN page_id % 5 = 0 THEN page_id + 1 ELSE to_id END"))
+    to = p.select(F.col("page_id").alias("to_id"), F.col("url").alias("location"))
+    return hop.join(to, "to_id").select(
+        F.lit("all").alias("site"), F.lit(SCAN).alias("scan_id"), "url", F.lit(301).alias("code"), "location"
+    )
+
+
+REDIRECT_SQL = f"""SELECT h.url, t.url AS nxt FROM
+ (SELECT page_id, {URL_SQL} AS url, CASE WHEN page_id % 5 = 0 THEN page_id + 1 ELSE {REDIRECT_TO} END AS to_id FROM pages WHERE page_id % 23 = 2) h
+ JOIN (SELECT page_id AS to_id, {URL_SQL} AS url FROM pages) t USING (to_id)"""
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links of a site as a binary tree over its pages in table order; every seventh page links to
+    nothing. Returns (edges, homes)."""
+    from pyspark.sql import Window
+
+    p = pages(spark, sf_dir).select(F.expr(SITE_SQL).alias("site"), F.lit(SCAN).alias("scan_id"), F.expr(URL_SQL).alias("url"), "page_id")
+    i = p.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("page_id")))
+    child = i.filter("i > 1").select("site", "scan_id", F.expr("i div 2").alias("i"), F.col("url").alias("dst"))
+    parent = i.filter("i % 7 <> 3").select("site", "scan_id", "i", F.col("url").alias("src"))
+    return child.join(parent, ["site", "scan_id", "i"]).drop("i"), i.filter("i = 1").select("site", "scan_id", "url")
+
+
+# ---- a migration: the crawl against a rebuilt copy of it --------------------------------------
+
+TGT_URL = f"replace({URL_SQL}, '://', '://new.')"
+TGT_BODY = f"CASE WHEN page_id % 15 = 0 THEN replace(replace({BODY_SQL}, '<nav>', '<div>'), '</nav>', '</div>') ELSE {BODY_SQL} END"
+NEW_PAGE = "<html><body><h1>Brand new</h1><footer>f</footer></body></html>"
+
+
+def target_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt sites: every twentieth page is gone, some lost their navigation, one page is new."""
+    old = crawl_of(
+        pages(spark, sf_dir).filter("page_id % 20 <> 0"), TGT_URL, TGT_BODY
+    )
+    new = sites(spark, sf_dir).select(
+        "site", "scan_id", F.concat(F.lit("https://new."), "site", F.lit("/brand-new")).alias("url"), F.lit(200).alias("status"),
+        F.lit(NEW_PAGE).alias("body"), F.lit("text/html").alias("content_type"), F.lit(1000000000).cast("long").alias("ord"),
+    )
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+TARGET_SQL = (
+    f"SELECT site, replace(url, '://', '://new.') AS url, status, ord, CASE WHEN page_id % 15 = 0 THEN "
+    f"replace(replace(html, '<nav>', '<div>'), '</nav>', '</div>') ELSE html END AS html FROM c WHERE page_id % 20 <> 0 "
+    f"UNION ALL SELECT site, concat('https://new.', site, '/brand-new'), 200, 1000000000, {quoted(NEW_PAGE)} FROM (SELECT DISTINCT site FROM c)"
+)
+"""Target pages in the checking engine, from the crawl `c`."""
+
+ALLOWED = "CAST(length(identity_key) AS INTEGER) % 9 = 4"
+EXCUSED = "CAST(length(identity_key) AS INTEGER) % 13 = 6"
+CAPPED = "length(site) % 4 = 1"
+"""Agreed removals, approved exceptions and capped target crawls of the fixture, as conditions."""
