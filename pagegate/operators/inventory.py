@@ -6,11 +6,12 @@ crawl order, is kept with a partial minimum, so no list of pages is ever gathere
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegate.functions import html as H
-from pagegate.functions.text import WS, collapse_ws, slug
+from pagegate.functions.text import WS, collapse_ws, let, slug
 from pagegate.functions.urls import basename, path_of
 from pagegate.operators.page_ctx import KEYS, html_pages
 from pagegate.operators.prefix import rank_within
@@ -111,71 +112,66 @@ def _meta(**entries) -> Column:
     return F.create_map(*parts)
 
 
-def _items(df: DataFrame, type_: str) -> DataFrame:
-    """First occurrence, in crawl order, of every identity."""
-    return (
-        df.groupBy(*KEYS, "identity_key")
-        .agg(F.min_by(F.struct("meta", "url"), F.struct("ord", "pos")).alias("m"))
-        .select(*KEYS, F.lit(type_).alias("type"), "identity_key", C("m.url").alias("page"), C("m.meta").alias("meta"))
+ROW = "array<struct<type:string,identity_key:string,pos:int,meta:map<string,string>>>"
+
+
+def _row(type_: str, key: Column, pos: Column, meta: Column) -> Column:
+    return F.struct(
+        F.lit(type_).alias("type"), key.alias("identity_key"), pos.cast("int").alias("pos"), meta.alias("meta")
     )
 
 
-def page_items(pages: DataFrame) -> DataFrame:
-    p = pages.select(
-        *KEYS, "url", "ord", F.lit(0).alias("pos"), F.concat(F.lit("page:"), path_of(C("url"))).alias("identity_key"),
-        _meta(url=C("url"), path=path_of(C("url")), status=C("status")).alias("meta"),
+def _page() -> Column:
+    path = path_of(C("url"))
+    return F.array(
+        _row("page", F.concat(F.lit("page:"), path), F.lit(0), _meta(url=C("url"), path=path, status=C("status")))
     )
-    return _items(p, "page")
 
 
-def section_items(pages: DataFrame) -> DataFrame:
+def _sections() -> Column:
     """Headings h1 to h3. A heading without letters or digits is named by its place among the page's."""
     tag = r"(?is)<h([1-3])\b[^>]*>(.*?)</h\1>"
-    body = C("body")
     heads = F.zip_with(
-        H.find_all(body, tag, 1),
-        H.find_all(body, tag, 2),
+        H.find_all(C("body"), tag, 1),
+        H.find_all(C("body"), tag, 2),
         lambda lv, t: F.struct(
             lv.alias("level"), F.substring(collapse_ws(F.regexp_replace(t, "<[^>]+>", " ")), 1, 60).alias("text")
         ),
     )
-    s = pages.select(
-        *KEYS, "url", "ord", path_of(C("url")).alias("path"), F.posexplode(F.filter(heads, lambda h: h["text"] != "")).alias("pos", "h")
-    )
-    name = F.when(slug(C("h.text")) != "", slug(C("h.text"))).otherwise(F.concat(F.lit("h"), C("pos") + 1))
-    s = s.select(
-        *KEYS, "url", "ord", "pos", F.concat(F.lit("section:"), C("path"), F.lit("#"), name).alias("identity_key"),
-        _meta(url=C("url"), path=C("path"), heading=C("h.text"), level=C("h.level")).alias("meta"),
-    )
-    return _items(s, "section")
 
+    def named(h: Column, i: Column) -> Column:
+        name = F.when(slug(h["text"]) != "", slug(h["text"])).otherwise(F.concat(F.lit("h"), i + 1))
+        return _row(
+            "section", F.concat(F.lit("section:"), C("path"), F.lit("#"), name), i,
+            _meta(url=C("url"), path=C("path"), heading=h["text"], level=h["level"]),
+        )
 
-def asset_items(pages: DataFrame) -> DataFrame:
-    roles = F.flatten(F.array(*[_asset_role(n, role, pattern) for n, (role, pattern) in enumerate(ASSETS)]))
-    a = pages.select(*KEYS, "url", "ord", F.inline(roles)).withColumn("file", basename(C("src"))).filter("file <> ''")
-    a = a.select(
-        *KEYS, "url", "ord", "pos", F.concat(F.lit("asset:"), C("role"), F.lit(":"), C("file")).alias("identity_key"),
-        _meta(role=C("role"), filename=C("file"), src=F.substring("src", 1, 160), firstPage=C("url")).alias("meta"),
-    )
-    return _items(a, "asset")
+    return F.transform(F.filter(heads, lambda h: h["text"] != ""), named)
 
 
 def _asset_role(n: int, role: str, pattern: str) -> Column:
-    return F.transform(
-        H.find_all(C("body"), pattern, 1),
-        lambda src, i: F.struct(F.lit(role).alias("role"), src.alias("src"), (F.lit(n * 100000) + i).alias("pos")),
-    )
+    def asset(src: Column, i: Column) -> Column:
+        file = basename(src)
+        return _row(
+            "asset", F.concat(F.lit(f"asset:{role}:"), file), F.lit(n * 100000) + i,
+            _meta(role=role, filename=file, src=F.substring(src, 1, 160), firstPage=C("url")),
+        )
 
+    return F.filter(F.transform(H.find_all(C("body"), pattern, 1), asset), lambda a: a["meta"]["filename"] != "")
 
-def signal_items(pages: DataFrame, signals: dict[str, str], type_: str) -> DataFrame:
-    found = F.filter(
-        F.array(*[F.when(H.matches(C("body"), p), F.lit(k)) for k, p in signals.items()]), lambda k: k.isNotNull()
-    )
-    s = pages.select(*KEYS, "url", "ord", F.lit(0).alias("pos"), F.explode(found).alias("key")).select(
-        *KEYS, "url", "ord", "pos", F.concat(F.lit(type_ + ":"), C("key")).alias("identity_key"),
-        _meta(key=C("key"), firstPage=C("url")).alias("meta"),
+
+def _assets() -> Column:
+    return F.flatten(F.array(*[_asset_role(n, role, pattern) for n, (role, pattern) in enumerate(ASSETS)]))
+
+
+def _signals(signals: dict[str, str], type_: str) -> Column:
+    found = F.array(
+        *[
+            F.when(H.matches(C("body"), p), _row(type_, F.lit(f"{type_}:{k}"), F.lit(0), _meta(key=k, firstPage=C("url"))))
+            for k, p in signals.items()
+        ]
     )
-    return _items(s, type_)
+    return F.filter(found, lambda k: k.isNotNull())
 
 
 def form_kind(form: Column, text: Column, fields: Column) -> Column:
@@ -194,40 +190,66 @@ def form_kind(form: Column, text: Column, fields: Column) -> Column:
     )
 
 
-def form_items(pages: DataFrame) -> DataFrame:
-    f = pages.select(
-        *KEYS, "url", "ord", path_of(C("url")).alias("path"),
-        F.posexplode(H.find_all(C("body"), r"(?is)<form\b.*?</form>")).alias("pos", "form"),
+def _forms() -> Column:
+    def facts(form: Column) -> Column:
+        return F.struct(
+            form.alias("form"),
+            F.regexp_extract(form, rf"(?i){WS}action{WS}*={WS}*{Q}([^\"']*){Q}", 1).alias("action"),
+            F.regexp_count(form, F.lit(r"(?i)<(input|select|textarea)\b[^>]*>")).alias("fields"),
+        )
+
+    def form_row(f: Column, i: Column) -> Column:
+        kind = form_kind(f["form"], F.lower(F.concat(f["form"], F.lit(" "), f["action"])), f["fields"])
+        shared = (f["action"] != "") & ~f["action"].rlike(rf"(?i)^{WS}*(javascript:|#|void)")
+        place = F.when(shared, path_of(f["action"])).otherwise(F.concat(C("path"), F.lit("#"), i))
+        return let(
+            kind,
+            lambda k: _row(
+                "form",
+                F.when(k == "search", "form:search").otherwise(F.concat(F.lit("form:"), k, F.lit(":"), place)),
+                i,
+                _meta(
+                    formType=k, action=f["action"], fieldCount=f["fields"],
+                    hasValidation=f["form"].rlike(rf"(?i)\brequired\b|{WS}pattern{WS}*="), page=C("url"),
+                ),
+            ),
+        )
+
+    return F.transform(F.transform(H.find_all(C("body"), r"(?is)<form\b.*?</form>"), facts), form_row)
+
+
+PROVIDERS = {
+    "page": _page,
+    "section": _sections,
+    "global": lambda: _signals(GLOBALS, "global"),
+    "asset": _assets,
+    "form": _forms,
+    "behavior": lambda: _signals(BEHAVIORS, "behavior"),
+}
+_BUILT: dict[tuple, Column] = {}
+
+
+def _provider(type_: str) -> Column:
+    key = (id(SparkContext._gateway), type_)
+    if key not in _BUILT:
+        _BUILT[key] = PROVIDERS[type_]().cast(ROW)
+    return _BUILT[key]
+
+
+def inventory(crawl: DataFrame, types: tuple[str, ...] = tuple(PROVIDERS)) -> DataFrame:
+    """Every item of every site, from one reading of the pages and one shuffle.
+
+    The first page that shows an item, in crawl order, is kept; sections carry their page as parent.
+    """
+    pages = html_pages(crawl).select(*KEYS, "url", "ord", "status", "body", path_of(C("url")).alias("path"))
+    shown = pages.select(*KEYS, "url", "ord", F.inline(F.concat(*[_provider(t) for t in types])))
+    first = shown.groupBy(*KEYS, "type", "identity_key").agg(
+        F.min_by(F.struct("meta", "url"), F.struct("ord", "pos")).alias("m")
     )
-    action = F.regexp_extract(C("form"), rf"(?i){WS}action{WS}*={WS}*{Q}([^\"']*){Q}", 1)
-    f = f.select("*", action.alias("action"), F.regexp_count(C("form"), F.lit(r"(?i)<(input|select|textarea)\b[^>]*>")).alias("fields"))
-    kind = form_kind(C("form"), F.lower(F.concat(C("form"), F.lit(" "), C("action"))), C("fields"))
-    place = F.when(
-        (C("action") != "") & ~C("action").rlike(rf"(?i)^{WS}*(javascript:|#|void)"), path_of(C("action"))
-    ).otherwise(F.concat(C("path"), F.lit("#"), C("pos")))
-    f = f.withColumn("kind", kind)
-    key = F.when(C("kind") == "search", "form:search").otherwise(F.concat(F.lit("form:"), C("kind"), F.lit(":"), place))
-    f = f.select(
-        *KEYS, "url", "ord", "pos", key.alias("identity_key"),
-        _meta(
-            formType=C("kind"), action=C("action"), fieldCount=C("fields"),
-            hasValidation=C("form").rlike(rf"(?i)\brequired\b|{WS}pattern{WS}*="), page=C("url"),
-        ).alias("meta"),
+    parent = F.when(C("type") == "section", F.concat(F.lit("page:"), C("m.meta")["path"]))
+    return first.select(
+        *KEYS, "type", "identity_key", C("m.url").alias("page"), C("m.meta").alias("meta"), parent.alias("parent")
     )
-    return _items(f, "form")
-
-
-def inventory(crawl: DataFrame) -> DataFrame:
-    """Every item of every site; sections carry the key of their page as parent."""
-    p = html_pages(crawl)
-    out = page_items(p)
-    for part in (
-        section_items(p), signal_items(p, GLOBALS, "global"), asset_items(p), form_items(p),
-        signal_items(p, BEHAVIORS, "behavior"),
-    ):
-        out = out.unionByName(part)
-    parent = F.when(C("type") == "section", F.concat(F.lit("page:"), C("meta")["path"]))
-    return out.withColumn("parent", parent)
 
 
 def inventory_counts(items: DataFrame) -> DataFrame:

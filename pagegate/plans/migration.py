@@ -9,10 +9,10 @@ from pagegate.operators import certify as K
 from pagegate.operators import inventory as I
 from pagegate.operators import rows as W
 from pagegate.operators.audit import gate_findings
-from pagegate.operators.page_ctx import html_pages
 from pagegate.plans import fixtures as X
 from pagegate.plans.site_audit import _gate_sql
 from pagegate.plans.sqltext import CTX, every, has, q
+from pagegate.session import cut_lineage
 
 C = F.col
 Q = "[\"']"
@@ -23,11 +23,12 @@ def _inv(crawl):
 
 
 def _sides(s, d):
-    return _inv(X.crawl(s, d)), _inv(X.target_crawl(s, d))
+    """Both inventories, written once: every later step reads items, never pages, again."""
+    return cut_lineage(_inv(X.crawl(s, d))), cut_lineage(_inv(X.target_crawl(s, d)))
 
 
-def _compared(s, d):
-    a, b = _sides(s, d)
+def _compared(s, d, sides=None):
+    a, b = sides or _sides(s, d)
     allowed = a.select("pair", "identity_key").filter(X.ALLOWED)
     capped = a.filter(X.CAPPED).select("pair").distinct()
     return K.compare(a, b, allowed, capped)
@@ -35,7 +36,7 @@ def _compared(s, d):
 
 def _viewports(s, d):
     """Visual results of the fixture: one row per page item and viewport, scored from its path."""
-    p = I.page_items(html_pages(X.crawl(s, d))).select(C("site").alias("pair"), C("meta")["path"].alias("path"))
+    p = I.inventory(X.crawl(s, d), ("page",)).select(C("site").alias("pair"), C("meta")["path"].alias("path"))
     v = p.select("pair", "path", F.explode(F.array(F.lit("1920 · Desktop"), F.lit("390 · Phone"))).alias("label"))
     score = F.expr(X_SCORE)
     pix = F.expr(X_PIXEL)
@@ -47,9 +48,7 @@ X_PIXEL = "CASE WHEN length(path) % 3 = 0 THEN NULL ELSE (length(path) * 5 + len
 UNMATCHED = "length(path) % 10 = 4"
 
 
-def _all_findings(s, d, compared=None):
-    a, b = _sides(s, d)
-    compared = compared if compared is not None else _compared(s, d)
+def _all_findings(s, d, compared, a, b):
     v = _viewports(s, d)
     pages = a.filter("type = 'page'").unionByName(b.filter("type = 'page'"))
     visual = K.visual_findings(v, v.filter(UNMATCHED).select("pair", "path").distinct(), pages)
@@ -59,14 +58,15 @@ def _all_findings(s, d, compared=None):
 
 
 def _certified(s, d):
-    compared = _compared(s, d)
-    found = _all_findings(s, d, compared)
+    a, b = _sides(s, d)
+    compared = _compared(s, d, (a, b))
+    found = cut_lineage(_all_findings(s, d, compared, a, b))
     exceptions = compared.select("pair", "identity_key").filter(X.EXCUSED)
     return compared, found, K.certify_items(compared, found, exceptions)
 
 
-def _stage(type_, fn):
-    return lambda s, d: fn(html_pages(X.crawl(s, d))).select("site", "identity_key", "page")
+def _stage(type_):
+    return lambda s, d: I.inventory(X.crawl(s, d), (type_,)).select("site", "identity_key", "page")
 
 
 def _mint(s, d):
@@ -99,12 +99,7 @@ def _audit_mapped(s, d):
 
 def queries():
     return {
-        "page_inventory": _stage("page", I.page_items),
-        "section_inventory": _stage("section", I.section_items),
-        "asset_inventory": _stage("asset", I.asset_items),
-        "global_inventory": _stage("global", lambda p: I.signal_items(p, I.GLOBALS, "global")),
-        "behavior_inventory": _stage("behavior", lambda p: I.signal_items(p, I.BEHAVIORS, "behavior")),
-        "form_inventory": _stage("form", I.form_items),
+        **{f"{t}_inventory": _stage(t) for t in I.PROVIDERS},
         "inventory_counts": lambda s, d: I.inventory_counts(_inv(X.crawl(s, d))).drop("scan_id"),
         "page_children": lambda s, d: I.page_children(_inv(X.crawl(s, d))).drop("scan_id"),
         "blocking_items": lambda s, d: _inv(X.crawl(s, d)).filter(I.is_blocking(C("type"), C("meta"))).select("site", "type", "identity_key"),
