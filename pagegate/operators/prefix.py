@@ -30,3 +30,40 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) ->
         .withColumn(name, (F.col("__r") + F.col("__offset")).cast("long"))
         .drop("__block", "__r", "__offset")
     )
+
+
+def with_previous(df: DataFrame, keys: list[str], pos: str, columns: dict[str, str], step: int = 1) -> DataFrame:
+    """Adds columns of the row `step` positions before (after, when negative), by an equal join on
+    the position. `columns` maps existing names to the names of the copies."""
+    other = df.select(*keys, (F.col(pos) + step).alias(pos), *[F.col(c).alias(n) for c, n in columns.items()])
+    return df.join(other, [*keys, pos], "left")
+
+
+BLOCK = 4096
+
+
+def running_max(df: DataFrame, keys: list[str], pos: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Largest `value` up to each position. Windows span at most `block` rows, then one row per block."""
+    b = df.withColumn("__b", F.floor((F.col(pos) - 1) / block))
+    inside = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "__b").agg(F.max(value).alias("__m")).select(*keys, "__b", F.max("__m").over(before).alias("__p"))
+    return (
+        b.join(tops, [*keys, "__b"])
+        .withColumn(name, F.greatest(F.max(value).over(inside), F.col("__p")))
+        .drop("__b", "__p")
+    )
+
+
+def running_sum(df: DataFrame, keys: list[str], pos: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    b = df.withColumn("__b", F.floor((F.col(pos) - 1) / block))
+    inside = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(*keys, "__b").agg(F.sum(value).alias("__m")).select(
+        *keys, "__b", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__p")
+    )
+    return (
+        b.join(sums, [*keys, "__b"])
+        .withColumn(name, F.sum(value).over(inside) + F.col("__p"))
+        .drop("__b", "__p")
+    )

@@ -377,3 +377,58 @@ ALLOWED = "CAST(length(identity_key) AS INTEGER) % 9 = 4"
 EXCUSED = "CAST(length(identity_key) AS INTEGER) % 13 = 6"
 CAPPED = "length(site) % 4 = 1"
 """Agreed removals, approved exceptions and capped target crawls of the fixture, as conditions."""
+
+
+# ---- scan history from the events table -------------------------------------------------------
+
+EVENT_RULES = (
+    ("error", "SEC-001", "security", "high", "fail", 18), ("signup", "SEO-003", "seo", "medium", "warn", 6),
+    ("click", "LINK-007", "links", "medium", "warn", 4), ("view", "A11Y-008", "a11y", "low", "warn", 2),
+    ("purchase", "PERF-007", "performance", "low", "warn", 2),
+)
+
+
+def _by_type(i: int, text: bool = True) -> str:
+    arms = " ".join(f"WHEN '{r[0]}' THEN {quoted(r[i]) if text else r[i]}" for r in EVENT_RULES)
+    return f"CASE event_type {arms} END"
+
+
+BUCKET = "CAST(floor(value / 8) AS BIGINT) % 5"
+HISTORY_COLUMNS = {
+    "target": "concat('site-', CAST(user_id % 20 AS VARCHAR(20)))",
+    "ts": "concat(substr(CAST(ts AS VARCHAR(40)), 1, 10), 'T00:00:00.000Z')",
+    "rule_id": _by_type(1),
+    "suite": _by_type(2),
+    "severity": f"CASE WHEN event_type = 'error' AND {BUCKET} = 0 THEN 'critical' ELSE {_by_type(3)} END",
+    "status": _by_type(4),
+    "deduction": _by_type(5, False),
+    "page": "concat('/p', CAST(user_id AS VARCHAR(20)))",
+    "event_type": "event_type",
+    "bucket": BUCKET,
+}
+
+
+def scan_findings_sql() -> str:
+    cols = ", ".join(f"{sql} AS {n}" for n, sql in HISTORY_COLUMNS.items())
+    return f"SELECT DISTINCT {cols}, user_id * 10 + {BUCKET} AS pos FROM events WHERE event_type <> 'view' OR user_id % 3 = 0"
+
+
+def scan_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fix = lambda sql: F.expr(sql.replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING"))
+    e = events(spark, sf_dir).filter("event_type <> 'view' OR user_id % 3 = 0")
+    f = e.select(*[fix(sql).alias(n) for n, sql in HISTORY_COLUMNS.items()], fix(f"user_id * 10 + {BUCKET}").alias("pos")).distinct()
+    item_ = F.struct(
+        F.col("page").alias("page"), F.lit("main").alias("section"), F.col("event_type").alias("id"),
+        F.col("bucket").cast("string").alias("value"),
+    )
+    return f.withColumn("items", F.array(item_)).drop("event_type", "bucket")
+
+
+def scan_heads(findings: DataFrame) -> DataFrame:
+    """One row per scan with what the scan itself carries."""
+    s = findings.groupBy("target", "ts").agg(F.count("*").alias("c"))
+    return s.select(
+        "target", "ts", (100 - (F.col("c") * 7) % 41).alias("overall"), F.lit("production").alias("environment"),
+        F.lit("2.0").alias("engine"), F.lit("1.0").alias("registry"), F.lit("1.0").alias("report"), F.lit("NEEDS ATTENTION").alias("verdict"),
+        F.lit("default").alias("project"), F.lit(None).cast("string").alias("parent_scan_id"),
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagegate.plans import graph, migration, page_rules, site_audit
+from pagegate.plans import graph, histories, migration, page_rules, site_audit
 
-MODULES = (page_rules, site_audit, graph, migration)
+MODULES = (page_rules, site_audit, graph, migration, histories)
 
 
 def queries() -> dict:
