@@ -432,3 +432,125 @@ def scan_heads(findings: DataFrame) -> DataFrame:
         F.lit("2.0").alias("engine"), F.lit("1.0").alias("registry"), F.lit("1.0").alias("report"), F.lit("NEEDS ATTENTION").alias("verdict"),
         F.lit("default").alias("project"), F.lit(None).cast("string").alias("parent_scan_id"),
     )
+
+
+# ---- captured facts derived from page markup ---------------------------------------------------
+
+ELEMENT = r"(?i)<(h1|p|li|a)\b[^>]*>([^<]*)"
+VIEWPORTS = (("1920 · Desktop", 0, 1920, False), ("390 · Phone", 1, 390, True))
+ELEMENT_COLUMNS = {
+    "sec": "CASE WHEN tag IN ('li', 'a') THEN 'nav' ELSE 'article' END",
+    "text": "substr(txt, 1, 60)",
+    "x": "(pos * 37) % 400",
+    "y": "pos * 20",
+    "font": "CASE WHEN pos % 9 = 4 THEN 'Lora' ELSE 'Inter' END",
+    "size": "16 + pos % 3",
+    "color": "concat('c', CAST(pos % 5 AS VARCHAR(20)))",
+    "bg_img": "CASE WHEN pos % 17 = 0 THEN 'hero.png' ELSE '' END",
+}
+CAND_COLUMNS = {
+    **ELEMENT_COLUMNS,
+    "sec": "CASE WHEN pos % 13 = 0 THEN 'footer' WHEN tag IN ('li', 'a') THEN 'nav' ELSE 'article' END",
+    "y": "pos * 20 + CASE WHEN pos % 5 = 0 THEN 80 ELSE 0 END",
+    "color": "CASE WHEN pos % 11 = 0 THEN 'c9' ELSE concat('c', CAST(pos % 5 AS VARCHAR(20))) END",
+    "bg_img": "CASE WHEN pos % 19 = 0 THEN 'new.png' WHEN pos % 17 = 0 THEN 'hero.png' ELSE '' END",
+    "size": "16 + pos % 3 + CASE WHEN pos % 23 = 0 THEN 4 ELSE 0 END",
+}
+PATH_SQL = "concat('/', CAST(page_id AS VARCHAR(20)))"
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, paragraphs, list items and links of every page in document order."""
+    p = pages(spark, sf_dir).select(F.expr(SITE_SQL).alias("site"), _expr(PATH_SQL).alias("page"), "page_id", "html")
+    zipped = F.arrays_zip(
+        F.regexp_extract_all("html", F.lit(ELEMENT), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(ELEMENT), F.lit(2)).alias("txt")
+    )
+    e = p.select("site", "page", "page_id", F.posexplode(zipped).alias("i", "e"))
+    return e.select("site", "page", "page_id", (F.col("i") + 1).cast("long").alias("pos"), F.lower("e.tag").alias("tag"), F.col("e.txt").alias("txt"))
+
+
+def marks_sql() -> str:
+    pat = quoted(ELEMENT)
+    return (
+        f"SELECT site, page, page_id, lower(unnest(t)) AS tag, unnest(x) AS txt, generate_subscripts(t, 1) AS pos FROM (SELECT {SITE_SQL} AS site, {PATH_SQL} AS page, page_id, "
+        f"regexp_extract_all(html, {pat}, 1) AS t, regexp_extract_all(html, {pat}, 2) AS x FROM pages)"
+    )
+
+
+def elements(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """Element tables of both sides. `labelled` gives list items one shared label and shifting heads."""
+    m = marks(spark, sf_dir)
+
+    def side(src: DataFrame, cols: dict, name: str, shift: str) -> DataFrame:
+        label = F.expr("CASE WHEN tag = 'li' THEN 'item' ELSE '' END") if labelled else F.lit("")
+        head = F.expr(f"CASE WHEN tag = 'li' THEN concat('h', (pos + {shift}) % 4) ELSE '' END") if labelled else F.lit("")
+        return src.select(
+            "site", "page", F.lit(name).alias("side"), "pos", "tag", *[_expr(v).alias(k) for k, v in cols.items()],
+            head.alias("head"), label.alias("aria"), *[F.lit("").alias(k) for k in ("href", "ialt", "src")],
+        )
+
+    both = side(m, ELEMENT_COLUMNS, "ref", "0").unionByName(
+        side(m.filter("pos % 7 <> 0 AND page_id % 20 <> 0"), CAND_COLUMNS, "cand", "CASE WHEN pos % 13 = 1 THEN 1 ELSE 0 END")
+    )
+    both = both.filter("cast(substr(page, 2) AS BIGINT) % 20 <> 0")
+    views = F.explode(F.array(*[F.struct(F.lit(n).alias("viewport"), F.lit(o).alias("vord")) for n, o, _, _ in VIEWPORTS])).alias("v")
+    return both.select("*", views).select("*", "v.viewport", "v.vord").drop("v")
+
+
+def lost_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).filter("page_id % 20 = 0").select(F.expr(SITE_SQL).alias("site"), _expr(PATH_SQL).alias("page"))
+
+
+def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen rows of sixteen pixels per page and side; the candidate differs on a known set."""
+    p = pages(spark, sf_dir).select(F.expr(SITE_SQL).alias("site"), _expr(PATH_SQL).alias("page"), "page_id")
+    rows = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y")).select(
+        "*", F.explode(F.array(F.lit("ref"), F.lit("cand"))).alias("side")
+    )
+    value = lambda i: (F.col("page_id") * 7 + F.col("y") * 16 + F.floor(i / 3)) % 200 + F.when(
+        (F.col("side") == "cand") & ((F.col("page_id") + F.col("y") + F.floor(i / 3)) % 9 == 0), 21
+    ).otherwise(0)
+    return rows.select(
+        "site", "page", F.lit(VIEWPORTS[0][0]).alias("viewport"), "side", "y",
+        F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: value(i).cast("int")).alias("rgb"),
+    )
+
+
+BOX_COLUMNS = {
+    "selector": "concat(tag, '.', CAST(pos % 6 AS VARCHAR(20)))",
+    "x": "(pos * 37) % 300",
+    "w": "length(txt) * 3 % 2400",
+    "h": "10 + (pos * 7) % 60",
+    "font_size": "10 + pos % 12",
+    "weight": "CASE WHEN pos % 4 = 0 THEN 700 ELSE 400 END",
+    "interactive": "tag = 'a'",
+    "is_field": "tag = 'li'",
+}
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(docs, boxes): page sizes and element boxes per viewport."""
+    m = marks(spark, sf_dir).select("site", "page", "pos", *[_expr(v).alias(k) for k, v in BOX_COLUMNS.items()])
+    views = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("viewport"), F.lit(w).alias("width"), F.lit(t).alias("touch")) for n, _, w, t in VIEWPORTS])
+    ).alias("v")
+    b = m.select("*", views).select("*", "v.viewport", "v.width", "v.touch").drop("v")
+    docs = b.groupBy("site", "page", "viewport", "width", "touch").agg(F.max(F.col("x") + F.col("w")).alias("doc_width"))
+    return docs, b.drop("width", "touch")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, b = boxes(spark, sf_dir)
+    grey = lambda k: F.array(*[((F.col("pos") * k) % 256).cast("int")] * 3)
+    return b.filter(f"viewport = '{VIEWPORTS[0][0]}'").select("*", grey(29).alias("fg"), grey(97).alias("bg"))
+
+
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as facts about pages: (site, page, kind, value, id)."""
+    return events(spark, sf_dir).select(
+        _expr("concat('site-', CAST(user_id % 20 AS VARCHAR(20)))").alias("site"), _expr("concat('/p', CAST(user_id AS VARCHAR(20)))").alias("page"),
+        "event_type", "value", "event_id",
+    )
+
+
+FACT_SQL = "SELECT concat('site-', user_id % 20) AS site, concat('/p', user_id) AS page, event_type, value, event_id FROM events"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagegate.plans import graph, histories, migration, page_rules, site_audit
+from pagegate.plans import graph, histories, migration, misc, page_rules, site_audit, visuals
 
-MODULES = (page_rules, site_audit, graph, migration, histories)
+MODULES = (page_rules, site_audit, graph, migration, histories, visuals, misc)
 
 
 def queries() -> dict:
