@@ -230,7 +230,8 @@ SELECT page, pos, ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], la
         "fidelity_grade": f"{e}{_fidelity('balanced', 'FALSE')}",
         "fidelity_strict": f"{e}{_fidelity('strict', 'FALSE')}",
         "fidelity_ignored": f"{e}{_fidelity('lenient', "kind = 'moved'")}",
-        "rerate_ledger": f"WITH r AS (SELECT site AS run, printf('%012d', event_id) AS "at", CAST(floor(value) AS BIGINT) AS score FROM ({facts}) WHERE event_type = 'signup') SELECT run, row_number() OVER w AS n, "at", 'balanced' AS profile, lag(score) OVER w AS before, score AS after FROM r WINDOW w AS (PARTITION BY run ORDER BY "at")",
+        "rerate_ledger": f'''WITH r AS (SELECT site AS run, printf('%012d', event_id) AS t, CAST(floor(value) AS BIGINT) AS score FROM ({facts}) WHERE event_type = 'signup')
+SELECT run, row_number() OVER w AS n, t AS "at", 'balanced' AS profile, lag(score) OVER w AS before, score AS after FROM r WINDOW w AS (PARTITION BY run ORDER BY t)''',
         "explain_empty": f"""WITH k AS (SELECT {X.SITE_SQL} AS run, min(page_id) % 7 AS k FROM pages GROUP BY 1)
 SELECT run, CASE WHEN k IN (1, 2, 3, 6) THEN 'reference-unreachable' WHEN k = 4 THEN 'candidate-unreachable' ELSE 'no-common-pages' END AS reason, CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'dns' WHEN 3 THEN 'timeout' WHEN 4 THEN 'refused' WHEN 6 THEN 'no-pages' END AS cause FROM k WHERE k <> 0""",
         "horizontal_overflow": f"""{b} SELECT site, page, viewport, 'RESP-002' AS rule_id, '' AS selector, concat(doc_width, 'px') AS value FROM dc WHERE doc_width > width + 2
