@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagegate.plans import graph, histories, migration, misc, page_rules, site_audit, visuals
+from pagegate.plans import graph, histories, migration, misc, page_rules, site_audit, streams, visuals
 
-MODULES = (page_rules, site_audit, graph, migration, histories, visuals, misc)
+MODULES = (page_rules, site_audit, graph, migration, histories, visuals, misc, streams)
 
 
 def queries() -> dict:
