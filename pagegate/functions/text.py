@@ -43,17 +43,20 @@ def syllables(prose: Column) -> Column:
     """Syllable estimate of collapsed prose, counted over the whole text at once.
 
     A word of one to three letters counts one. A longer word loses a silent ending and a leading y,
-    then counts its vowel groups of at most two letters, and at least one.
+    then counts its vowel groups of at most two letters, and at least one. Summed over a text that is
+    its words, plus all vowel groups of longer words, less the longer words that have any.
     """
     letters = F.regexp_replace(F.lower(prose), "[^a-z ]", "")
-    short = F.regexp_count(letters, F.lit("(?<![a-z])[a-z]{1,3}(?![a-z])"))
-    longer = F.regexp_count(letters, F.lit("[a-z]{4,}"))
-    body = F.regexp_replace(letters, "(?<![a-z])[a-z]{1,3}(?![a-z])", "")
-    body = F.regexp_replace(body, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", "")
-    body = F.regexp_replace(body, "(?<![a-z])y", "")
-    groups = F.regexp_count(body, F.lit("[aeiouy]{1,2}"))
-    voiced = F.regexp_count(body, F.lit("[a-z]*[aeiouy][a-z]*"))
-    return short + groups + longer - voiced
+
+    def count(text: Column) -> Column:
+        words = F.regexp_count(text, F.lit("[a-z]+"))
+        body = F.regexp_replace(text, r"\b[a-z]{1,3}\b", "")
+        body = F.regexp_replace(body, r"(?:[^laeiouy ]es|ed|[^laeiouy ]e)\b", "")
+        body = F.regexp_replace(body, r"\by", "")
+        voiced = lambda b: F.regexp_count(b, F.lit("[aeiouy]{1,2}")) - F.regexp_count(b, F.lit("[a-z]*[aeiouy][a-z]*"))
+        return words + let(body, voiced)
+
+    return let(letters, count)
 
 
 def flesch_reading_ease(prose: Column) -> Column:

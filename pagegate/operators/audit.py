@@ -17,6 +17,7 @@ from pagegate.operators.detect_static import SEO, STATIC
 from pagegate.operators.findings import ITEMS, detect, text
 from pagegate.operators.groups import duplicates
 from pagegate.operators.page_ctx import KEYS, page_ctx
+from pagegate.session import cut_lineage
 
 C = F.col
 
@@ -78,11 +79,18 @@ class Audit(NamedTuple):
 def audit(
     crawl: DataFrame, site_findings: DataFrame | None = None, failures: DataFrame | None = None, skip_suites: Iterable[str] = ()
 ) -> Audit:
-    """Findings, coverage and check rows of every site of a crawl."""
+    """Findings, coverage and check rows of every site of a crawl.
+
+    Findings and coverage are written once: rows, scores and lists read them several times, and the
+    pages must be read only once.
+    """
     found = page_findings(crawl, "live", skip_suites)
     if site_findings is not None:
-        found = found.unionByName(site_findings)
-    coverage = W.verified(W.ledger(crawl, failures), skip_suites)
+        off = W.normalize_skip(skip_suites)
+        dropped = [c for c, (suite, _) in R.CHECKS.items() if suite in off]
+        found = found.unionByName(site_findings.filter(~C("check_id").isin(*dropped)))
+    found = cut_lineage(found)
+    coverage = cut_lineage(W.verified(W.ledger(crawl, failures), skip_suites))
     rows = W.check_rows(found).unionByName(W.evidence_rows(coverage, found))
     return Audit(found, coverage, rows)
 

@@ -317,7 +317,8 @@ def lifecycle_events(chrono: DataFrame, obs: DataFrame) -> DataFrame:
     o = rank_within(obs, key, ["scan_n", "pos"], "k")
     o = with_previous(o, key, "k", {"scan_n": "prev_scan", "evidence": "prev_evidence"})
     o = o.withColumn("starts", F.when(C("prev_scan").isNull() | (C("scan_n") - C("prev_scan") > 1), C("k")))
-    o = running_max(o, key, "k", "starts", "episode")
+    # each step reads its input twice, so it is written in between instead of being worked out again
+    o = cut_lineage(running_max(o, key, "k", "starts", "episode"))
     settle = F.when(C("episode") == 1, 3).otherwise(2)
     place = C("k") - C("episode") + 1
     o = o.withColumn("place", place).withColumn("settled", C("place") > settle)
@@ -331,7 +332,7 @@ def lifecycle_events(chrono: DataFrame, obs: DataFrame) -> DataFrame:
         .when(C("place") == 1, "REOPENED")
         .otherwise("ACTIVE")
     )
-    o = o.withColumn("state", state)
+    o = cut_lineage(o.withColumn("state", state))
     nxt = with_previous(
         o.select(*key, "k", "scan_n", "scan_id", "ts", "rule_id", "severity", "evidence", "state"), key, "k", {"scan_n": "next_scan_n"}, -1
     )

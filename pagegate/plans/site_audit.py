@@ -39,6 +39,10 @@ def _audit(spark, d, skip=()):
     return A.audit(X.crawl(spark, d), _site_findings(spark, d), X.check_failures(spark, d), skip)
 
 
+def _coverage(spark, d):
+    return W.verified(W.ledger(X.crawl(spark, d), X.check_failures(spark, d)))
+
+
 def _plain(df):
     return df.select("site", "url", "rule_id", "value")
 
@@ -87,8 +91,8 @@ def queries():
         "evidence_rows": lambda s, d: (lambda a: W.evidence_rows(a.coverage, a.findings).select("site", "check_id", "status", "reason"))(
             _audit(s, d)
         ),
-        "coverage_rules": lambda s, d: W.coverage_rules(_audit(s, d).coverage).select("site", "rule_id", "evaluated"),
-        "coverage_counts": lambda s, d: W.coverage_counts(_audit(s, d).coverage).drop("scan_id"),
+        "coverage_rules": lambda s, d: W.coverage_rules(_coverage(s, d)).select("site", "rule_id", "evaluated"),
+        "coverage_counts": lambda s, d: W.coverage_counts(_coverage(s, d)).drop("scan_id"),
         "suite_tally": lambda s, d: W.suite_tally(_audit(s, d).rows).drop("scan_id"),
         "checks_passing": lambda s, d: W.checks_passing(_audit(s, d).rows).drop("scan_id"),
         "quality_suites": lambda s, d: (
