@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagegate.functions.urls import PATH_KEEPS, abs_url, basename, detect_env, page_family, path_of, validate_uri
 from pagegate.operators import crawlgraph as G
 from pagegate.operators import rows as W
+from pagegate.operators import site_rules as P
 from pagegate.plans import fixtures as X
 from pagegate.plans.sqltext import CTX, every, q
 from pagegate.functions.text import WS
@@ -32,8 +33,23 @@ def _images(spark, d):
     return i, X.url_status(i.select("site", "scan_id", C("src").alias("url")))
 
 
+def _assets(s, d):
+    """Stored answers for the images and icons pages declare, under either scheme."""
+    pairs = F.array(*[F.concat(F.lit(f"{scheme}://"), C("site"), F.lit(path)) for scheme in ("http", "https") for path in ("/og.png", "/favicon.ico")])
+    a = X.sites(s, d).select("site", "scan_id", F.explode(pairs).alias("url"))
+    return a.filter("length(url) % 5 <> 2").withColumn("asset_code", F.expr("CASE WHEN length(url) % 3 = 0 THEN 404 ELSE 200 END"))
+
+
+def _pairs(s, d):
+    side = lambda c: c.filter("status = 200").select(C("site").alias("pair"), "url", "ord")
+    url_map = s.createDataFrame([("/en/25", "/brand-new"), ("/fr/825", "/brand-new")], "path string, mapped string")
+    return G.pair_by_path(side(X.crawl(s, d)), side(X.target_crawl(s, d)), url_map)
+
+
 def queries():
     return {
+        "asset_load": lambda s, d: P.asset_load_rows(X.crawl(s, d), _assets(s, d)).drop("scan_id"),
+        "page_pairs": lambda s, d: _pairs(s, d).select("pair", "path", "ref_url", "cand_url"),
         "page_links": lambda s, d: G.page_links(X.crawl(s, d)).drop("scan_id"),
         "link_targets": lambda s, d: G.link_targets(X.crawl(s, d)).drop("scan_id"),
         "image_sources": lambda s, d: G.image_sources(X.crawl(s, d)).drop("scan_id"),
@@ -96,7 +112,18 @@ im AS (SELECT site, src, arg_min(url, ord) AS first_page FROM i GROUP BY site, s
     path = "coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), ''), '/')"
     segs = f"list_filter(string_split({path}, '/'), lambda s: s <> '')"
     fam = f"CASE WHEN len({segs}) = 0 THEN '@0' ELSE lower({segs}[1]) || '@' || len({segs}) END"
+    icon = every("html", rf"(?i)<link\b[^>]*rel{WS}*={WS}*{Q}[^\"\x27]*icon[^\"\x27]*{Q}[^>]*>")
+    code3 = "CASE WHEN length({u}) % 5 <> 2 THEN CASE WHEN length({u}) % 3 = 0 THEN 404 ELSE 200 END END"
     return {
+        "asset_load": f"""{CTX}, p AS (SELECT site, arg_min(url, ord) AS url, arg_min(html, ord) AS html FROM x WHERE status = 200 GROUP BY site),
+w AS (SELECT site, 'og' AS k, concat(regexp_extract(url, '^[a-z]+://[^/?#]+'), regexp_extract(html, 'og:image" content="([^"]+)"', 1)) AS u FROM p WHERE contains(html, 'og:image')
+ UNION ALL SELECT site, 'fav', concat(regexp_extract(url, '^[a-z]+://[^/?#]+'), regexp_extract({icon}[1], 'href=["'']([^"'']+)', 1)) FROM p WHERE len({icon}) > 0),
+a AS (SELECT *, {code3.format(u='u')} AS code FROM w)
+SELECT site, CASE WHEN coalesce(code < 400, FALSE) THEN 'pass' ELSE 'warn' END AS status, CASE WHEN k = 'og' THEN CASE WHEN coalesce(code < 400, FALSE) THEN 'og:image loads' ELSE 'og:image does not load' END ELSE 'Favicon does not load' END AS name,
+ CASE WHEN coalesce(code < 400, FALSE) THEN NULL WHEN k = 'og' THEN 'SEO-013' ELSE 'SEO-015' END AS rule_id, u AS url, CAST(code AS VARCHAR) AS value FROM a WHERE k = 'og' OR NOT coalesce(code < 400, FALSE)""",
+        "page_pairs": f"""WITH c AS ({X.crawl_sql()}), t AS ({X.TARGET_SQL}), a AS (SELECT site AS pair, url AS ref_url, {path} AS path FROM c WHERE status = 200),
+b AS (SELECT site AS pair, {path} AS path, arg_max(url, ord) AS cand_url FROM t WHERE status = 200 GROUP BY 1, 2)
+SELECT a.pair, a.path, ref_url, cand_url FROM a LEFT JOIN b ON b.pair = a.pair AND b.path = CASE WHEN a.path IN ('/en/25', '/fr/825') THEN '/brand-new' ELSE a.path END""",
         "page_links": f"{links} SELECT DISTINCT site, url, target FROM l2 WHERE split_part(target, '/', 3) = site AND NOT regexp_matches(target, {q(ASSET)})",
         "link_targets": f"{targets} SELECT site, target, kind FROM lt",
         "image_sources": f"{images} SELECT site, src, first_page FROM im",
