@@ -39,8 +39,8 @@ def _picks(chrono):
     return last.select("target", F.expr("(last + 2) div 3").alias("n")), last.select("target", C("last").alias("n"))
 
 
-def _gate(s, d):
-    f, chrono, ev = _events(s, d)
+def _gate(s, d, known=None):
+    f, chrono, ev = known or _events(s, d)
     base, cand = _picks(chrono)
     states = T.current_state(ev.join(base.select("target", C("n").alias("bn")), "target").filter("scan_n <= bn").drop("bn"))
     diff = T.finding_diff(chrono, f, states, base, cand)
@@ -118,7 +118,7 @@ def queries():
         "trajectory": lambda s, d: T.trajectory(_points(s, d)),
         "streaks": lambda s, d: T.streaks(_points(s, d).withColumn("finding_count", F.when(C("finding_count") < 3, 0).otherwise(C("finding_count")))),
         "finding_rollups": lambda s, d: T.finding_rollups(_events(s, d)[2]),
-        "executive_summary": lambda s, d: (lambda e: T.executive_summary(T.timeline(e[1], e[0]), T.open_at_scan(e[1], e[2]), T.gate_verdicts(e[1], _gate(s, d)[2])))(_events(s, d)),
+        "executive_summary": lambda s, d: (lambda e: T.executive_summary(T.timeline(e[1], e[0]), T.open_at_scan(e[1], e[2]), T.gate_verdicts(e[1], _gate(s, d, e)[2])))(_events(s, d)),
         "store_integrity": lambda s, d: T.scan_integrity(*_tampered(s, d)).groupBy("issue").agg(F.count("*").alias("n")),
         "event_integrity": lambda s, d: T.event_integrity(*_bad_events(s, d)).groupBy("issue").agg(F.count("*").alias("n")),
         "clean_event_store": lambda s, d: (lambda e: T.event_integrity(e[2], e[1]))(_events(s, d)),
