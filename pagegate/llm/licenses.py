@@ -3,8 +3,9 @@
 Text is lower-cased and every run of other characters than a-z and 0-9 becomes one space. The units of a
 document are its lines and the document as a whole, so a one-line notice and a licence file are both seen. A unit
 and a template are sets of word bigrams; Dice is 2 * shared / (size + size). For a threshold t, a template of n
-bigrams can only match units of n*t/(2-t) to n*(2-t)/t bigrams, so most pairs are never compared. A unit takes
-its best template (ties: the smaller name). Nothing is shuffled.
+bigrams can only match units of n*t/(2-t) to n*(2-t)/t bigrams, so most pairs are never compared, and a text
+without any of the bigrams that every match must have is not taken apart. A unit takes its best template (ties: the
+smaller name). Nothing is shuffled.
 
 Null or empty texts have no match. Rows are judged one by one, so repeated rows give repeated results; extra
 columns are ignored; an empty table gives an empty result.
@@ -62,6 +63,18 @@ def compiled(templates: tuple[tuple[str, str], ...], threshold: float) -> list[t
     return out
 
 
+def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
+    """A pattern that every matching text contains. A match shares at least n*t/(2-t) of a template's n bigrams, so it
+    has one of any set of more than the rest; the longest bigrams make the rarest such set."""
+    grams = set()
+    for _, own, least, _ in compiled(templates, threshold):
+        grams |= set(sorted(own, key=lambda g: (-len(g), g))[: len(own) - least + 1])
+    by_letter: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        by_letter.setdefault(g[0], []).append(g[1:])
+    return r"(?:^|[ \n])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + r")(?:$|[ \n])"
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and hits: for every unit that matches, line (from 0; -1: the whole text), license and dice."""
     known = F.array(
@@ -71,7 +84,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         ]
     )
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9\n]+", " ")
-    lines = docs.select("doc_id", F.split(text, "\n").alias("lines"))
+    plain = docs.select("doc_id", text.alias("text"))
+    empty = F.expr("cast(array() as array<string>)")
+    lines = plain.select("doc_id", F.when(F.col("text").rlike(needed(templates, threshold)), F.split("text", "\n")).otherwise(empty).alias("lines"))
     # a document of one line is that line
     units = lines.select(
         "doc_id", F.when(F.size("lines") > 1, F.array_append("lines", F.array_join("lines", " "))).otherwise(F.col("lines")).alias("units"), F.size("lines").alias("n_lines")
