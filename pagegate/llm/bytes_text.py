@@ -149,3 +149,9 @@ def span_ranges(counts: np.ndarray) -> np.ndarray:
     """0 .. counts[0] - 1, 0 .. counts[1] - 1, and so on."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def long_lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an array<bigint> column."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
