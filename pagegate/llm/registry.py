@@ -7,9 +7,10 @@ from pagegate.llm.chunks import op10_fingerprints
 from pagegate.llm.decontam import op8_decontaminate
 from pagegate.llm.licenses import OP1_SQL, op1_license_scan
 from pagegate.llm.mixing import OP5_SQL, op5_mix_sources
+from pagegate.llm.neardup import OP7_SQL, op7_minhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op5_mix_sources, op8_decontaminate, op10_fingerprints)}
-ORACLES = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_mix_sources": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op5_mix_sources, op7_minhash_near_dedup, op8_decontaminate, op10_fingerprints)}
+ORACLES = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
 
 
 def queries() -> dict:
