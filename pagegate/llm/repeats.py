@@ -35,7 +35,7 @@ from pagegate.llm.graph import counted
 from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
-LENGTH, SEED, HOT = 200, 100, 512
+LENGTH, SEED, HOT = 200, 100, 4096
 SHARD_ROWS = 20_000
 PIECE = 1 << 18
 _SEED_BASE = 0x2545F4914F6CDD1D
