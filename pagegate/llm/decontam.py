@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegate.llm.bytes_text import U64, long_lists, mix, odd_constants, pieces, word_hashes, words
+from pagegate.llm.graph import counted
 from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
@@ -198,6 +199,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identi
     return laid.select("doc_id", "begin", "words", "item_id", "item_words", "shift").mapInArrow(verify, "doc_id bigint, item_id bigint, matched int, stretch int, begin int")
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows whose document is not contaminated, with all columns. Rows with one doc_id are one document."""
+    found = find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__leaking_id")).distinct()
+    gone = counted(found)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__leaking_id"]), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with whether it is contaminated, by how many items, and by which most (ties: the smaller id)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -11,8 +11,9 @@ from pagegate.llm.neardup import OP7_SQL, op7_minhash_near_dedup
 from pagegate.llm.ngram_lm import op6_backoff_lm
 from pagegate.llm.pii import op4_lstm_crf_pii
 from pagegate.llm.repeats import op9_suffix_array_dedup
+from pagegate.llm.toxicity import op3_toxicity_chain
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_lstm_crf_pii, op5_mix_sources, op6_backoff_lm, op7_minhash_near_dedup, op8_decontaminate, op9_suffix_array_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_toxicity_chain, op4_lstm_crf_pii, op5_mix_sources, op6_backoff_lm, op7_minhash_near_dedup, op8_decontaminate, op9_suffix_array_dedup, op10_fingerprints)}
 ORACLES = {"op1_license_scan": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
 
 
