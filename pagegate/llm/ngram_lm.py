@@ -232,7 +232,8 @@ def train_mask(t: pa.Table, first: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Automaton) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `with_fold(docs)`."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `with_fold(docs)`, from whose
+    training rows the model must come: words' own counts are taken here."""
     parts = n_parts(docs)
     dealt = docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {parts})").alias("part"), "doc_id", "text", "held_out")
     # kept as bytes for the tasks
