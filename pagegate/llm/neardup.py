@@ -8,8 +8,10 @@ the whole sequence is one shingle; without words it has none and is linked with
 2. 32 bands of 4 MinHash values give candidates: a pair at the threshold meets in none with probability 5e-6.
 3. A bucket's members are compared with one of them, drawn anew for each bucket and round, unless they are known to
    be of one component. Components are merged after each round. So a group of copies takes about one comparison for each
-   member and bucket, not all pairs. When rounds no longer pay, every pair of a bucket that still lies in two components is
-   compared, so no link that could join two components is missed.
+   member and bucket, not all pairs. When rounds no longer pay, the pairs of a bucket that still lie in two components are
+   left. A document can only share shingles that occur in another component too. These are counted by document and by PLACES
+   hash classes; two documents share at most the sum over classes of the smaller count. A pair for which that is too
+   little is no link. All others are compared, so no link that could join two components is missed.
 4. A comparison reads signatures in batches of 16 values. With m of n values equal and a uniform prior, the
    similarity's posterior is Beta(m + 1, n - m + 1); a pair is dropped as soon as its chance of reaching the threshold
    is below MISS. Survivors are verified on the full sets.
@@ -35,7 +37,7 @@ from pagegate.session import cut_lineage
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-7
 HASHES = BANDS * ROWS
-ROUNDS, PAYS = 6, 2
+ROUNDS, PAYS, PLACES = 6, 2, 128
 
 _SHIFT = (odd_constants(HASHES, 41) >> U64(32)).astype(np.uint32)
 _FACTOR = (odd_constants(HASHES, 42) >> U64(31)).astype(np.uint32) | np.uint32(1)
@@ -168,6 +170,26 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(counted(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "node bigint, set binary")
 
 
+def shareable(sets: DataFrame) -> DataFrame:
+    """For each (node, comp, set): its size, how many of its shingles some node of another component has, and their numbers
+    by hash class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(s.as_buffer(), np.int64) for s in b.column("set")]
+            n = np.array([len(s) for s in own], np.int64)
+            if n.sum():
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.record_batch([pa.array(np.concatenate(own)), b.column("node").take(at), b.column("comp").take(at)], ["shingle", "node", "comp"])
+
+    rows = sets.select("node", "comp", "set").mapInArrow(run, "shingle bigint, node bigint, comp bigint").repartition("shingle")
+    wide = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
+    by_place = rows.join(wide, "shingle").groupBy("node", F.expr(f"cast(pmod(shingle, {PLACES}) as int)").alias("place")).agg(F.count("*").alias("n"))
+    shared = by_place.groupBy("node").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size")).distinct().join(shared.select("node", "shared", places.alias("places")), "node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     told = cut_lineage(describe(docs))
@@ -215,9 +237,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = cut_lineage(members.join(comps, "node"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     rest = cut_lineage(placed.join(mixed, "key"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = rest.join(other, "key").filter("comp < comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    comps = merged(comps, links_among(pairs))
+    able = cut_lineage(shareable(sets.join(rest.select("node", "comp").distinct(), "node")).filter(f"100 * shared >= {PERCENT} * size"))
+    rest = rest.join(able, "node")
+    other = rest.select("key", *[F.col(c).alias(c + "_b") for c in ("node", "comp", "size", "shared", "places")])
+    enough = f"comp < comp_b and {100 + PERCENT} * least(shared, shared_b) >= {PERCENT} * (size + size_b)"
+    at_most = "aggregate(zip_with(places, places_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)"
+    pairs = rest.join(other, "key").filter(f"{enough} and {100 + PERCENT} * {at_most} >= {PERCENT} * (size + size_b)")
+    comps = merged(comps, links_among(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()))
 
     same_id = whole.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     everything = cut_lineage(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(same_id))
