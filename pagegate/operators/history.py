@@ -10,6 +10,8 @@ own most scans and one finding most observations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -131,9 +133,12 @@ def record_digest() -> Column:
     )
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows to append to a content-addressed table: a known id is a no-op, a repeated one counts once."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def new_rows(incoming: DataFrame, stored: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows to append to a content-addressed table: a known key is a no-op, a repeated one counts once."""
+    keys = [key] if isinstance(key, str) else key
+    known = stored.select(*[C(k).alias(f"known_{k}") for k in keys])
+    once = incoming.dropDuplicates(keys)
+    return once.join(known, reduce(lambda a, b: a & b, [once[k].eqNullSafe(known[f"known_{k}"]) for k in keys]), "left_anti")
 
 
 def scan_index(records: DataFrame, scan_finding: DataFrame) -> DataFrame:

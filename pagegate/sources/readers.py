@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagegate.functions.text import js_trim
 from pagegate.functions.urls import abs_url
+from pagegate.sources.stores import clean_label
 
 C = F.col
 
@@ -57,7 +58,7 @@ def scans(spark: SparkSession, *paths: str) -> DataFrame:
 
 def baseline(spark: SparkSession, store: str, label: str) -> DataFrame:
     """Scan results saved under a label; the label is a partition, so nothing else is read."""
-    return spark.read.parquet(store).filter(C("label") == label)
+    return spark.read.parquet(store).filter(C("label") == clean_label(label))
 
 
 def scan_findings(results: DataFrame) -> DataFrame:

@@ -35,6 +35,28 @@ def test_scans_baselines_and_records(spark, tmp_path):
     stores.record_scans(scans, str(tmp_path / "rec"))
     r = spark.read.parquet(str(tmp_path / "rec")).first()
     assert r.partial and r.skipped_suites == ["seo"]
+    stores.record_scans(scans, str(tmp_path / "rec"))
+    assert spark.read.parquet(str(tmp_path / "rec")).count() == 1
+
+
+def test_labels(spark):
+    assert stores.clean_label(" a  b/ü c ") == "a-b-c" and stores.clean_label("///") == "baseline"
+    assert stores.clean_label("x" * 70 + "1") != stores.clean_label("x" * 70 + "2")
+
+
+def test_ids_of_other_sites_and_other_sites_findings_stay(spark, tmp_path):
+    ids = spark.createDataFrame([("a", "page", "page:/", "PAGE-001"), ("b", "page", "page:/", "PAGE-001"), ("a", "form", "page:/", "FORM-001")], "site string, type string, identity_key string, id string")
+    for _ in range(2):
+        stores.append_ids(ids, str(tmp_path / "ids"))
+        stores.append_cases(ids, str(tmp_path / "cases"))
+    assert spark.read.parquet(str(tmp_path / "ids")).count() == spark.read.json(str(tmp_path / "cases")).count() == 3
+    stores.append_ids(ids.filter("site = 'a'").withColumn("id", F.lit("PAGE-009")), str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).count() == 3
+    found = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], "site string, scan_id string, rule_id string")
+    stores.write_findings(found, str(tmp_path / "f"))
+    stores.write_findings(found.filter("site = 'a'").withColumn("rule_id", F.lit("z")), str(tmp_path / "f"))
+    stores.write_findings(found.filter("site = 'a'").withColumn("scan_id", F.lit("2")), str(tmp_path / "f"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "f")).select("site", "rule_id").collect()) == [("a", "x"), ("a", "z"), ("b", "y")]
 
 
 def test_append_is_idempotent(spark, tmp_path):
