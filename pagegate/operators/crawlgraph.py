@@ -6,6 +6,8 @@ Tables: `crawl`, `sitemap_doc(site, scan_id, url, body)`, `sitemap_urls(site, sc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,15 +153,11 @@ def redirect_preservation(old_urls: DataFrame, url_status: DataFrame, strict: bo
     )
 
 
-# Hops a redirect is followed.
-MAX_HOPS = 8
-
-
 def redirect_chains(starts: DataFrame, redirect: DataFrame) -> DataFrame:
     """Follows each start url through the redirect table; chains have a loop or more than one hop.
 
-    Eight hops are eight joins on the url. A finished row keeps its place but asks for a key no
-    redirect has, one of its own, so finished rows neither match nor gather in one partition.
+    Only rows that still move are joined again; finished ones are set aside, until none is left. A
+    chain ends where no redirect leads on or where it meets a page of its own path.
     """
     step = redirect.filter(C("code").between(300, 399) & (C("location") != "")).select(
         *KEYS, C("url").alias("key"), abs_url(C("location"), C("url")).alias("nxt")
@@ -168,20 +166,24 @@ def redirect_chains(starts: DataFrame, redirect: DataFrame) -> DataFrame:
         *KEYS, "url", C("url").alias("cur"), F.lit(0).alias("hops"), F.array("url").alias("path"),
         F.lit(False).alias("loop"), F.lit(False).alias("done"),
     )
-    for _ in range(MAX_HOPS):
-        asking = at.withColumn("key", F.when(C("done"), F.concat(F.lit("done "), C("url"))).otherwise(C("cur")))
-        j = asking.join(step, [*KEYS, "key"], "left")
+    step, ended = cut_lineage(step), []
+    while True:
+        j = at.withColumn("key", C("cur")).join(step, [*KEYS, "key"], "left")
         moved = C("nxt").isNotNull()
         again = moved & F.array_contains("path", C("nxt"))
-        at = j.select(
+        moves = cut_lineage(j.select(
             *KEYS, "url",
             F.coalesce("nxt", "cur").alias("cur"),
             (C("hops") + moved.cast("int")).alias("hops"),
             F.when(moved, F.concat("path", F.array("nxt"))).otherwise(C("path")).alias("path"),
             (C("loop") | again).alias("loop"),
-            (C("done") | ~moved | again).alias("done"),
-        )
-    return at.filter("loop OR hops > 1").select(*KEYS, "url", "hops", "loop", C("cur").alias("final"))
+            (~moved | again).alias("done"),
+        ))
+        ended.append(moves.filter("done"))
+        at = moves.filter("not done")
+        if at.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended).filter("loop OR hops > 1").select(*KEYS, "url", "hops", "loop", C("cur").alias("final"))
 
 
 def reachable(edges: DataFrame, homes: DataFrame) -> DataFrame:

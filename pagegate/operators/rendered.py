@@ -1,12 +1,11 @@
 """Rules over facts a browser captured: layout, contrast, console, vitals, fonts, engines.
 
-Caps of ten per page and viewport are part of these rules; ranked filters let Spark keep ten rows
-per task before the shuffle.
+Every element that breaks a rule is a row; a report that wants the first few ranks them itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegate.functions.grades import contrast_ratio
@@ -14,12 +13,6 @@ from pagegate.functions.grades import contrast_ratio
 C = F.col
 PAGE = ["site", "page"]
 VIEW = ["site", "page", "viewport"]
-TOP = 10
-
-
-def _first(df: DataFrame, keys: list[str], *order: Column, n: int = TOP) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).filter(C("rn") <= n).drop("rn")
 
 
 def _hit(df: DataFrame, rule: str, value: Column, view: bool = True) -> DataFrame:
@@ -28,7 +21,7 @@ def _hit(df: DataFrame, rule: str, value: Column, view: bool = True) -> DataFram
 
 
 def overflow(docs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pages wider than their viewport, and the ten elements that bleed furthest on each of them.
+    """Pages wider than their viewport, and all elements that bleed out of them.
     `docs(.., width, doc_width)`, `boxes(.., selector, pos, x, w, h)`."""
     wide = docs.filter(C("doc_width") > C("width") + 2)
     page = _hit(wide, "RESP-002", F.concat("doc_width", F.lit("px")))
@@ -36,36 +29,34 @@ def overflow(docs: DataFrame, boxes: DataFrame) -> DataFrame:
     out = boxes.join(wide.select(*VIEW, "width"), VIEW).filter(
         (right > C("width") + 1) & (C("w") <= C("width") * 1.5) & (C("w") > 4)
     ).withColumn("bleed", right - C("width"))
-    worst = _first(out, VIEW, F.desc("bleed"), C("pos"))
-    return page.unionByName(_hit(worst, "RESP-003", F.concat(F.lit("+"), "bleed", F.lit("px"))))
+    return page.unionByName(_hit(out, "RESP-003", F.concat(F.lit("+"), "bleed", F.lit("px"))))
 
 
 def too_wide(docs: DataFrame, boxes: DataFrame) -> DataFrame:
     out = boxes.join(docs.select(*VIEW, "width"), VIEW).filter(C("w") > C("width") + 1)
-    return _hit(_first(out, VIEW, C("pos")), "RESP-004", F.concat("w", F.lit("px")))
+    return _hit(out, "RESP-004", F.concat("w", F.lit("px")))
 
 
 def touch_targets(docs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Small tap targets and small input fonts, on viewports that are touched."""
     b = boxes.join(docs.filter("touch").select(*VIEW), VIEW)
-    small = _first(b.filter(C("interactive") & ((C("w") < 44) | (C("h") < 44))), VIEW, C("pos"))
-    font = _first(b.filter(C("is_field") & (C("font_size") < 16)), VIEW, C("pos"))
+    small = b.filter(C("interactive") & ((C("w") < 44) | (C("h") < 44)))
+    font = b.filter(C("is_field") & (C("font_size") < 16))
     return _hit(small, "RESP-005", F.concat("w", F.lit("x"), "h")).unionByName(_hit(font, "RESP-006", F.concat("font_size", F.lit("px"))))
 
 
 def low_contrast(texts: DataFrame) -> DataFrame:
-    """Text below AA contrast: 4.5, or 3 for large text. First ten distinct selectors of a page."""
+    """Text below AA contrast: 4.5, or 3 for large text. One row for each selector of a page."""
     large = (C("font_size") >= 24) | ((C("font_size") >= 18.66) & (C("weight") >= 700))
     t = texts.withColumn("ratio", contrast_ratio(C("fg"), C("bg"))).filter(C("ratio") < F.when(large, 3.0).otherwise(4.5))
     once = t.groupBy(*PAGE, "selector").agg(F.min_by(F.struct("ratio", "pos"), "pos").alias("m"))
-    first = _first(once.select(*PAGE, "selector", "m.ratio", "m.pos"), PAGE, C("pos"))
-    return _hit(first, "A11Y-002", F.format_string("%.2f", F.round("ratio", 2)), view=False)
+    return _hit(once.select(*PAGE, "selector", "m.ratio", "m.pos"), "A11Y-002", F.format_string("%.2f", F.round("ratio", 2)), view=False)
 
 
 def wcag_violations(violations: DataFrame) -> DataFrame:
-    """First ten violations of a page with the severity their impact stands for."""
+    """Violations of a page with the severity their impact stands for."""
     sev = F.when(C("impact").isin("critical", "serious"), "high").when(C("impact") == "moderate", "medium").otherwise("low")
-    return _first(violations, PAGE, C("ord")).select(*PAGE, F.lit("A11Y-001").alias("rule_id"), "violation", "impact", sev.alias("severity"))
+    return violations.select(*PAGE, F.lit("A11Y-001").alias("rule_id"), "violation", "impact", sev.alias("severity"))
 
 
 def console_and_network(console: DataFrame, failed: DataFrame) -> DataFrame:

@@ -247,13 +247,14 @@ def grade_findings(deltas_: DataFrame, structure: DataFrame, unmatched: DataFram
 def fidelity(findings: DataFrame, structure: DataFrame, unmatched: DataFrame, profile: str = "balanced", ignored: DataFrame | None = None) -> DataFrame:
     """Fidelity score per site: penalties over the reference's elements. Ignored ids cost nothing."""
     p = PROFILES.get(profile, PROFILES["balanced"])
-    penalty = F.create_map(*[F.lit(x) for kv in p.items() for x in kv])[C("tier")]
+    # whole hundredths, so that no sum depends on the order of its terms
+    penalty = F.create_map(*[F.lit(x) for t, v in p.items() for x in (t, round(v * 100))])[C("tier")]
     f = findings
     if ignored is not None:
         f = f.join(ignored.select("site", "id").distinct().withColumn("ign", F.lit(True)), ["site", "id"], "left")
     else:
         f = f.withColumn("ign", F.lit(None).cast("boolean"))
-    f = f.withColumn("cost", F.when(C("ign"), 0.0).otherwise(penalty * C("weight")))
+    f = f.withColumn("cost", F.when(C("ign"), 0).otherwise(penalty * C("weight").cast("long")))
     num = f.groupBy("site").agg(
         F.sum("cost").alias("numerator"), F.count("*").alias("findings"), F.count("ign").alias("ignored"),
         *[F.count_if(C("tier") == t).alias("n_" + t.lower()) for t in TIERS],
@@ -265,9 +266,12 @@ def fidelity(findings: DataFrame, structure: DataFrame, unmatched: DataFrame, pr
     )
     j = den.join(lost, "site", "full_outer").join(num, "site", "left").fillna(0)
     total = C("budget") + C("lost") * F.when(C("median_ref") > 0, C("median_ref")).otherwise(1)
-    score = F.when(total > 0, F.least(F.greatest(round_half_up(F.lit(100.0) * (1 - C("numerator") / total)), F.lit(0)), F.lit(100))).cast("int")
-    return j.select(
-        "site", score.alias("score"), F.round("numerator", 2).alias("numerator"), total.cast("long").alias("denominator"), "findings", "ignored",
+    t = j.withColumn("total", total.cast("long"))
+    # half up: floor(x / total + 1/2) of the hundredths that are left
+    half_up = F.expr("(2 * (100 * total - cast(numerator as long)) + total) div (2 * total)")
+    score = F.when(C("total") > 0, F.least(F.greatest(half_up, F.lit(0)), F.lit(100))).cast("int")
+    return t.select(
+        "site", score.alias("score"), (C("numerator") / 100).alias("numerator"), C("total").alias("denominator"), "findings", "ignored",
         *["n_" + t.lower() for t in TIERS],
     )
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegate.session import spread
 
 SCAN = "scan-1"
 
@@ -123,7 +122,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_read(spark, sf_dir, "pages"))
+    return _read(spark, sf_dir, "pages")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

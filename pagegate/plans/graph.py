@@ -144,7 +144,7 @@ WHERE (kind = 'internal' AND coalesce(code NOT BETWEEN 200 AND 399, TRUE)) OR (k
         "redirect_preservation": f"SELECT site, url, {code.format(u='url')} AS code, coalesce({code.format(u='url')} BETWEEN 300 AND 399 OR {code.format(u='url')} IN (200, 410), FALSE) AS good, NULL AS severity FROM ({u})",
         "redirect_chains": f"""WITH RECURSIVE r AS ({X.REDIRECT_SQL}),
 w AS (SELECT url, url AS cur, 0 AS hops, [url] AS path, FALSE AS loop FROM r
- UNION ALL SELECT w.url, r.nxt, hops + 1, list_append(path, r.nxt), list_contains(path, r.nxt) FROM w JOIN r ON r.url = w.cur WHERE NOT loop AND hops < 8)
+ UNION ALL SELECT w.url, r.nxt, hops + 1, list_append(path, r.nxt), list_contains(path, r.nxt) FROM w JOIN r ON r.url = w.cur WHERE NOT loop)
 SELECT url, hops, loop, cur AS final FROM w a WHERE hops = (SELECT max(hops) FROM w b WHERE b.url = a.url) AND (loop OR hops > 1)""",
         "reachable_pages": f"""WITH RECURSIVE p AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS i FROM ({u})),
 w AS (SELECT site, url, i, 0 AS depth FROM p WHERE i = 1 UNION ALL

@@ -48,7 +48,7 @@ def _contracts(s, d):
 
 
 def _docs(s, d):
-    return X.spread(X.documents(s, d))
+    return X.documents(s, d)
 
 
 def queries():
@@ -93,7 +93,7 @@ def oracles():
     letters = "list_transform(w, lambda t: regexp_replace(lower(t), '[^a-z]', '', 'g'))"
     body = "regexp_replace(regexp_replace(t, '(?:[^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', '')"
     syl = f"list_sum(list_transform({letters}, lambda t: CASE WHEN t = '' THEN 0 WHEN length(t) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all({body}, '[aeiouy]{{1,2}}'))) END))"
-    stock = " + ".join(f"len({every('text', edged(p))}[1:20])" for p in STOCK_PHRASES)
+    stock = " + ".join(f"len({every('text', edged(p))})" for p in STOCK_PHRASES)
     whole = "CASE WHEN n_items = 0 THEN 1 ELSE n_items END"
     quality = "CASE " + " ".join(f"WHEN rule_id = {q(r['rule_id'])} THEN {q(r['quality'])}" for r in R.rule_rows() if r["quality"] != "verified") + " ELSE 'verified' END"
     norm = "rtrim(concat(lower(regexp_extract(url, '^[a-z]+://[^/?#]*')), regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/')"

@@ -313,7 +313,7 @@ def _more_sql() -> dict[str, str]:
     )
     ids = f"list_concat({every('html', rf'(?i)\bid{WS}*={WS}*\"([^\"]+)\"', 1)}, {every('html', rf'(?i)\bid{WS}*={WS}*\x27([^\x27]+)\x27', 1)})"
     dups = f"list_filter(list_distinct({ids}), lambda d: len(list_filter({ids}, lambda e: e = d)) > 1)"
-    out["stb-dup-id"] = arms(("DOM-003", f"{PAGE200} AND len({dups}) > 0", f"len({dups})", f"least(25, len({dups}))"))
+    out["stb-dup-id"] = arms(("DOM-003", f"{PAGE200} AND len({dups}) > 0", f"len({dups})", f"len({dups})"))
     els = f"len({every('html', '<[a-zA-Z][^>]*>')})"
     out["stb-dom"] = arms(("DOM-004", f"{PAGE200} AND {els} > 1500", els, "0"))
     inputs = every("html", r"(?i)<input\b[^>]*>")
@@ -326,7 +326,7 @@ def _more_sql() -> dict[str, str]:
     )
     barepw = f"CASE WHEN {kind} = 'password' AND NOT {has('t', rf'(?i)autocomplete{WS}*=')} THEN 1 ELSE 0 END"
     problems = f"coalesce(list_sum(list_transform({inputs}, lambda t: {wrong} + {barepw})), 0)"
-    out["stb-form"] = arms(("FORM-002", f"{PAGE200} AND {problems} > 0", f"CAST({problems} AS BIGINT)", f"least(25, {problems})"))
+    out["stb-form"] = arms(("FORM-002", f"{PAGE200} AND {problems} > 0", f"CAST({problems} AS BIGINT)", f"CAST({problems} AS BIGINT)"))
     uris = every("html", rf"(?i)<a\b[^>]*href{WS}*={WS}*{Q}((?:mailto:|tel:)[^\"']*){Q}", 1)
     bad_uri = keep(
         uris, "u",
@@ -400,7 +400,7 @@ def _advisory_sql() -> dict[str, str]:
         ("BP-008", f"{s} AND {doctype} <> '' AND NOT {has(doctype, rf'(?i)^<!doctype{WS}+html{WS}*>$')}", "''", "1"),
     )
     kinds = " + ".join(
-        f"len(list_distinct({every('visible', p)}[1:20]))" for _, p in ARTIFACTS
+        f"len(list_distinct({every('visible', p)}))" for _, p in ARTIFACTS
     )
     out["content-artifacts"] = arms(("FUNC-008", f"({kinds}) > 0", "''", f"({kinds})"), source="v")
     words = every("lower(visible)", "[a-z][a-z']*[a-z]|[a-z]")

@@ -178,12 +178,12 @@ gt AS (SELECT *, CASE WHEN kind IN ('missing-element', 'missing-page') THEN 'MIS
 
 def _fidelity(profile: str, ignore: str) -> str:
     p = V.PROFILES[profile]
-    pen = "CASE tier " + " ".join(f"WHEN '{t}' THEN {v}::DOUBLE" for t, v in p.items()) + " END"
+    pen = "CASE tier " + " ".join(f"WHEN '{t}' THEN {round(v * 100)}::BIGINT" for t, v in p.items()) + " END"
     tiers = ", ".join(f"count(*) FILTER (tier = '{t}') AS n_{t.lower()}" for t in V.TIERS)
-    return f""", nm AS (SELECT site, sum(CASE WHEN {ignore} THEN 0 ELSE {pen} * weight END) AS numerator, count(*) AS findings, count(*) FILTER ({ignore}) AS ignored, {tiers} FROM gt GROUP BY site),
-dn AS (SELECT coalesce(a.site, b.site) AS site, coalesce(budget, 0) + coalesce(lost, 0) * CASE WHEN coalesce(md, 0) > 0 THEN md ELSE 1 END AS total FROM (SELECT site, sum(ref_count) AS budget, floor(median(ref_count) FILTER (ref_count > 0) + 0.5) AS md FROM st WHERE vord = 0 GROUP BY site) a
+    return f""", nm AS (SELECT site, sum(CASE WHEN {ignore} THEN 0 ELSE {pen} * CAST(weight AS BIGINT) END)::BIGINT AS numerator, count(*) AS findings, count(*) FILTER ({ignore}) AS ignored, {tiers} FROM gt GROUP BY site),
+dn AS (SELECT coalesce(a.site, b.site) AS site, CAST(coalesce(budget, 0) + coalesce(lost, 0) * CASE WHEN coalesce(md, 0) > 0 THEN md ELSE 1 END AS BIGINT) AS total FROM (SELECT site, sum(ref_count) AS budget, floor(median(ref_count) FILTER (ref_count > 0) + 0.5) AS md FROM st WHERE vord = 0 GROUP BY site) a
  FULL JOIN (SELECT site, count(*) AS lost FROM lp GROUP BY site) b ON a.site = b.site)
-SELECT dn.site, CASE WHEN total > 0 THEN CAST(least(100, greatest(0, floor(100.0::DOUBLE * (1 - coalesce(numerator, 0) / total) + 0.5))) AS INTEGER) END AS score, round(coalesce(numerator, 0), 2) AS numerator, CAST(total AS BIGINT) AS denominator,
+SELECT dn.site, CASE WHEN total > 0 THEN CAST(least(100, greatest(0, (2 * (100 * total - coalesce(numerator, 0)) + total) // (2 * total))) AS INTEGER) END AS score, coalesce(numerator, 0) / 100.0::DOUBLE AS numerator, total AS denominator,
  coalesce(findings, 0) AS findings, coalesce(ignored, 0) AS ignored, {', '.join(f'coalesce(n_{t.lower()}, 0) AS n_{t.lower()}' for t in V.TIERS)} FROM dn LEFT JOIN nm ON nm.site = dn.site"""
 
 
@@ -235,15 +235,15 @@ SELECT run, row_number() OVER w AS n, t AS "at", 'balanced' AS profile, lag(scor
         "explain_empty": f"""WITH k AS (SELECT {X.SITE_SQL} AS run, min(page_id) % 7 AS k FROM pages GROUP BY 1)
 SELECT run, CASE WHEN k IN (1, 2, 3, 6) THEN 'reference-unreachable' WHEN k = 4 THEN 'candidate-unreachable' ELSE 'no-common-pages' END AS reason, CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'dns' WHEN 3 THEN 'timeout' WHEN 4 THEN 'refused' WHEN 6 THEN 'no-pages' END AS cause FROM k WHERE k <> 0""",
         "horizontal_overflow": f"""{b} SELECT site, page, viewport, 'RESP-002' AS rule_id, '' AS selector, concat(doc_width, 'px') AS value FROM dc WHERE doc_width > width + 2
-UNION ALL SELECT t.site, t.page, t.viewport, 'RESP-003', selector, concat('+', x + w - t.width, 'px') FROM {top('x + w > width + 1 AND w <= width * 1.5 AND w > 4', 'x + w DESC, pos')} t JOIN dc ON dc.site = t.site AND dc.page = t.page AND dc.viewport = t.viewport AND doc_width > dc.width + 2 WHERE rn <= 10""",
-        "too_wide": f"{b} SELECT site, page, viewport, 'RESP-004' AS rule_id, selector, concat(w, 'px') AS value FROM {top('w > width + 1', 'pos')} WHERE rn <= 10",
-        "touch_targets": f"""{b} SELECT site, page, viewport, 'RESP-005' AS rule_id, selector, concat(w, 'x', h) AS value FROM {top('touch AND interactive AND (w < 44 OR h < 44)', 'pos')} WHERE rn <= 10
-UNION ALL SELECT site, page, viewport, 'RESP-006', selector, concat(font_size, 'px') FROM {top('touch AND is_field AND font_size < 16', 'pos')} WHERE rn <= 10""",
+UNION ALL SELECT t.site, t.page, t.viewport, 'RESP-003', selector, concat('+', x + w - t.width, 'px') FROM {top('x + w > width + 1 AND w <= width * 1.5 AND w > 4', 'x + w DESC, pos')} t JOIN dc ON dc.site = t.site AND dc.page = t.page AND dc.viewport = t.viewport AND doc_width > dc.width + 2""",
+        "too_wide": f"{b} SELECT site, page, viewport, 'RESP-004' AS rule_id, selector, concat(w, 'px') AS value FROM {top('w > width + 1', 'pos')}",
+        "touch_targets": f"""{b} SELECT site, page, viewport, 'RESP-005' AS rule_id, selector, concat(w, 'x', h) AS value FROM {top('touch AND interactive AND (w < 44 OR h < 44)', 'pos')}
+UNION ALL SELECT site, page, viewport, 'RESP-006', selector, concat(font_size, 'px') FROM {top('touch AND is_field AND font_size < 16', 'pos')}""",
         "contrast": f"{b} SELECT site, page, pos, round({ratio}, 4) AS ratio FROM bx WHERE viewport = '{X.VIEWPORTS[0][0]}'",
         "low_contrast": f"""{b}, t AS (SELECT site, page, selector, min(pos) AS pos FROM bx WHERE viewport = '{X.VIEWPORTS[0][0]}' AND {ratio} < CASE WHEN {large} THEN 3.0 ELSE 4.5 END GROUP BY ALL)
-SELECT site, page, selector FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY pos) AS rn FROM t) WHERE rn <= 10""",
+SELECT site, page, selector FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY pos) AS rn FROM t)""",
         "wcag_violations": f"""SELECT site, page, event_type AS violation, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY event_id) AS rn FROM ({facts})) WHERE rn <= 10 GROUP BY ALL""",
+FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY event_id) AS rn FROM ({facts})) GROUP BY ALL""",
         "console_network": f"SELECT site, page, 'CON-001' AS rule_id, count(*) AS n FROM ({facts}) WHERE event_type = 'error' GROUP BY ALL UNION ALL SELECT site, page, 'CON-002', count(DISTINCT floor(value)) FROM ({facts}) WHERE event_type = 'click' GROUP BY site, page",
         "page_weight": f"SELECT site, page, count(*) AS requests, CAST(sum(CAST(floor(value * 10000) AS BIGINT)) AS BIGINT) AS bytes FROM ({facts}) GROUP BY ALL HAVING count(*) > 120 OR sum(floor(value * 10000)) > 4194304",
         "web_vitals": f"""WITH v AS (SELECT site, page, max(value * 200) FILTER (event_type = 'view') AS lcp, sum(value / 100) FILTER (event_type = 'click' AND event_id % 3 <> 0) AS s, bool_or(event_type = 'click') AS seen FROM ({facts}) WHERE event_type IN ('view', 'click') AND event_id % 40 = 7 GROUP BY ALL),
