@@ -409,12 +409,12 @@ HISTORY_COLUMNS = {
 
 def scan_findings_sql() -> str:
     cols = ", ".join(f"{sql} AS {n}" for n, sql in HISTORY_COLUMNS.items())
-    return f"SELECT DISTINCT {cols}, user_id * 10 + {BUCKET} AS pos FROM events WHERE event_type <> 'view' OR user_id % 3 = 0"
+    return f"SELECT DISTINCT {cols}, user_id * 10 + {BUCKET} AS pos FROM events"
 
 
 def scan_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = lambda sql: F.expr(sql.replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING"))
-    e = events(spark, sf_dir).filter("event_type <> 'view' OR user_id % 3 = 0")
+    e = events(spark, sf_dir)
     f = e.select(*[fix(sql).alias(n) for n, sql in HISTORY_COLUMNS.items()], fix(f"user_id * 10 + {BUCKET}").alias("pos")).distinct()
     item_ = F.struct(
         F.col("page").alias("page"), F.lit("main").alias("section"), F.col("event_type").alias("id"),
@@ -541,7 +541,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, b = boxes(spark, sf_dir)
     grey = lambda k: F.array(*[((F.col("pos") * k) % 256).cast("int")] * 3)
-    return b.filter(f"viewport = '{VIEWPORTS[0][0]}'").select("*", grey(29).alias("fg"), grey(97).alias("bg"))
+    return b.select("*", grey(29).alias("fg"), grey(97).alias("bg"))
 
 
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,8 +77,8 @@ def _light(s, d):
         fix(cols["target"]).alias("host"), fix(cols["ts"]).alias("ts"), fix(cols["suite"]).alias("suite"),
         fix(LIGHT_NAME).alias("name"), fix(LIGHT_STATUS).alias("status"), "user_id",
     )
-    a = rows.filter("substr(ts, 1, 10) < '2024-01-16' AND user_id % 4 <> 1")
-    b = rows.filter("substr(ts, 1, 10) >= '2024-01-16' AND user_id % 4 <> 2")
+    a = rows.filter("substr(ts, 1, 10) < '2024-01-16'")
+    b = rows.filter("substr(ts, 1, 10) >= '2024-01-16'")
     return a, b
 
 
@@ -211,7 +211,7 @@ def oracles():
     name, st = LIGHT_NAME, LIGHT_STATUS
     h = X.HISTORY_COLUMNS
     light = f"""WITH r AS (SELECT {h['target']} AS host, {h['ts']} AS ts, {h['suite']} AS suite, {name} AS name, {st} AS status, user_id FROM events),
-a AS (SELECT * FROM r WHERE substr(ts, 1, 10) < '2024-01-16' AND user_id % 4 <> 1), b AS (SELECT * FROM r WHERE substr(ts, 1, 10) >= '2024-01-16' AND user_id % 4 <> 2),
+a AS (SELECT * FROM r WHERE substr(ts, 1, 10) < '2024-01-16'), b AS (SELECT * FROM r WHERE substr(ts, 1, 10) >= '2024-01-16'),
 ka AS (SELECT host, suite, regexp_replace(lower(name), '[0-9]+', '#', 'g') AS chk, max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS r FROM a WHERE status <> 'manual' GROUP BY ALL),
 kb AS (SELECT host, suite, regexp_replace(lower(name), '[0-9]+', '#', 'g') AS chk, max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS r FROM b WHERE status <> 'manual' GROUP BY ALL),
 x AS (SELECT coalesce(ka.host, kb.host) AS host, coalesce(ka.suite, kb.suite) AS suite, coalesce(ka.chk, kb.chk) AS chk, ka.r AS ra, kb.r AS rb,

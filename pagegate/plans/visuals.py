@@ -81,7 +81,7 @@ def _engines(s, d):
 
 
 def _rerates(s, d):
-    e = X.event_facts(s, d).filter("event_type = 'signup'")
+    e = X.event_facts(s, d)
     return e.select(C("site").alias("run"), F.format_string("%012d", "event_id").alias("at"), F.lit("balanced").alias("profile"), F.floor("value").alias("score"))
 
 
@@ -126,7 +126,7 @@ def queries():
         "console_network": lambda s, d: (lambda e: N.console_and_network(e.filter("event_type = 'error'"), e.filter("event_type = 'click'").withColumn("request", F.floor("value"))))(X.event_facts(s, d)),
         "page_weight": lambda s, d: N.page_weight(X.event_facts(s, d).withColumn("bytes", F.floor(C("value") * 10000))).select("site", "page", "requests", "bytes"),
         "web_vitals": lambda s, d: N.web_vitals(
-            X.event_facts(s, d).filter("event_type IN ('view', 'click')").filter("event_id % 40 = 7").select(
+            X.event_facts(s, d).filter("event_type IN ('view', 'click')").select(
                 "site", "page", F.expr("CASE event_type WHEN 'view' THEN 'lcp' ELSE 'cls' END").alias("kind"),
                 F.expr("CASE event_type WHEN 'view' THEN value * 200 ELSE value / 100 END").alias("value"), F.expr("event_id % 3 = 0").alias("recent_input"),
             )
@@ -138,7 +138,7 @@ def queries():
         "fonts_kept": lambda s, d: N.fonts_kept(_used(s, d, 0), _used(s, d, 1)),
         "engine_rows": lambda s, d: N.engine_rows(*_engines(s, d)),
         "blocking_overlays": lambda s, d: N.blocking_overlays(_fonts(s, d).select("site", "page", F.expr("page_id % 5 = 0").alias("still_blocking"), F.expr("CASE WHEN page_id % 2 = 0 THEN 'intercepts' ELSE 'paints' END").alias("reason"), F.expr("(page_id % 100) / 100").alias("cover"))),
-        "consent_rows": lambda s, d: N.consent_rows(_fonts(s, d).filter("page_id % 3 = 0").select("site", "page")),
+        "consent_rows": lambda s, d: N.consent_rows(_fonts(s, d).select("site", "page")),
         "swept_viewports": lambda s, d: N.swept_viewports(
             _fonts(s, d).select("site", "page", F.explode(F.array(F.lit("1920 · Desktop"), F.lit("390 · Phone"))).alias("viewport"), "page_id").withColumn("swept", F.expr("viewport = '1920 · Desktop' OR page_id % 50 <> 3"))
         ),
@@ -230,7 +230,7 @@ SELECT page, pos, ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], la
         "fidelity_grade": f"{e}{_fidelity('balanced', 'FALSE')}",
         "fidelity_strict": f"{e}{_fidelity('strict', 'FALSE')}",
         "fidelity_ignored": f"{e}{_fidelity('lenient', "kind = 'moved'")}",
-        "rerate_ledger": f'''WITH r AS (SELECT site AS run, printf('%012d', event_id) AS t, CAST(floor(value) AS BIGINT) AS score FROM ({facts}) WHERE event_type = 'signup')
+        "rerate_ledger": f'''WITH r AS (SELECT site AS run, printf('%012d', event_id) AS t, CAST(floor(value) AS BIGINT) AS score FROM ({facts}))
 SELECT run, row_number() OVER w AS n, t AS "at", 'balanced' AS profile, lag(score) OVER w AS before, score AS after FROM r WINDOW w AS (PARTITION BY run ORDER BY t)''',
         "explain_empty": f"""WITH k AS (SELECT {X.SITE_SQL} AS run, min(page_id) % 7 AS k FROM pages GROUP BY 1)
 SELECT run, CASE WHEN k IN (1, 2, 3, 6) THEN 'reference-unreachable' WHEN k = 4 THEN 'candidate-unreachable' ELSE 'no-common-pages' END AS reason, CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'dns' WHEN 3 THEN 'timeout' WHEN 4 THEN 'refused' WHEN 6 THEN 'no-pages' END AS cause FROM k WHERE k <> 0""",
@@ -239,14 +239,14 @@ UNION ALL SELECT t.site, t.page, t.viewport, 'RESP-003', selector, concat('+', x
         "too_wide": f"{b} SELECT site, page, viewport, 'RESP-004' AS rule_id, selector, concat(w, 'px') AS value FROM {top('w > width + 1', 'pos')}",
         "touch_targets": f"""{b} SELECT site, page, viewport, 'RESP-005' AS rule_id, selector, concat(w, 'x', h) AS value FROM {top('touch AND interactive AND (w < 44 OR h < 44)', 'pos')}
 UNION ALL SELECT site, page, viewport, 'RESP-006', selector, concat(font_size, 'px') FROM {top('touch AND is_field AND font_size < 16', 'pos')}""",
-        "contrast": f"{b} SELECT site, page, pos, round({ratio}, 4) AS ratio FROM bx WHERE viewport = '{X.VIEWPORTS[0][0]}'",
-        "low_contrast": f"""{b}, t AS (SELECT site, page, selector, min(pos) AS pos FROM bx WHERE viewport = '{X.VIEWPORTS[0][0]}' AND {ratio} < CASE WHEN {large} THEN 3.0 ELSE 4.5 END GROUP BY ALL)
+        "contrast": f"{b} SELECT site, page, pos, round({ratio}, 4) AS ratio FROM bx",
+        "low_contrast": f"""{b}, t AS (SELECT site, page, selector, min(pos) AS pos FROM bx WHERE {ratio} < CASE WHEN {large} THEN 3.0 ELSE 4.5 END GROUP BY ALL)
 SELECT site, page, selector FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY pos) AS rn FROM t)""",
         "wcag_violations": f"""SELECT site, page, event_type AS violation, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY event_id) AS rn FROM ({facts})) GROUP BY ALL""",
         "console_network": f"SELECT site, page, 'CON-001' AS rule_id, count(*) AS n FROM ({facts}) WHERE event_type = 'error' GROUP BY ALL UNION ALL SELECT site, page, 'CON-002', count(DISTINCT floor(value)) FROM ({facts}) WHERE event_type = 'click' GROUP BY site, page",
         "page_weight": f"SELECT site, page, count(*) AS requests, CAST(sum(CAST(floor(value * 10000) AS BIGINT)) AS BIGINT) AS bytes FROM ({facts}) GROUP BY ALL HAVING count(*) > 120 OR sum(floor(value * 10000)) > 4194304",
-        "web_vitals": f"""WITH v AS (SELECT site, page, max(value * 200) FILTER (event_type = 'view') AS lcp, sum(value / 100) FILTER (event_type = 'click' AND event_id % 3 <> 0) AS s, bool_or(event_type = 'click') AS seen FROM ({facts}) WHERE event_type IN ('view', 'click') AND event_id % 40 = 7 GROUP BY ALL),
+        "web_vitals": f"""WITH v AS (SELECT site, page, max(value * 200) FILTER (event_type = 'view') AS lcp, sum(value / 100) FILTER (event_type = 'click' AND event_id % 3 <> 0) AS s, bool_or(event_type = 'click') AS seen FROM ({facts}) WHERE event_type IN ('view', 'click') GROUP BY ALL),
 c AS (SELECT *, CASE WHEN seen THEN coalesce(s, 0) END AS c FROM v)
 SELECT site, page, lcp, round(c, 3) AS cls, CASE WHEN lcp IS NULL THEN 'unmeasured' WHEN lcp > 4000 THEN 'poor' WHEN lcp > 2500 THEN 'needs-improvement' ELSE 'good' END AS lcp_grade, CASE WHEN c IS NULL THEN 'unmeasured' WHEN round(c, 6) > 0.25 THEN 'poor' WHEN round(c, 6) > 0.1 THEN 'needs-improvement' ELSE 'good' END AS cls_grade FROM c""",
         "font_findings": ft,
@@ -260,6 +260,6 @@ SELECT site, page, 'ICON-001' AS rule_id, count(*) AS n FROM i GROUP BY site, pa
  CASE WHEN NOT av THEN 'engine-missing' WHEN page_id % 10 = 3 THEN 'engine-abandoned' END AS reason, CASE WHEN av AND page_id % 10 IN (4, 5) THEN page_id % 10 = 5 END AS shared_with_primary
 FROM (SELECT *, page_id % 10 <> 0 OR engine = 'firefox' AS av FROM (SELECT *, unnest(['firefox', 'webkit']) AS engine FROM {pg}))""",
         "blocking_overlays": f"SELECT site, page, 'CON-003' AS rule_id, concat(CASE WHEN page_id % 2 = 0 THEN 'blocks interaction across ' ELSE 'paints over ' END, page_id % 100, '% of the viewport') AS detail FROM {pg} WHERE page_id % 5 = 0",
-        "consent_rows": f"SELECT site, count(*) AS clicks, count(DISTINCT page) AS pages FROM {pg} WHERE page_id % 3 = 0 GROUP BY site",
+        "consent_rows": f"SELECT site, count(*) AS clicks, count(DISTINCT page) AS pages FROM {pg} GROUP BY site",
         "swept_viewports": f"SELECT DISTINCT site, '1920 · Desktop' AS viewport FROM {pg} UNION ALL SELECT site, '390 · Phone' FROM {pg} GROUP BY site HAVING count(*) FILTER (page_id % 50 = 3) = 0",
     }
