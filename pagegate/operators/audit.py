@@ -14,7 +14,7 @@ from pagegate.operators.detect_advisory import ADVISORY
 from pagegate.operators.detect_interaction import INTERACTION
 from pagegate.operators.detect_more import INDEXING, SECURITY, STRUCTURE
 from pagegate.operators.detect_static import SEO, STATIC
-from pagegate.operators.findings import ITEMS, detect, text
+from pagegate.operators.findings import ITEMS, Detector, Hit, detect, text
 from pagegate.operators.groups import duplicates
 from pagegate.operators.page_ctx import KEYS, page_ctx
 from pagegate.session import cut_lineage
@@ -36,15 +36,30 @@ def page_detectors(skip_suites: Iterable[str] = ()) -> list:
     return out
 
 
-def duplicate_findings(ctx: DataFrame) -> DataFrame:
-    """Titles and descriptions shared by several auditable pages of a site."""
-    live = ctx.filter("is_html AND status = 200")
+SHARED = (("title", "SEO-009", "duplicate-title"), ("description", "SEO-010", "duplicate-description"))
+_TOLD = "page-facts"
+
+
+def _told_hits() -> list[Hit]:
+    live = C("is_html") & (C("status") == 200)
+    return [Hit(rule_id, SEO, live & (F.trim(column) != ""), "", F.trim(column)) for column, rule_id, _ in SHARED]
+
+
+TELL = Detector(_TOLD, _told_hits)
+
+
+def told(ctx: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
+    """Findings of the detectors, and beside them the titles and descriptions of pages, in one pass over the HTML.
+    They are written once; whatever compares pages with each other reads these narrow rows."""
+    return cut_lineage(detect(ctx, [*detectors, TELL]))
+
+
+def duplicate_findings(facts: DataFrame) -> DataFrame:
+    """Titles and descriptions shared by several auditable pages of a site, from what `told` wrote."""
     out = None
-    for column, rule_id, check in (
-        ("title", "SEO-009", "duplicate-title"),
-        ("description", "SEO-010", "duplicate-description"),
-    ):
-        pages = live.select(*KEYS, "url", "ord", F.trim(column).alias("shared")).filter("shared <> ''")
+    for _, rule_id, check in SHARED:
+        mine = facts.filter((C("check_id") == _TOLD) & (C("rule_id") == rule_id))
+        pages = mine.select(*KEYS, "url", "ord", C("value").alias("shared"))
         dup = duplicates(pages, "shared", list(KEYS)).select(
             *KEYS, "url", "ord", F.lit(rule_id).alias("rule_id"), F.lit(check).alias("check_id"),
             F.lit(SEO).alias("section"),
@@ -57,8 +72,10 @@ def duplicate_findings(ctx: DataFrame) -> DataFrame:
 
 def page_findings(crawl: DataFrame, env: str | None = "live", skip_suites: Iterable[str] = ()) -> DataFrame:
     ctx = page_ctx(crawl, env)
-    found = detect(ctx, page_detectors(skip_suites))
-    return found.unionByName(duplicate_findings(ctx)) if "seo" not in W.normalize_skip(skip_suites) else found
+    if "seo" in W.normalize_skip(skip_suites):
+        return detect(ctx, page_detectors(skip_suites))
+    facts = told(ctx, page_detectors(skip_suites))
+    return facts.filter(C("check_id") != _TOLD).unionByName(duplicate_findings(facts))
 
 
 def gate_findings(crawl: DataFrame, env: str | None = None) -> DataFrame:

@@ -76,10 +76,10 @@ def queries():
         "exposure_probes": q_site(lambda s, d: P.exposure_findings(X.probe(s, d))),
         "tls_verdict": lambda s, d: P.tls_rows(X.tls_fact(s, d)).select("site", "status", "name", "rule_id", "value"),
         "duplicate_titles": lambda s, d: _plain(
-            A.duplicate_findings(page_ctx(X.crawl(s, d))).filter("rule_id = 'SEO-009'")
+            A.duplicate_findings(A.told(page_ctx(X.crawl(s, d)), [])).filter("rule_id = 'SEO-009'")
         ),
         "duplicate_descriptions": lambda s, d: _plain(
-            A.duplicate_findings(page_ctx(X.crawl(s, d))).filter("rule_id = 'SEO-010'")
+            A.duplicate_findings(A.told(page_ctx(X.crawl(s, d)), [])).filter("rule_id = 'SEO-010'")
         ),
         "form_audit": lambda s, d: W.form_audit(X.crawl(s, d)).select("site", "url", "pos", F.size("problems").alias("problems")),
         "check_rows": lambda s, d: W.check_rows(_audit(s, d).findings).select(

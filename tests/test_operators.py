@@ -229,3 +229,17 @@ def test_relocation_equals_brute_force(spark):
     n = {r.kind: r["count"] for r in d}
     both = m.filter("r IS NOT NULL AND c IS NOT NULL").count()
     assert n["missing"] + len(got) + both == 120 and n["extra"] + len(got) + both == 120
+
+
+def test_pages_are_read_once_and_never_shuffled(spark):
+    """Findings come from what one pass wrote: their plan reads no HTML, and the pass itself has no exchange."""
+    from pagegate.operators import audit
+    from pagegate.operators.findings import detect
+    from pagegate.operators.page_ctx import page_ctx
+    from pagegate.plans import fixtures
+
+    crawl = fixtures.crawl(spark, "/root/testdata/sf0.001")
+    plan = detect(page_ctx(crawl, "live"), [*audit.page_detectors(), audit.TELL])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    after = audit.page_findings(crawl)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pages.parquet" not in after and "html" not in after
