@@ -137,11 +137,11 @@ def with_advisory(rows: DataFrame, advisory: DataFrame, words: DataFrame) -> Dat
         F.when((n == 0) & (C("rule_suite") == "copy"), "clean — nothing flagged for review")
         .when((n == 0) & (C("rule_suite") == "best-practices"), "ok")
         .when(n == 0, "clean")
-        .when(C("rule_id") == "COPY-003", text(n, " phrase(s) flagged for review — ", F.format_string("%.1f", density), " per 1000 words (informational; does not affect score)"))
-        .when(C("rule_suite") == "copy", text(n, " item(s) flagged for review (does not affect score)"))
-        .when(C("rule_id") == "FUNC-008", text(n, " artifact(s)"))
-        .when(C("rule_id") == "FUNC-009", text(n, " issue(s)"))
-        .otherwise(text(n, " occurrence(s)"))
+        .when(C("rule_id") == "COPY-003", text(n, " phrases to look at, ", F.format_string("%.1f", density), " in a thousand words; the score is not changed"))
+        .when(C("rule_suite") == "copy", text(n, " items to look at; the score is not changed"))
+        .when(C("rule_id") == "FUNC-008", text(n, " loose symbols"))
+        .when(C("rule_id") == "FUNC-009", text(n, " words to check"))
+        .otherwise(text(n, " times"))
     )
     extra = j.select(
         *KEYS, C("rule_suite").alias("suite"), F.lit("advisory").alias("check_id"), status.alias("status"),
