@@ -323,7 +323,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every row."""
     rows = keyed_rows(docs)
     texts = one_of_each(rows)
-    dealt = seeds_of(texts).repartition("seed")
+    # written once: a seed may hold a third of all anchors, and a plain join lets Spark split it
+    dealt = cut_lineage(seeds_of(texts))
     often = dealt.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
     kept = cut_lineage(dealt.join(often, "seed").select("seed", "id", "hash", "place", (F.col("n") > HOT).alias("hot")))
     n_shards = max(1, -(-kept.filter("not hot").count() // SHARD_ROWS))
