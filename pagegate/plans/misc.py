@@ -97,7 +97,19 @@ def oracles():
     whole = "CASE WHEN n_items = 0 THEN 1 ELSE n_items END"
     quality = "CASE " + " ".join(f"WHEN rule_id = {q(r['rule_id'])} THEN {q(r['quality'])}" for r in R.rule_rows() if r["quality"] != "verified") + " ELSE 'verified' END"
     norm = "rtrim(concat(lower(regexp_extract(url, '^[a-z]+://[^/?#]*')), regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/')"
+    null = lambda v: "NULL" if v is None else q(v)
+    rules = ", ".join("(" + ", ".join(null(r[k]) for k in ("rule_id", "suite", "severity", "a11y", "seo", "security", "effort", "fixability")) + ")" for r in R.rule_rows())
+    rating = lambda c: f"CASE {c} WHEN 'high' THEN 3 WHEN 'med' THEN 2 WHEN 'low' THEN 1 END"
+    said = lambda c, text: f"CASE WHEN {c} IS NOT NULL THEN {{'o': -({rating(c)}), 't': concat('{text} (', CASE {c} WHEN 'med' THEN 'medium' ELSE {c} END, ')')}} END"
+    told = ", ".join((said("a11y", "accessibility for assistive-tech users"), said("seo", "search visibility"), said("security", "site security")))
+    suites = "CASE suite WHEN 'functional' THEN 'core page functionality' WHEN 'links' THEN 'working links and navigation' WHEN 'forms' THEN 'forms and submissions' WHEN 'responsive' THEN 'the mobile / responsive layout' WHEN 'a11y' THEN 'accessibility for assistive-tech users' WHEN 'seo' THEN 'search-engine visibility' WHEN 'performance' THEN 'page performance and load speed' WHEN 'security' THEN 'site security' WHEN 'crossbrowser' THEN 'cross-browser consistency' WHEN 'console' THEN 'runtime stability (browser console)' WHEN 'best-practices' THEN 'code best-practice' WHEN 'visual' THEN 'visual fidelity' ELSE 'the site' END"
     return {
+        "impact_sentence": f"""{g}, rl(rule_id, suite, severity, a11y, seo, security, effort, fixability) AS (VALUES {rules}),
+ax AS (SELECT *, list_filter([{told}], lambda x: x IS NOT NULL) AS a, CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN severity IN ('medium', 'low') THEN severity END AS sev FROM rl WHERE rule_id IN (SELECT rule_id FROM g)),
+so AS (SELECT *, list_transform(list_concat(list_filter(a, lambda x: x.o = -3), list_filter(a, lambda x: x.o = -2), list_filter(a, lambda x: x.o = -1)), lambda x: x.t) AS t, list_min(list_transform(a, lambda x: x.o)) AS top FROM ax)
+SELECT rule_id, concat(CASE WHEN top = -3 OR (len(a) = 0 AND sev = 'high') THEN 'Hurts ' ELSE 'Affects ' END,
+ CASE len(t) WHEN 0 THEN concat({suites}, CASE WHEN sev IS NOT NULL THEN concat(' (', sev, ')') ELSE '' END) WHEN 1 THEN t[1] WHEN 2 THEN concat(t[1], ' and ', t[2]) ELSE concat(t[1], ', ', t[2], ', and ', t[3]) END, '; ',
+ CASE WHEN effort IS NOT NULL THEN concat(CASE effort WHEN 'med' THEN 'medium' ELSE effort END, ' dev effort to fix', CASE WHEN fixability IN ('guided', 'automatic') THEN concat(' (', fixability, ')') ELSE '' END) WHEN fixability = 'guided' THEN 'guided fix available' ELSE 'requires a manual fix' END, '.') AS why FROM so""",
         "contract_rows": f"{g} SELECT site, rule_id, suite AS category, severity, tier, {quality} AS evidence_quality, sum({whole}) AS n FROM g GROUP BY ALL",
         "contract_fingerprints": f"""{g} SELECT url, rule_id, sha256(concat('{{"evidence":"', value, '","ruleId":"', rule_id, '","selector":"","url":"', {norm}, '"}}')) AS fingerprint FROM g WHERE rule_id IN ('RESP-001', 'SEO-014', 'FUNC-005')""",
         "contract_gaps": "SELECT '' AS gap, 0 AS n WHERE FALSE",
