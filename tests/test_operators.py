@@ -176,11 +176,11 @@ def test_policy(spark):
     assert {r.target: r.verdict for r in T.gate_verdicts(delta, found).collect()} == {"t": "FAIL", "u": "WARN", "v": "PASS"}
 
 
-def test_redirect_loops_and_limits(spark):
+def test_redirect_loops_and_long_chains(spark):
     hops = [("https://a.b/0", "/1"), ("https://a.b/1", "/2"), ("https://a.b/2", "/0"), ("https://a.b/s", "/end")] + [(f"https://a.b/c{i}", f"/c{i + 1}") for i in range(12)]
     r = spark.createDataFrame([("a.b", "1", u, 301, to) for u, to in hops], "site string, scan_id string, url string, code int, location string")
     got = {x.url: (x.hops, x.loop, x.final) for x in G.redirect_chains(r, r).collect()}
-    assert got["https://a.b/0"] == (3, True, "https://a.b/0") and "https://a.b/s" not in got and got["https://a.b/c0"] == (8, False, "https://a.b/c8")
+    assert got["https://a.b/0"] == (3, True, "https://a.b/0") and "https://a.b/s" not in got and got["https://a.b/c0"] == (12, False, "https://a.b/c12")
 
 
 def test_stratified_sample_takes_turns(spark):
