@@ -1,15 +1,16 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end for each document. Counts are those of training
-documents, whole table. A word's own chance is (c + 1) / (N + V + 1). Above it stand bigrams and trigrams of frequent words
-(a share of SHORT_LIST of all tokens or more) that make up a share of KEPT or more themselves, with a fixed discount; what they
-leave goes to the shorter history in proportion, so every history's chances sum to one.
+documents, whole table. A word's own chance is (c + 1) / (N + V + 1). Above it stand all bigrams and trigrams that occur
+LEAST_COUNT times or more, with a fixed discount; what they leave goes to the shorter history in proportion, so every history's
+chances sum to one. No share of the input and no number of n-grams bounds the model: it grows with what it is trained on.
 
 Each kept history is a state. An arc carries the log of a kept chance to the longest state that ends the new history; where a
-state has no arc for a token, its failure arc leads to the shorter history and carries the backoff weight. Shares bound
-the automaton: at most 1 / SHORT_LIST words and 1 / KEPT n-grams of each order, so it is broadcast. Words' own counts are
-unbounded and never leave the cluster: documents are dealt to parts of about PART_BYTES, a part asks for the counts of its distinct words
-by an equal join, and a count that is the part's own is not sent back.
+state has no arc for a token, its failure arc leads to the shorter history and carries the backoff weight. States and
+arcs are written tables and never leave the cluster: documents are dealt to parts of about PART_BYTES, a part asks for the counts
+and weights of its own n-grams by an equal join, and a count that is the part's own is not sent back. Each part then has the piece of the
+automaton that its texts can reach. A trigram is only asked for where both of its bigrams are kept, as it cannot occur more often
+than they do.
 
 A text is scored in one walk from left to right that carries the state and adds up log10 chances. Many walks go in step as
 numpy arrays; a long text is cut into walks of CHUNK tokens, each of which first takes the two tokens before it without
@@ -21,22 +22,24 @@ Other columns are not read. With no training text N = V = 0 and every token has
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegate.llm.bytes_text import U64, pieces, word_hashes, words
+from pagegate.llm.bytes_text import U64, mix, odd_constants, pieces, word_hashes, words
 from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
-SHORT_LIST, KEPT, LEAST_COUNT, DISCOUNT = 1e-4, 1e-6, 2, 0.5
+# SHORT_LIST and KEPT: shares of all tokens that words and n-grams must have. None is asked for.
+SHORT_LIST, KEPT, LEAST_COUNT, DISCOUNT = 0, 0, 2, 0.5
 PART_BYTES, CHUNK = 16 << 20, 256
-FLUSH = 4_000_000
 FOLDS, HELD = 7, 2
+END, *_FACTORS = odd_constants(5, 41)
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
@@ -52,82 +55,100 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield rows, word_hashes(data, starts, ends), first
 
 
-def counted_keys(keys: list[np.ndarray]) -> pa.RecordBatch:
-    own, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.record_batch([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+class Grams:
+    """The n-grams of a part's documents, each with the end before its first word and after its last.
 
+    `words`, `pairs` (first word, second word) and `triples` (first pair, second pair) are numbered from 0, `*_at` has the number at each
+    place, `*_n` how often each occurs in training, `*_key` its hash in all parts."""
 
-def summed(docs: DataFrame, keys_of: callable) -> DataFrame:
-    """key and n: how often `keys_of(hashes, first)` gives each key, over training documents. Counts are summed in each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, hashes, first in tokens_of(batches):
-            own = keys_of(hashes, first)
-            held.append(own)
-            size += len(own)
-            if size > FLUSH:
-                yield counted_keys(held)
-                held, size = [], 0
-        if held:
-            yield counted_keys(held)
-
-    return docs.filter("not held_out").select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def short_tokens(names: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Tokens of words: k + 2 for the k-th frequent word, 0 for all others."""
-    if not len(names):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-    return np.where(names[at] == hashes, at + 2, 0)
+    def __init__(self, t: pa.Table):
+        hashes, first = part_tokens(t)
+        n = len(first) - 1
+        self.first = first + 2 * np.arange(n + 1)
+        tokens = np.full(int(self.first[-1]), END, U64)
+        begins = np.zeros(len(tokens), dtype=bool)
+        begins[self.first[:-1]] = True
+        inner = ~begins
+        inner[self.first[1:] - 1] = False
+        tokens[inner] = hashes
+        self.trains = np.repeat(~t.column("held_out").to_numpy().astype(bool), np.diff(self.first))
+        self.after = np.flatnonzero(~begins)  # places with a token before them in their document
+        self.words_key, self.words_at = np.unique(tokens, return_inverse=True)
+        self.words_n = np.bincount(self.words_at[self.after][self.trains[self.after]], minlength=len(self.words_key))
+        base = max(len(self.words_key), 1)
+        own, at = np.unique(self.words_at[self.after - 1] * base + self.words_at[self.after], return_inverse=True)
+        self.pairs = own // base, own % base
+        self.pairs_key = mix(self.words_key[self.pairs[0]] * _FACTORS[0] + self.words_key[self.pairs[1]] * _FACTORS[1])
+        self.pairs_n = np.bincount(at[self.trains[self.after]], minlength=len(own))
+        self.pairs_at = at
+
+    def add_triples(self, kept: np.ndarray) -> None:
+        """Those of which both pairs are kept."""
+        second = np.flatnonzero(np.diff(self.after) == 1) + 1  # the pair before is of the same document
+        left, right = self.pairs_at[second - 1], self.pairs_at[second]
+        fine = kept[left] & kept[right]
+        base = max(len(kept), 1)
+        own, at = np.unique(left[fine] * base + right[fine], return_inverse=True)
+        self.triples = own // base, own % base
+        self.triples_key = mix(self.pairs_key[self.triples[0]] * _FACTORS[2] + self.words_key[self.pairs[1][self.triples[1]]] * _FACTORS[3])
+        self.triples_n = np.bincount(at[self.trains[self.after[second[fine]]]], minlength=len(own))
+
+
+def put(keys: np.ndarray, values: np.ndarray, given: pa.Table, column: str = "value") -> np.ndarray:
+    """Values of the keys, those that are given instead of the part's own."""
+    out, order = values.copy(), np.argsort(keys)
+    if given.num_rows:
+        out[order[np.searchsorted(keys, given.column("key").to_numpy().view(U64), sorter=order)]] = given.column(column).to_numpy(zero_copy_only=False)
+    return out
+
+
+WORD, PAIR, TRIPLE, STATE = range(4)
+
+
+def of_kind(given: pa.Table, kind: int) -> pa.Table:
+    return given.filter(pc.equal(given.column("kind"), kind))
+
+
+@dataclass
+class Model:
+    """Numbers of parts, tokens and distinct tokens, and written tables: counts (part, kind, key, value, owner) of words and pairs,
+    asked (part, kind, key, ...), arcs (key, c) of triples and states (key, back)."""
+
+    parts: int
+    total: int
+    distinct: int
+    counts: DataFrame
+    asked: DataFrame
+    arcs: DataFrame
+    states: DataFrame
+
+    @property
+    def scale(self) -> int:
+        return max(self.total + self.distinct + 1, 1)
 
 
 class Automaton:
-    """States: 0 the empty history, 1 .. S one frequent word (1: the end of a document), then frequent pairs.
-
-    `names` are the hashes of the frequent words, sorted; word k has token k + 2, the end has token 1, all others 0."""
-
-    def __init__(self, names: np.ndarray, counts: np.ndarray, ends: int, total: int, distinct: int, pairs: tuple, triples: tuple):
-        self.names, self.total, self.distinct, self.ends = names, total, distinct, ends
-        self.base = n = len(names) + 2  # tokens are 0 .. n - 1
-        count = np.concatenate([[0, ends], counts]).astype(np.float64)
-        scale = max(total + distinct + 1, 1)
-        own = (count + 1) / scale
-        (pk, pn), (tk, tn) = pairs, triples
-        order = np.argsort(pk)
-        pk, pn = pk[order], pn[order].astype(np.float64)
-        order = np.argsort(tk)
-        tk, tn = tk[order], tn[order].astype(np.float64)
-        pv, pw = pk // n, pk % n
-        p2 = (pn - DISCOUNT) / count[pv]
-        left = 1 - np.bincount(pv, p2, n)
-        free = 1 - np.bincount(pv, own[pw], n)
-        back1 = np.log10(left / free)
-        # a pair is a state where a triple goes on from it
-        hist, tw = tk // n, tk % n
-        states, at = np.unique(hist, return_inverse=True)
-        place = np.searchsorted(pk, states)
-        p3 = (tn - DISCOUNT) / pn[place][at]
-        lower = p2[np.searchsorted(pk, hist % n * n + tw)]
-        left3 = 1 - np.bincount(at, p3, len(states))
-        free3 = 1 - np.bincount(at, lower, len(states))
-        self.pair_state = np.full(len(pk) + 1, -1, dtype=np.int64)
-        self.pair_state[place] = n + np.arange(len(states))
-        # histories of one word are states 1 .. n - 1, numbered as their tokens
-        self.back = np.concatenate([back1, np.log10(left3 / free3)])
-        self.back[0] = 0
-        self.fail = np.concatenate([np.zeros(n, np.int64), states % n]).astype(np.int64)
+    """The piece of the automaton that a part's texts reach. States: 0 the empty history, 1 .. n - 1 one word, then pairs that a
+    triple goes on from. Word k of `g` has token k + 1."""
+
+    def __init__(self, g: Grams, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, back1: np.ndarray, back2: np.ndarray, scale: int):
+        """Counts of all words, pairs and triples of `g`; backoff weights of words and pairs, NaN where there is none."""
+        self.base = n = len(words) + 1
+        self.own = np.log10((words + 1.0) / scale)
+        pair = np.flatnonzero(pairs >= LEAST_COUNT)
+        v, w = g.pairs[0][pair], g.pairs[1][pair]
+        is_state = ~np.isnan(back2)
+        state = np.where(is_state, n + np.cumsum(is_state) - 1, g.pairs[1] + 1)
+        self.back = np.concatenate([[0.0], np.nan_to_num(back1), back2[is_state]])
+        self.fail = np.concatenate([np.zeros(n, np.int64), g.pairs[1][is_state] + 1])
         self.to_root = self.back + np.where(self.fail > 0, self.back[self.fail], 0)
-        after2 = np.where(self.pair_state[:-1] >= 0, self.pair_state[:-1], pw)
-        key3, second = (n + at) * n + tw, hist % n * n + tw
-        seen = np.searchsorted(pk, second)
-        after3 = np.where(self.pair_state[seen] >= 0, self.pair_state[seen], tw)
-        keys = np.concatenate([pk, key3])
+        triple = np.flatnonzero(triples >= LEAST_COUNT)
+        left, right = g.triples[0][triple], g.triples[1][triple]
+        keys = np.concatenate([(v + 1) * n + w + 1, state[left] * n + g.pairs[1][right] + 1])
+        logs = np.log10(np.concatenate([(pairs[pair] - DISCOUNT) / words[v], (triples[triple] - DISCOUNT) / pairs[left]]))
         order = np.argsort(keys)
-        self.arcs, self.logs = keys[order], np.log10(np.concatenate([p2, p3]))[order]
-        self.next = np.concatenate([after2, after3])[order].astype(np.int64)
-        self.unit = np.log10(scale)
+        self.arcs, self.logs = keys[order], logs[order]
+        self.next = np.concatenate([state[pair], state[right]])[order]
 
     def step(self, state: np.ndarray, token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after one token for each walk, and the log chances. own: log chances of the tokens alone."""
@@ -150,8 +171,8 @@ class Automaton:
             live, weight = live[on], weight[on]
         return after, score
 
-    def walk(self, tokens: np.ndarray, own: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 chance of each document. first: where its tokens begin (n + 1 numbers); the last token of each is the end."""
+    def walk(self, tokens: np.ndarray, own: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+        """Log10 chance of each document. first: where its tokens begin (n + 1 numbers); the last token of each is the end, start the state before the first."""
         size = np.diff(first)
         n_walks = -(-size // CHUNK)
         doc = np.repeat(np.arange(len(size)), n_walks)
@@ -160,7 +181,7 @@ class Automaton:
         length = np.minimum(CHUNK, first[1:][doc] - begin)
         order = np.argsort(-length, kind="stable")
         doc, nth, begin, length = doc[order], nth[order], begin[order], length[order]
-        state = np.where(nth == 0, 1, 0).astype(np.int64)
+        state = np.where(nth == 0, start, 0).astype(np.int64)
         late = np.flatnonzero(nth > 0)
         for back in (2, 1):
             at = begin[late] - back
@@ -175,42 +196,6 @@ class Automaton:
         return np.bincount(doc, total, len(size))
 
 
-def fit(docs: DataFrame) -> Automaton:
-    """The automaton of the training rows of `with_fold(docs)`."""
-    totals = cut_lineage(summed(docs, lambda hashes, first: hashes))
-    ends = docs.filter("not held_out").count()
-    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = n + ends, v + (ends > 0)
-    short = totals.filter(F.col("n") >= max(LEAST_COUNT, SHORT_LIST * total)).toPandas()  # at most 1 / SHORT_LIST rows
-    names = short["key"].to_numpy(np.int64).view(U64)
-    order = np.argsort(names)
-    names, counts = names[order], short["n"].to_numpy(np.int64)[order]
-    base = len(names) + 2
-    def grams(order_: int) -> tuple[np.ndarray, np.ndarray]:
-        def keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-            t = short_tokens(names, hashes)
-            # the end before the first word and after the last one
-            size = np.diff(first)
-            all_tokens = np.insert(np.insert(t, first[1:], 1), first[:-1] + np.arange(len(size)), 1) if len(size) else t
-            # each document is: end, words, end; no history spans two documents
-            begin = np.cumsum(size + 2) - (size + 2)
-            ok = np.ones(len(all_tokens), dtype=bool)
-            for back in range(order_ - 1):
-                ok[begin + back] = False
-            at = np.flatnonzero(ok)
-            key, fine = np.zeros(len(at), np.int64), np.ones(len(at), dtype=bool)
-            for back in range(order_ - 1, -1, -1):
-                own = all_tokens[at - back]
-                fine &= own > 0
-                key = key * base + own
-            return key[fine].view(U64)
-
-        rows = summed(docs, keys).filter(F.col("n") >= max(LEAST_COUNT, KEPT * total)).toPandas()  # at most 1 / KEPT rows
-        return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-    return Automaton(names, counts, ends, total, distinct, grams(2), grams(3))
-
-
 def n_parts(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     return max(1, -(-size // PART_BYTES))
@@ -226,55 +211,96 @@ def part_tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_hashes) if all_hashes else np.zeros(0, U64), np.concatenate(firsts)
 
 
-def train_mask(t: pa.Table, first: np.ndarray) -> np.ndarray:
-    held = t.column("held_out").to_numpy().astype(bool)
-    return np.repeat(~held, np.diff(first))
+def dealt_out(docs: DataFrame, parts: int) -> DataFrame:
+    return docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {parts})").cast("int").alias("part"), "doc_id", "text", "held_out").groupBy("part")
 
 
-def score(docs: DataFrame, model: Automaton) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `with_fold(docs)`, from whose
-    training rows the model must come: words' own counts are taken here."""
+def fit(docs: DataFrame) -> Model:
+    """The model of the training rows of `with_fold(docs)`."""
     parts = n_parts(docs)
-    dealt = docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {parts})").alias("part"), "doc_id", "text", "held_out")
-    # kept as bytes for the tasks
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
-    def asked(t: pa.Table) -> pa.Table:
-        hashes, first = part_tokens(t)
-        own, at = np.unique(hashes, return_inverse=True)
-        n = np.bincount(at[train_mask(t, first)], minlength=len(own))
-        part = pa.array(np.full(len(own), t.column("part")[0].as_py(), np.int64))
-        return pa.table({"word": pa.array(own.view(np.int64)), "part": part, "n": pa.array(n.astype(np.int64))})
-
-    wanted = dealt.groupBy("part").applyInArrow(asked, "word bigint, part bigint, n bigint").repartition("word")
-    totals = wanted.groupBy("word").agg(F.sum("n").alias("c"))
-    elsewhere = wanted.join(totals, "word").filter("c <> n").select("part", "word", "c")
+    def first_asked(t: pa.Table) -> pa.Table:
+        g = Grams(t)
+        n = len(g.words_key) + len(g.pairs_key)
+        return pa.table({
+            "part": pa.array(np.full(n, t.column("part")[0].as_py(), np.int32)), "kind": pa.array(np.repeat([WORD, PAIR], [len(g.words_key), len(g.pairs_key)]), pa.int8()),
+            "key": pa.array(np.concatenate([g.words_key, g.pairs_key]).view(np.int64)), "n": pa.array(np.concatenate([g.words_n, g.pairs_n]).astype(np.int64)),
+        })
+
+    wanted = dealt_out(docs, parts).applyInArrow(first_asked, "part int, kind byte, key bigint, n bigint").repartition("key")
+    totals = wanted.groupBy("key").agg(F.sum("n").alias("value"), F.min(F.when(F.col("n") > 0, F.col("part"))).alias("first_part"))
+    # a word always comes back to one part that trains it, where it is added up
+    owner = F.coalesce(F.col("part") == F.col("first_part"), F.lit(False))
+    sent = ((F.col("kind") == WORD) & (owner | (F.col("value") != F.col("n")))) | ((F.col("value") >= LEAST_COUNT) & (F.col("value") != F.col("n")))
+    counts = cut_lineage(wanted.join(totals, "key").select("part", "kind", "key", "value", "n", owner.alias("owner")).filter(sent).drop("n"))
+    total, distinct = counts.filter(F.col("owner") & (F.col("kind") == WORD)).agg(F.coalesce(F.sum("value"), F.lit(0)), F.count("*")).first()
+    scale = max(total + distinct + 1, 1)
+
+    def then_asked(t: pa.Table, given: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in zip(names, kinds, strict=True)})
+        g, given_pairs = Grams(t), of_kind(given, PAIR)
+        words, pairs = put(g.words_key, g.words_n, of_kind(given, WORD)), put(g.pairs_key, g.pairs_n, given_pairs)
+        mine = put(g.pairs_key, g.pairs_n > 0, given_pairs, "owner") & (pairs >= LEAST_COUNT)
+        kept = pairs >= LEAST_COUNT
+        g.add_triples(kept)
+        p2 = np.where(kept, (pairs - DISCOUNT) / np.maximum(words[g.pairs[0]], 1), 0)
+        v = g.pairs[0][mine]
+        left, free = np.bincount(v, p2[mine], len(words)), np.bincount(v, (words[g.pairs[1][mine]] + 1) / scale, len(words))
+        history, state = np.flatnonzero(left > 0), np.flatnonzero(words >= LEAST_COUNT)
+        sizes = [len(history), len(g.triples_key), len(state) + int(kept.sum())]
+        blank = np.zeros(sizes[2], np.int64)
+        columns = (
+            np.full(sum(sizes), t.column("part")[0].as_py()), np.repeat([PAIR, TRIPLE, STATE], sizes),
+            np.concatenate([g.words_key[history], g.triples_key, g.words_key[state], g.pairs_key[kept]]).view(np.int64),
+            np.concatenate([np.zeros(sizes[0], np.int64), g.triples_n, blank]),
+            np.concatenate([np.zeros(sizes[0], U64), g.pairs_key[g.triples[0]], blank.view(U64)]).view(np.int64),
+            np.concatenate([left[history], pairs[g.triples[0]], blank]), np.concatenate([free[history], p2[g.triples[1]], blank]),
+        )
+        return pa.table({c: pa.array(x.astype(k.to_pandas_dtype()), k) for c, x, k in zip(names, columns, kinds, strict=True)})
+
+    names, kinds = ("part", "kind", "key", "n", "history", "a", "b"), (pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    asked = cut_lineage(dealt_out(docs, parts).cogroup(counts.groupBy("part")).applyInArrow(then_asked, "part int, kind byte, key bigint, n bigint, history bigint, a double, b double"))
+    triples = asked.filter(F.col("kind") == TRIPLE).groupBy("key").agg(F.sum("n").alias("c"), *[F.min(c).alias(c) for c in ("history", "a", "b")])
+    arcs = cut_lineage(triples.filter(F.col("c") >= LEAST_COUNT))
+    # what kept n-grams take of each history, and what they would have by the shorter one
+    taken = asked.filter(F.col("kind") == PAIR).select("key", "a", "b").union(arcs.select("history", (F.col("c") - DISCOUNT) / F.col("a"), "b"))
+    states = cut_lineage(taken.groupBy("key").agg(F.log10((1 - F.sum("a")) / (1 - F.sum("b"))).alias("back")))
+    return Model(parts, total, distinct, counts, asked, arcs.select("key", "c"), states)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `with_fold(docs)`, from all of
+    whose rows the model must come: what each part asks for is taken there."""
+    triples = model.asked.filter(F.col("kind") == TRIPLE).join(model.arcs, "key").filter("c <> n").select("part", "kind", "key", F.col("c").cast("double").alias("value"))
+    states = model.asked.filter(F.col("kind") == STATE).join(model.states, "key").select("part", "kind", "key", F.col("back").alias("value"))
+    given_all = model.counts.select("part", "kind", "key", F.col("value").cast("double").alias("value")).union(triples).union(states)
+    total, scale = model.total, model.scale
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def scored(t: pa.Table, given: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(schema.split(", "), kinds, strict=True)})
-        m = pickle.loads(packed.value)  # noqa: S301  written above
-        hashes, first = part_tokens(t)
-        own, at = np.unique(hashes, return_inverse=True)
-        count = np.bincount(at[train_mask(t, first)], minlength=len(own))
-        count[np.searchsorted(own, given.column("word").to_numpy().view(U64))] = given.column("c").to_numpy()
-        alone = np.log10(count + 1.0) - m.unit
-        short = short_tokens(m.names, own)
-        size = np.diff(first)
-        end = np.log10(m.ends + 1.0) - m.unit
-        logs, tokens = np.insert(alone[at], first[1:], end), np.insert(short[at], first[1:], 1)
-        known = np.insert(count[at] > 0, first[1:], m.ends > 0)
-        begin = np.concatenate([[0], np.cumsum(size + 1)])
-        doc = np.repeat(np.arange(len(size)), size + 1)
+        g = Grams(t)
+        words, pairs = (put(k, n.astype(np.float64), of_kind(given, kind)) for k, n, kind in ((g.words_key, g.words_n, WORD), (g.pairs_key, g.pairs_n, PAIR)))
+        g.add_triples(pairs >= LEAST_COUNT)
+        triples = put(g.triples_key, g.triples_n.astype(np.float64), of_kind(given, TRIPLE))
+        held, keys = of_kind(given, STATE), np.concatenate([g.words_key, g.pairs_key])
+        back = put(keys, np.full(len(keys), np.nan), held)
+        m = Automaton(g, words, pairs, triples, back[: len(words)], back[len(words) :], scale)
+        at = g.words_at[g.after]
+        begin = g.first - np.arange(len(g.first))
+        size = np.diff(begin)
+        doc, logs = np.repeat(np.arange(len(size)), size), m.own[at]
+        start = int(np.searchsorted(g.words_key, END)) + 1
         values = (
-            t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), size + 1, np.bincount(doc, known, len(size)).astype(np.int64),
-            np.full(len(size), m.total), np.bincount(doc, logs, len(size)), m.walk(tokens, logs, begin),
+            t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), size, np.bincount(doc, words[at] > 0, len(size)).astype(np.int64),
+            np.full(len(size), total), np.bincount(doc, logs, len(size)), m.walk(at + 1, logs, begin, start),
         )
         return pa.table({c.split()[0]: v if isinstance(v, pa.Array) else pa.array(v, k) for c, v, k in zip(schema.split(", "), values, kinds, strict=True)})
 
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return dealt.groupBy("part").cogroup(elsewhere.groupBy("part")).applyInArrow(scored, schema)
+    return dealt_out(docs, model.parts).cogroup(given_all.groupBy("part")).applyInArrow(scored, schema)
 
 
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,17 @@ def test_scores_are_those_of_the_recursion(spark, real, edge, monkeypatch, part,
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_rare_pairs_of_a_large_text_are_learnt(spark):
+    train = [i for i in range(400) if plain.trains(i)][:61]
+    held = next(i for i in range(400, 800) if not plain.trains(i))
+    # 120,000 tokens; each of these words occurs twice, below any share of the tokens
+    texts = {i: "common filler " * 1000 for i in train[:-1]} | {train[-1]: "rare twin words rare twin words", held: "rare twin words"}
+    docs = ngram_lm.with_fold(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.fit(docs)).collect()}
+    want = plain.language_model(texts, 0, 0, ngram_lm.LEAST_COUNT, ngram_lm.DISCOUNT)
+    assert all(got[i].score == pytest.approx(want[i][4], rel=1e-9) for i in texts) and got[held].score > got[held].base_score + 4
+
+
 def test_no_text_to_learn_from(spark, empty, edge):
     docs = ngram_lm.with_fold(empty)
     assert ngram_lm.score(docs, ngram_lm.fit(docs)).count() == 0
