@@ -4,8 +4,10 @@ A mask keeps some of the words of a window and ignores the rest, so a hit surviv
 of all masked windows of the benchmark are set in a bit array of fixed size, which every task gets: its size is
 `FILTER_BITS`, whatever the benchmark has. Training windows whose bits are set are joined with the benchmark's hashes, which
 drops chance hits. Around every true hit the two texts are laid on each other without gaps; the best stretch of at least
-`least` matching words (or the whole item, when shorter) with at least `identity` of its words equal makes the document
-contaminated. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Items of fewer than eight
+`least` matching words (or `identity` of the item's words, when that is less) with at least `identity` of its words equal makes the
+document contaminated. At the default limits or stricter ones no such stretch goes without a hit: s substitutions leave s + 1 runs of equal
+words, one of which has four words or more, save where 8 words are left in three runs, 9 in three or 12 in four; then
+three equal words, one substitution and two equal words follow each other. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Items of fewer than eight
 words fit no mask and match nothing: that few words prove no copying.
 
 A document's hits that lie close together form one cluster that carries the words around it, so texts are read once and
@@ -15,6 +17,7 @@ repeated results, extra columns are ignored, and empty tables give an empty resu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,9 @@ from pagegate.llm.graph import counted
 from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
-# 1: the word counts, 0: any word may stand there. Eight words count in each.
-MASKS = ("110110110110", "111010011011", "1101011000100111", "11111111")
+# 1: the word counts, 0: any word may stand there. Every stretch that counts has a hit of one of them.
+MASKS = ("1111", "111011")
+SHORTEST = 8
 FILTER_BITS = 1 << 23
 PROBES = 3
 LEAST, IDENTITY, REACH = 13, 0.8, 64
@@ -68,7 +72,7 @@ def item_hashes(benchmark: DataFrame) -> DataFrame:
                 own = hashes[first[k] : first[k + 1]]
                 all_words.append(own.view(np.int64))
                 found = []
-                for number, mask in enumerate(MASKS):
+                for number, mask in enumerate(MASKS if len(own) >= SHORTEST else ()):
                     found += [{"hash": h, "at": at} for at, h in enumerate(masked(own, mask, number).view(np.int64).tolist())]
                 windows.append(found)
             yield pa.record_batch(
@@ -170,6 +174,11 @@ def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int]:
     return best
 
 
+def matches_needed(item: int, least: int, identity: float) -> int:
+    """Equal words that make an item of `item` words a leak."""
+    return min(least, math.ceil(identity * item - 1e-9))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identity: float = IDENTITY, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, item_id, matched (words), stretch (words), begin (word of the document): one row for each contaminated place and item."""
     items = item_hashes(benchmark)
@@ -190,7 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, identi
                 low, high = max(0, -shift), min(len(item), len(own) - shift)
                 if high > low:
                     matched, stretch = best_stretch(item[low:high] == own[low + shift : high + shift], identity)
-                    if matched >= min(least, len(item)):
+                    if len(item) >= SHORTEST and matched >= matches_needed(len(item), least, identity):
                         out.append((r["doc_id"], r["item_id"], matched, stretch, r["begin"] + max(0, shift)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())

@@ -1,6 +1,8 @@
 """Near-duplicates, repeats, decontamination, mixing, components, and the pipeline."""
 
 import collections
+import itertools
+import math
 
 import corpus_pipeline
 import numpy as np
@@ -148,6 +150,30 @@ def test_leaks_survive_substitutions(spark):
     assert exact.matched == exact.stretch == 40 and exact.begin == 30
 
 
+def test_every_stretch_that_counts_has_a_hit():
+    masks = [(int(m, 2), len(m)) for m in decontam.MASKS]
+    for n in range(7, 26):  # words of a stretch that begins and ends with a match; the shortest item that can hold it asks least
+        needed = max(decontam.matches_needed(max(n, 8), decontam.LEAST, decontam.IDENTITY), math.ceil(decontam.IDENTITY * n - 1e-9))
+        for k in range(n - needed + 1):
+            for gone in itertools.combinations(range(1, n - 1), k):
+                same = (1 << n) - 1 - sum(1 << g for g in gone)
+                assert any(same >> at & m == m for m, size in masks for at in range(n - size + 1)), (n, gone)
+
+
+def test_short_and_much_changed_leaks_are_found(spark):
+    r = np.random.default_rng(9)
+    patterns = ("1111011", "11110111", "1110110111", "1110111011", "11101110111", "111011101110111", "1111011101110111", "11110111011110111101", "1111011110111101111011110")
+    patterns = [p.ljust(8, "0") for p in patterns]
+    items = [r.choice(WORDS, len(p)) for p in patterns]
+    # the same with one more word changed, where that is too much
+    texts = [(k, [w if c == "1" else "other" for w, c in zip(x, p, strict=True)]) for k, (x, p) in enumerate(zip(items, patterns, strict=True))]
+    texts += [(100 + k, ["other", *x[1:]]) for k, x in texts if k in (0, 1, 2)]
+    docs = spark.createDataFrame([(k, " ".join([*r.choice(WORDS, 20), *x, *r.choice(WORDS, 20)])) for k, x in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {k for k, p in enumerate(patterns) if p.count("1") >= decontam.matches_needed(len(p), decontam.LEAST, decontam.IDENTITY)}
+    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()} == {(k, k) for k in want} and want == set(range(1, 9))
+
+
 def test_best_stretch_is_that_of_all_stretches():
     r = np.random.default_rng(6)
     for _ in range(60):
