@@ -65,13 +65,13 @@ def compiled(templates: tuple[tuple[str, str], ...], threshold: float) -> list[t
 
 def needed(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
     """A pattern that every matching text contains. A match shares at least n*t/(2-t) of a template's n bigrams, so it
-    has one of any set of more than the rest; the longest bigrams make the rarest such set."""
+    has one of any set of more than the rest; the longest bigrams make the rarest such set. Its words may stand on two lines."""
     grams = set()
     for _, own, least, _ in compiled(templates, threshold):
         grams |= set(sorted(own, key=lambda g: (-len(g), g))[: len(own) - least + 1])
     by_letter: dict[str, list[str]] = {}
     for g in sorted(grams):
-        by_letter.setdefault(g[0], []).append(g[1:])
+        by_letter.setdefault(g[0], []).append(g[1:].replace(" ", r"[ \n]+"))
     return r"(?:^|[ \n])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + r")(?:$|[ \n])"
 
 

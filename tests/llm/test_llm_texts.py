@@ -1,6 +1,7 @@
 """Chat formatting, licences, fingerprints, personal data, language model, toxicity."""
 
 import hashlib
+import re
 
 import numpy as np
 import plain
@@ -64,6 +65,15 @@ def test_licences(spark, edge, empty):
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_notices_are_not_ruled_out(spark):
+    # every bigram of a notice is broken by a line end, with signs and empty lines around it
+    texts = [(k, re.sub(r"\s+", (" \n", "\r\n\n ", ",\n> ")[k % 3], text)) for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    texts.append((100, "Released\nunder the MIT\nLicense."))
+    got = {r.doc_id: r.hits for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    names = dict(enumerate(n for n, _ in licenses.TEMPLATES)) | {100: "MIT"}
+    assert {k: [(h.line, h.license, h.dice) for h in hits if h.line == -1] for k, hits in got.items()} == {k: [(-1, n, 1.0)] for k, n in names.items()}
+
+
 def test_pruning_loses_no_match():
     for name, grams, low, high in licenses.compiled(licenses.TEMPLATES, licenses.THRESHOLD):
         for shared in range(1, len(grams) + 1):
