@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegate.llm.tables import table
+from pagegate.operators.groups import with_group_stats
 from pagegate.operators.prefix import rank_within
 from pagegate.session import cut_lineage
 
@@ -151,24 +152,29 @@ def storey(rows: DataFrame, keys: list[str], carried: list[str], height: int) ->
     return cut_lineage(blocks.groupBy(*keys, "block").applyInArrow(build, out))
 
 
-def grow(rows: DataFrame, keys: list[str], carried: list[str], height: int = HEIGHT) -> list[DataFrame]:
-    """The storeys of every key's tree, the leaves' first. Each is `storey`'s table with n_blocks, the blocks of its key."""
+Storey = tuple[DataFrame, DataFrame]
+
+
+def grow(rows: DataFrame, keys: list[str], carried: list[str], height: int = HEIGHT) -> list[Storey]:
+    """The storeys of every key's tree, the leaves' first: `storey`'s table, and of each subtree keys, block, root, tall_root and
+    n_blocks, the subtrees of its key. Only these narrow rows are ever gathered by key; salts spread those of a large key."""
     out = []
     while True:
         blocks = storey(rows, keys, carried, height)
-        per_key = blocks.groupBy(*keys).agg(F.count("*").alias("n_blocks"))
-        out.append(blocks.join(per_key, keys))
-        many = out[-1].filter("n_blocks > 1")
+        narrow = blocks.select(*keys, "block", "root", "tall_root")
+        per_key = narrow.groupBy(*keys).agg(F.count("*").alias("n_blocks"))
+        out.append((blocks, with_group_stats(narrow, per_key, keys, spread_by=F.col("block"))))
+        many = out[-1][1].filter("n_blocks > 1")
         if many.isEmpty():
             return out
         rows, carried = many.select(*keys, F.col("block").alias("pos"), F.col("tall_root").alias("digest"), F.col("block").alias("below")), ["below"]
 
 
-def roots(storeys: list[DataFrame], keys: list[str]) -> DataFrame:
+def roots(storeys: list[Storey], keys: list[str]) -> DataFrame:
     """keys and root."""
     out = None
-    for s in storeys:
-        own = s.filter("n_blocks = 1").select(*keys, "root")
+    for _, narrow in storeys:
+        own = narrow.filter("n_blocks = 1").select(*keys, "root")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -194,21 +200,23 @@ def reader(keys: list[str], carried: list[str], same: list[str], height: int) ->
     return read
 
 
-def proofs(storeys: list[DataFrame], keys: list[str], height: int = HEIGHT, ends: DataFrame | None = None) -> DataFrame:
+def proofs(storeys: list[Storey], keys: list[str], height: int = HEIGHT, ends: DataFrame | None = None) -> DataFrame:
     """keys, the carried columns of the leaves, and proof: for each level up to the root the siblings to the left and right.
 
     From the top storey down: a subtree gets the way from its root upwards, and writes the way of each of its leaves, which are
-    the subtrees below. `ends` (keys, further, other columns) lengthens the ways of a key's leaves by `further` and adds the rest;
-    like all joins here it meets subtrees, not leaves."""
+    the subtrees below. `ends` (keys, further, other columns) lengthens the ways of a key's leaves by `further` and adds the rest.
+    Subtrees themselves are dealt once, by key and block."""
     above, paths = None, None
+    none = F.expr(f"cast(array() as {STEPS})")
     for level in range(len(storeys) - 1, -1, -1):
-        met, same = storeys[level], keys
-        none = F.expr(f"cast(array() as {STEPS})")
-        met = met.withColumn("above", none) if above is None else met.join(above, [*keys, "block"], "left").withColumn("above", F.coalesce("above", none))
+        blocks, narrow = storeys[level]
+        ways, same = narrow.select(*keys, "block", "n_blocks"), keys
+        ways = ways.withColumn("above", none) if above is None else ways.join(above, [*keys, "block"], "left").withColumn("above", F.coalesce("above", none))
         if level == 0 and ends is not None:
-            met = met.join(ends, keys).withColumn("above", F.concat("above", "further")).drop("further")
+            ways = with_group_stats(ways, ends, keys, spread_by=F.col("block")).withColumn("above", F.concat("above", "further")).drop("further")
             same = [*keys, *[c for c in ends.columns if c not in (*keys, "further")]]
-        inner = storeys[level].schema["rows"].dataType.elementType
+        met = blocks.drop("root", "tall_root").join(ways, [*keys, "block"])
+        inner = blocks.schema["rows"].dataType.elementType
         schema = f"{kinds(met, same)}, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in inner)}, proof {STEPS}"
         # a group is one subtree, so no batch holds many of them
         paths = met.groupBy(*keys, "block").applyInArrow(reader(keys, inner.names, same, height), schema)
@@ -227,7 +235,7 @@ def fold(proof: Column, leaf: Column) -> Column:
 TREE, TOP = ["no_source", "src"], ["forest"]
 
 
-def manifest(rows: DataFrame, carried: list[str], height: int = HEIGHT) -> tuple[list[DataFrame], list[DataFrame]]:
+def manifest(rows: DataFrame, carried: list[str], height: int = HEIGHT) -> tuple[list[Storey], list[Storey]]:
     """Storeys of the sources' trees and of the tree over them, for rows of source, doc_id, leaf and carried columns."""
     keyed = rows.select(F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("src"), "leaf", "doc_id", *[c for c in carried if c not in ("leaf", "doc_id")])
     keyed = keyed.select((~F.col("has")).alias("no_source"), *keyed.columns[1:])
@@ -239,12 +247,12 @@ def manifest(rows: DataFrame, carried: list[str], height: int = HEIGHT) -> tuple
     return trees, top
 
 
-def inclusion_proofs(trees: list[DataFrame], top: list[DataFrame], height: int = HEIGHT) -> DataFrame:
+def inclusion_proofs(trees: list[Storey], top: list[Storey], height: int = HEIGHT) -> DataFrame:
     """The carried columns of every leaf with subroot, root and proof (siblings level by level, first to subroot, then to root)."""
     grand = roots(top, TOP).withColumnRenamed("root", "grand")
     sources = proofs(top, TOP, height, grand.withColumn("further", F.expr(f"cast(array() as {STEPS})")))
     ends = sources.select(*TREE, F.col("proof").alias("further"), F.col("grand")).join(roots(trees, TREE).withColumnRenamed("root", "subroot"), TREE)
-    carried = trees[0].schema["rows"].dataType.elementType.names
+    carried = trees[0][0].schema["rows"].dataType.elementType.names
     return proofs(trees, TREE, height, ends).select(*carried, "subroot", F.col("grand").alias("root"), "proof")
 
 
