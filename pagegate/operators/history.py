@@ -366,6 +366,34 @@ def lifecycle_events(chrono: DataFrame, obs: DataFrame) -> DataFrame:
     ).withColumn("fingerprint", event_fingerprint()).withColumn("digest", event_digest())
 
 
+def apply_decisions(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Events (with `at`, their time) and what persons decided: (target, finding_id, at, state).
+
+    A decision is judged by the finding's state at its time, which a running maximum over both kinds of rows finds, so one
+    finding may own most rows. The first legal one (DUPLICATE or SUPERSEDED of an ACTIVE or UPDATED finding) ends the chain:
+    events after it fall away. All others are `rejected`.
+    """
+    key = ["target", "finding_id"]
+    both = events.select(*key, "at", F.lit(0).alias("late"), "seq", "state").unionByName(decisions.select(*key, "at", F.lit(1).alias("late"), F.lit(None).cast("long").alias("seq"), "state").distinct())
+    placed = cut_lineage(rank_within(both, key, ["at", "late", "seq", "state"], "k"))
+    asof = running_max(placed, key, "k", "seq", "last_seq")
+    chain = events.select(*key, C("seq").alias("last_seq"), C("state").alias("now"))
+    judged = cut_lineage(asof.filter("late = 1").drop("seq").join(chain, [*key, "last_seq"], "left"))
+    legal = C("now").isin("ACTIVE", "UPDATED") & C("state").isin("DUPLICATE", "SUPERSEDED")
+    first = judged.filter(legal).groupBy(*key).agg(F.min(F.struct("k", "at", "state", "last_seq")).alias("end"))
+    met = judged.join(first, key, "left")
+    ended = C("end").isNotNull()
+    taken = ended & (C("k") == C("end.k"))
+    after = ended & (C("k") > C("end.k"))
+    decided = met.select(
+        *key, F.when(taken | after, C("end.last_seq") + 1).otherwise(C("last_seq")).alias("seq"), "at", "state",
+        F.when(after, C("end.state")).otherwise(C("now")).alias("previous_state"), F.when(taken, "decision").otherwise("rejected").alias("kind"),
+    )
+    # one row for each decided finding; events beyond its end go
+    rest = events.join(first.select(*key, C("end.at").alias("end_at")), key, "left").filter("end_at IS NULL OR at <= end_at")
+    return rest.select(*key, "seq", "at", "state", "previous_state", "kind").unionByName(decided)
+
+
 def event_fingerprint() -> Column:
     return sha256(
         canonical_json(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagegate.sources.stores import append_new
+from pagegate.sources.versioned import upsert
 
 # Kinds of progress event.
 EVENT_KINDS = (
@@ -33,3 +34,14 @@ def distinct_scans(scans: DataFrame, late: str = "1 day") -> DataFrame:
 def progress(events: DataFrame) -> DataFrame:
     """Events per scan and kind, updated as they come. `events(scan_id, kind)`, kind from EVENT_KINDS."""
     return events.groupBy("scan_id", "kind").agg(F.count("*").alias("n"))
+
+
+def keep_progress(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Progress counts in a versioned table: each micro-batch writes the counts that it changed and no others."""
+    return (
+        progress(events).writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: upsert(batch, store, ["scan_id", "kind"], n))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

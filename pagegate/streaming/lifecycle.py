@@ -1,12 +1,22 @@
-"""Finding lifecycles as scans arrive.
+"""Finding lifecycles as scans arrive, in pieces and out of order.
 
-State is kept per (target, bucket of finding ids): each scan head is repeated once per bucket, so
-every bucket learns which of its open findings a scan no longer has, and a target with very many
-findings is spread over all buckets. Scans of a target must arrive in order, as they are recorded.
+Rows of four kinds come in one stream: observations of findings, heads (a scan took place), decisions that a person took on
+a finding, and ticks, which only move time on. Every row carries `at`, the time of its scan or decision.
+
+State is kept per (target, bucket of finding ids); heads are repeated once per bucket, so every bucket learns which findings a
+scan no longer has, and a target with very many findings is spread over all buckets. Rows wait in the state until an
+event-time timer fires: the watermark has then passed their time, so the scan is whole, however many micro-batches it was
+spread over and whatever other scans came in between. What is due is applied in the order of time; at one time the scan comes
+before decisions. A scan looks at its own findings and at those of the scan before, never at all that are known.
+
+A decision moves an ACTIVE or UPDATED finding to DUPLICATE or SUPERSEDED, where it stays: later observations of it give no event.
+Any other decision is passed on as `rejected` and changes nothing. With `keep_resolved`, a finding that was resolved
+so long ago is forgotten by a second timer, and would be OPEN when it came again; without it nothing is forgotten.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +26,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 BUCKETS = 32
-OUT = "target string, bucket long, finding_id string, seq long, scan_n long, state string, previous_state string"
+LATE = "1 day"
+OUT = "target string, bucket long, finding_id string, seq long, at timestamp, state string, previous_state string, kind string"
+OBSERVATION, HEAD, DECISION, TICK = 0, 1, 2, 3
+DECIDED = ("DUPLICATE", "SUPERSEDED")
+CLOSED = ("RESOLVED", *DECIDED)
 C = F.col
 
 
@@ -33,62 +47,155 @@ def walk_to_resolved(state: str) -> list[str]:
 
 
 class LifecycleProcessor(StatefulProcessor):
-    """One (target, bucket): finding id -> (state, seq, evidence, scan it was last seen in)."""
+    """One (target, bucket).
+
+    known: finding -> state, seq, evidence, time of the last event. waiting: rows whose time has not come. seen: the findings of
+    the last scan. fading: time -> findings resolved then, while `keep_resolved` is set.
+    """
+
+    def __init__(self, keep_resolved_ms: int | None = None):
+        self.keep = keep_resolved_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "finding_id string", "state string, seq long, evidence string, seen long")
+        self.handle = handle
+        self.known = handle.getMapState("known", "finding_id string", "state string, seq long, evidence string, at long")
+        self.waiting = handle.getListState("waiting", "at long, kind int, pos long, finding_id string, value string")
+        self.seen = handle.getListState("seen", "finding_id string")
+        self.fading = handle.getMapState("fading", "at long", "findings string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["scan_n", "is_head", "pos"])
-        out = []
-
-        def emit(fid: str, was: str | None, state: str, seq: int, scan: int) -> None:
-            out.append((key[0], key[1], fid, seq, scan, state, was))
-
-        for scan, part in batch.groupby("scan_n", sort=True):
-            for fid, evidence in zip(part["finding_id"], part["evidence"], strict=True):
-                if fid is None or pd.isna(fid):
-                    continue
-                had = self.known.getValue((fid,)) if self.known.containsKey((fid,)) else None
-                was, seq = (had[0], had[1]) if had else (None, -1)
-                if was in ("DUPLICATE", "SUPERSEDED"):
-                    continue
-                state = next_state(was, bool(had) and had[2] != evidence)
-                emit(fid, was, state, seq + 1, scan)
-                self.known.updateValue((fid,), (state, seq + 1, evidence, int(scan)))
-            gone = [
-                (k[0], v)
-                for k, v in list(self.known.iterator())
-                if v[3] == scan - 1 and v[0] not in ("RESOLVED", "DUPLICATE", "SUPERSEDED")
-            ]
-            for fid, (was, seq, evidence, seen) in gone:
-                for state in walk_to_resolved(was):
-                    seq += 1
-                    emit(fid, was, state, seq, scan)
-                    was = state
-                self.known.updateValue((fid,), (was, seq, evidence, seen))
-        cols = ["target", "bucket", "finding_id", "seq", "scan_n", "state", "previous_state"]
-        yield pd.DataFrame(out, columns=cols)
+        times = set()
+        for part in rows:
+            part = part[part["kind"] != TICK]
+            if not len(part):
+                continue
+            at = part["at"].astype("datetime64[ms]").astype("int64").tolist()
+            values = [None if v is None or pd.isna(v) else v for v in part["value"]]
+            ids = [None if v is None or pd.isna(v) else v for v in part["finding_id"]]
+            self.waiting.appendList(list(zip(at, part["kind"].tolist(), part["pos"].tolist(), ids, values, strict=True)))
+            times.update(at)
+        for t in times:
+            self.handle.registerTimer(t)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self._forget(now)
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1] == DECISION, r[2], r[3] or "", r[4] or ""))
+        if not due:
+            return
+        later = [r for r in rows if r[0] > now]
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        out: list[tuple] = []
+        k = 0
+        while k < len(due):
+            t, end = due[k][0], k
+            while end < len(due) and due[end][0] == t:
+                end += 1
+            scan = [r for r in due[k:end] if r[1] != DECISION]
+            if scan:
+                self._scan(t, scan, out)
+            for r in due[k:end]:
+                if r[1] == DECISION:
+                    self._decide(t, r[3], r[4], out)
+            k = end
+        yield pd.DataFrame(
+            [(key[0], key[1], f, seq, pd.Timestamp(at, unit="ms"), state, was, kind) for f, seq, at, state, was, kind in out],
+            columns=["target", "bucket", "finding_id", "seq", "at", "state", "previous_state", "kind"],
+        )
+
+    def _had(self, finding: str, t: int) -> tuple | None:
+        """What is known of a finding at a time. One resolved too long before counts as forgotten, whenever its timer fires."""
+        had = tuple(self.known.getValue((finding,))) if self.known.containsKey((finding,)) else None
+        old = had is not None and self.keep is not None and had[0] == "RESOLVED" and t - had[3] > self.keep
+        return None if old else had
+
+    def _scan(self, t: int, rows: list[tuple], out: list[tuple]) -> None:
+        """One whole scan: its observations in order, then the findings of the scan before that it lacks."""
+        now: dict[str, tuple] = {}
+        for _, kind, _, finding, evidence in rows:
+            if kind != OBSERVATION:
+                continue
+            had = now.get(finding) or self._had(finding, t)
+            was, seq = (had[0], had[1]) if had else (None, -1)
+            if was in DECIDED:
+                now[finding] = had
+                continue
+            state = next_state(was, bool(had) and had[2] != evidence)
+            out.append((finding, seq + 1, t, state, was, "observation" if state == was == "ACTIVE" else "transition"))
+            now[finding] = (state, seq + 1, evidence, t)
+        gone = []
+        for (finding,) in self.seen.get() if self.seen.exists() else ():
+            had = None if finding in now else self._had(finding, t)
+            if had is None or had[0] in CLOSED:
+                continue
+            was, seq = had[0], had[1]
+            for state in walk_to_resolved(was):
+                seq += 1
+                out.append((finding, seq, t, state, was, "transition"))
+                was = state
+            self.known.updateValue((finding,), (was, seq, had[2], t))
+            gone.append(finding)
+        for finding, value in now.items():
+            if value[3] == t:
+                self.known.updateValue((finding,), value)
+        if now:
+            self.seen.put([(f,) for f in now])
+        else:
+            self.seen.clear()
+        if gone and self.keep is not None:
+            self.fading.updateValue((t,), (json.dumps(gone),))
+            self.handle.registerTimer(t + self.keep + 1)
+
+    def _decide(self, t: int, finding: str, state: str, out: list[tuple]) -> None:
+        had = self._had(finding, t)
+        was, seq = (had[0], had[1]) if had else (None, None)
+        if was not in ("ACTIVE", "UPDATED") or state not in DECIDED:
+            out.append((finding, seq, t, state, was, "rejected"))
+            return
+        out.append((finding, seq + 1, t, state, was, "decision"))
+        self.known.updateValue((finding,), (state, seq + 1, had[2], t))
+
+    def _forget(self, now: int) -> None:
+        """Drops what was resolved `keep` before a timer's time and has not come again."""
+        t = None if self.keep is None else now - self.keep - 1
+        if t is None or not self.fading.containsKey((t,)):
+            return
+        for finding in json.loads(self.fading.getValue((t,))[0]):
+            had = self._had(finding, t)
+            if had and had[0] == "RESOLVED" and had[3] == t:
+                self.known.removeKey((finding,))
+        self.fading.removeKey((t,))
 
     def close(self) -> None:
         pass
 
 
-def with_heads(observations: DataFrame, heads: DataFrame) -> DataFrame:
-    """Observations and, once per bucket, the scan heads, in one stream."""
-    obs = observations.select(
-        "target", F.pmod(F.xxhash64("finding_id"), F.lit(BUCKETS)).alias("bucket"), "scan_n", "pos", "finding_id", "evidence",
-        F.lit(False).alias("is_head"),
-    )
-    ticks = heads.select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))).alias("bucket"), "scan_n").select(
-        "target", "bucket", "scan_n", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("finding_id"),
-        F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("is_head"),
-    )
-    return obs.unionByName(ticks)
+def inputs(observations: DataFrame, heads: DataFrame, decisions: DataFrame | None = None, ticks: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """One stream of observations (target, at, pos, finding_id, evidence), heads (target, at), decisions (target, at,
+    finding_id, state) and ticks (at)."""
+    none = F.lit(None).cast("string")
+    bucket = F.pmod(F.xxhash64("finding_id"), F.lit(buckets))
+
+    def row(df: DataFrame, kind: int, target, where, pos, finding, value) -> DataFrame:
+        return df.select(target.alias("target"), where.cast("long").alias("bucket"), "at", F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), finding.alias("finding_id"), value.alias("value"))
+
+    spread = heads.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    out = row(observations, OBSERVATION, C("target"), bucket, C("pos"), C("finding_id"), C("evidence"))
+    out = out.unionByName(row(spread, HEAD, C("target"), C("bucket"), F.lit(0), none, none))
+    if decisions is not None:
+        out = out.unionByName(row(decisions, DECISION, C("target"), bucket, F.lit(0), C("finding_id"), C("state")))
+    if ticks is not None:
+        out = out.unionByName(row(ticks, TICK, none, F.lit(-1), F.lit(0), none, none))
+    return out
 
 
-def lifecycle_stream(rows: DataFrame) -> DataFrame:
-    """Events of a stream of `with_heads` rows."""
-    return rows.groupBy("target", "bucket").transformWithStateInPandas(
-        statefulProcessor=LifecycleProcessor(), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="None"
+def lifecycle_stream(rows: DataFrame, late: str = LATE, keep_resolved_ms: int | None = None) -> DataFrame:
+    """Events of a stream of `inputs` rows. `late` is how far behind the newest row a scan's rows may still come in."""
+    return rows.withWatermark("at", late).groupBy("target", "bucket").transformWithStateInPandas(
+        statefulProcessor=LifecycleProcessor(keep_resolved_ms), outputStructType=StructType.fromDDL(OUT), outputMode="Append", timeMode="EventTime"
     )

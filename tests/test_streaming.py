@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagegate.operators import history as T
+from pagegate.plans import streams
 from pagegate.streaming import ingest, lifecycle
 
 
@@ -32,21 +33,71 @@ def _batch(spark):
     return chrono, obs, T.lifecycle_events(chrono, obs)
 
 
-def test_lifecycle_stream_equals_batch(spark, out):
+def _deliver(spark, out, deliveries, **options):
+    """Runs the stream to its end after each delivery, as a job that is started anew each time."""
+    schema = deliveries[0].schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{out}/in")
+        life = lifecycle.lifecycle_stream(spark.readStream.schema(schema).parquet(f"{out}/in"), **options)
+        q = life.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{out}/events")
+
+
+def _inputs(spark, obs, heads, decisions=None):
+    at = F.to_timestamp("ts").alias("at")
+    ticks = spark.createDataFrame([("2100-01-01",)], "ts string").select(at)
+    rows = lifecycle.inputs(obs.select("target", at, "pos", "finding_id", "evidence"), heads.select("target", at), decisions, buckets=2)
+    return rows, lifecycle.inputs(obs.limit(0).select("target", at, "pos", "finding_id", "evidence"), heads.limit(0).select("target", at), None, ticks, 2)
+
+
+def test_lifecycle_stream_of_split_and_interleaved_scans_equals_batch(spark, out):
     chrono, obs, events = _batch(spark)
-    rows = lifecycle.with_heads(obs.select("target", "scan_n", F.col("pos").cast("long"), "finding_id", "evidence"), chrono.select("target", F.col("n").alias("scan_n")))
-    rows.cache()
-    for n in range(1, 7):  # one file, and so one micro-batch, per scan
-        rows.filter(F.col("scan_n") == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    q = lifecycle.lifecycle_stream(stream).writeStream.format("memory").queryName("life").outputMode("append").option("checkpointLocation", f"{out}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    cols = ("finding_id", "seq", "scan_n", "state", "previous_state")
-    got = sorted(map(tuple, spark.table("life").select(*cols).collect()), key=str)
-    want = sorted(map(tuple, events.select(*cols).collect()), key=str)
-    assert got == want and len(want) > 20
+    rows, end = _inputs(spark, obs, chrono)
+    third = F.pmod(F.xxhash64("finding_id", "kind", "bucket", "value"), F.lit(3)) + F.dayofmonth("at")
+    dealt = rows.withColumn("d", third).cache()
+    # delivery d holds the first part of day d, the second of day d - 1, the third of day d - 2
+    parts = [dealt.filter(F.col("d") == d).drop("d") for d in range(1, 9)]
+    assert dealt.groupBy("at").agg(F.count_distinct("d").alias("n")).filter("n < 2").isEmpty()
+    got = _deliver(spark, out, [*parts, end], late="3 days")
+    cols = ("finding_id", "seq", "state", "previous_state", "kind")
+    mine = sorted(map(tuple, got.select(*cols, F.date_format("at", "yyyy-MM-dd")).collect()), key=str)
+    want = sorted(map(tuple, events.select(*cols, "ts").collect()), key=str)
+    assert mine == want and len(want) > 20
+
+
+def test_decisions_of_a_person_end_a_finding(spark, out):
+    chrono, obs, events = _batch(spark)
+    ids = {r.rule_id: r.finding_id for r in obs.select("rule_id", "finding_id").distinct().collect()}
+    asked = [
+        (ids["SEO-001"], "DUPLICATE", "2024-01-02T12"), (ids["SEO-001"], "SUPERSEDED", "2024-01-03T12"), (ids["SEO-001"], "DUPLICATE", "2024-01-04T12"),
+        (ids["SEO-002"], "DUPLICATE", "2024-01-03T12"), (ids["SEO-003"], "RESOLVED", "2024-01-04T12"), ("nothing", "DUPLICATE", "2024-01-04T12"),
+    ]
+    decisions = spark.createDataFrame(asked, "finding_id string, state string, at string").select(F.lit("t").alias("target"), F.to_timestamp("at", "yyyy-MM-dd'T'HH").alias("at"), "finding_id", "state")
+    rows, end = _inputs(spark, obs, chrono, decisions)
+    got = _deliver(spark, out, [rows, end])
+    known = {v: k for k, v in ids.items()}
+    said = {(known.get(r.finding_id), r.state, r.kind, r.previous_state) for r in got.filter("kind IN ('decision', 'rejected')").collect()}
+    assert said == {
+        ("SEO-001", "DUPLICATE", "rejected", "CONFIRMED"), ("SEO-001", "SUPERSEDED", "decision", "ACTIVE"), ("SEO-001", "DUPLICATE", "rejected", "SUPERSEDED"),
+        ("SEO-002", "DUPLICATE", "rejected", "RESOLVED"), ("SEO-003", "RESOLVED", "rejected", "UPDATED"), (None, "DUPLICATE", "rejected", None),
+    }
+    assert got.filter((F.col("finding_id") == ids["SEO-001"]) & (F.col("kind") != "rejected")).count() == 4
+    batch = T.apply_decisions(events.withColumn("at", F.to_timestamp("ts")), decisions)
+    cols = ("finding_id", "seq", "state", "previous_state", "kind", "at")
+    assert sorted(map(str, batch.select(*cols).collect())) == sorted(map(str, got.select(*cols).collect()))
+
+
+def test_resolved_findings_are_forgotten_after_their_time(spark, out):
+    """SEO-002 is resolved on day 3 and comes again on day 4; resolved on day 5, again on day 6."""
+    chrono, obs, _ = _batch(spark)
+    rows, end = _inputs(spark, obs, chrono)
+    for name, keep, again in (("short", 12 * 3_600_000, "OPEN"), ("long", 48 * 3_600_000, "REOPENED")):
+        got = _deliver(spark, f"{out}/{name}", [rows, end], keep_resolved_ms=keep)
+        finding = obs.filter("rule_id = 'SEO-002'").first().finding_id
+        states = {r.at.day: r.state for r in got.filter(F.col("finding_id") == finding).orderBy("seq").collect() if r.at.day in (4, 6)}
+        assert set(states.values()) == {again}
 
 
 def test_scan_append_skips_known_ids(spark, out):
