@@ -2,8 +2,8 @@
 
 A model merges, again and again, the neighbours whose union is the piece of the best score (ties: leftmost). A row of pieces is
 what comes out exactly when every piece comes out of its own characters and every two neighbours come out of theirs. So the
-encoder looks for that row from left to right: at each position the longest piece that starts there (one Aho-Corasick pass
-over the reversed text finds them all); it fits if merging it and its neighbour anew gives just these two; if not, the next
+encoder looks for that row from left to right: at each position the longest piece that starts there (an Aho-Corasick automaton
+finds it while it goes along); it fits if merging it and its neighbour anew gives just these two; if not, the next
 shorter piece is tried; where none is left, the position goes into a bitfield of failed positions and the piece before it is
 shortened. No position fails twice, so the time grows with the text, however long a word without a blank is.
 
@@ -37,7 +37,7 @@ from pagegate.llm.tables import table
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT, SHORT, PAIRS = 200_000, 64, 500_000
+KEPT, SHORT, PAIRS = 300_000, 64, 1_000_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -89,9 +89,10 @@ class Codec:
         self._units()
         self.controls = {k for k, kind in enumerate(self.kinds) if kind == CONTROL}
         self.surfaces = [self._surface(k) for k in range(len(self.texts))]
-        self.fit: dict[tuple[int, int], bool] = {}
-        self.young: dict[str, list[int]] = {}  # units met lately, and before
-        self.old: dict[str, list[int]] = {}
+        self.fit: dict[int, bool] = {}
+        self.young: dict[str, bytes] = {}  # units met lately, and before
+        self.old: dict[str, bytes] = {}
+        self.last = np.array([self.end], np.int32).tobytes()
 
     # -- pieces that can come out
 
@@ -126,7 +127,7 @@ class Codec:
         self.left, self.right = ([self.edge(t, side) for t in own] for side in (0, 1))
         self.automaton = ahocorasick.Automaton()
         for k, t in enumerate(own):
-            self.automaton.add_word(t[::-1], k)
+            self.automaton.add_word(t, k)
         self.automaton.make_automaton()
 
     def edge(self, text: str, side: int) -> list[str]:
@@ -154,77 +155,86 @@ class Codec:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two tokens stay neighbours when their characters are merged anew. Where no piece lies across their border, they do."""
-        got = self.fit.get((a, b))
+        got = self.fit.get(a << 32 | b)
         if got is None:
             if len(self.fit) >= PAIRS:
                 self.fit.clear()
             score, first = self.score, self.left[b]
             across = any(u + v in score for u in self.right[a] for v in first)
-            got = self.fit[a, b] = not across or self.merged(self.tokens[a] + self.tokens[b]) == [self.tokens[a], self.tokens[b]]
+            got = self.fit[a << 32 | b] = not across or self.merged(self.tokens[a] + self.tokens[b]) == [self.tokens[a], self.tokens[b]]
         return got
 
     def row(self, text: str) -> list[int]:
         """Tokens of a text that is not empty; a character that no token holds is ~ its code point."""
-        n = len(text)
-        longest = [-1] * n
-        for end, token in self.automaton.iter(text[::-1]):
-            if longest[n - 1 - end] < 0:  # of those that begin at one place the longest comes first
-                longest[n - 1 - end] = token
-        size, shorter = self.size, self.shorter
+        n, size, shorter, fit, matches = len(text), self.size, self.shorter, self.fit, self.automaton.iter_long
         failed = bytearray(n // 8 + 1)
+        longest: dict[int, int] = {}  # of the places that were looked at
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, before = 0, -1, -1
+        ahead = matches(text)  # as long as nothing is taken back, it goes along
         while True:
-            if token < 0:
-                out.append(~ord(text[at]))
-                at += 1
-                if at == n:
-                    return out
-                token = longest[at]
-                continue
+            if token < 0:  # at a new place: the longest token there
+                token = longest.get(at, -1)
+                if token < 0:
+                    end, token = next(ahead, (n, -1))
+                    start = n if token < 0 else end + 1 - size[token]
+                    if start != at:  # characters that no token holds
+                        out += [~ord(x) for x in text[at:start]]
+                        at, before = start, -1
+                        if at == n:
+                            return out
+                    longest[at] = token
             end = at + size[token]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or out[-1] < 0 or self.fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = longest[at]
-            elif shorter[token] >= 0:
-                token = shorter[token]
-            else:
+            if not failed[end >> 3] >> (end & 7) & 1:
+                ok = before < 0 or fit.get(before << 32 | token)
+                if ok or ok is None and self.fits(before, token):
+                    out.append(token)
+                    if end == n:
+                        return out
+                    if longest[at] != token:
+                        ahead = matches(text, end)
+                    at, before, token = end, token, -1
+                    continue
+            token = shorter[token]
+            while token < 0:
                 failed[at >> 3] |= 1 << (at & 7)
-                token = out.pop()
-                at -= size[token]
+                last = out.pop()
+                at -= size[last]
+                before = out[-1] if out else -1
+                token = shorter[last]
 
     def unit_ids(self, unit: str) -> list[int]:
         ids: list[int] = []
+        own_ids = self.ids_of
         unknown_before = False
         for t in self.row(unit):
-            own = self.ids_of[t] if t >= 0 else self.foreign(chr(~t))
+            own = own_ids[t] if t >= 0 else self.foreign(chr(~t))
             unknown = own == [self.unknown]
             if not (unknown and unknown_before):  # unknown neighbours are one
                 ids += own
             unknown_before = unknown
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """All ids of a text and the end id."""
-        ids: list[int] = []
+    def unit(self, unit: str) -> bytes:
+        """Ids of a unit that is not among the young ones, which it joins."""
+        own = self.old.get(unit) or np.array(self.unit_ids(unit), np.int32).tobytes()
+        if len(unit) <= SHORT:
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self.young[unit] = own
+        return own
+
+    def raw(self, text: str) -> bytes:
+        """All ids of a text and the end id, as 32-bit numbers end to end."""
+        parts: list[bytes] = []
         if text:
-            whole = (BLANK if self.dummy else "") + text.replace(" ", BLANK)
-            young, old = self.young, self.old
-            for unit in self.units.findall(whole):
-                own = young.get(unit)
-                if own is None:
-                    own = old.get(unit) or self.unit_ids(unit)
-                    if len(unit) <= SHORT:
-                        if len(young) >= KEPT:
-                            self.old = old = young
-                            self.young = young = {}
-                        young[unit] = own
-                ids += own
-        ids.append(self.end)
-        return ids
+            units = self.units.findall((BLANK if self.dummy else "") + text.replace(" ", BLANK))
+            parts = [self.unit(unit) if own is None else own for unit, own in zip(units, map(self.young.get, units), strict=True)]
+        parts.append(self.last)
+        return b"".join(parts)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.raw(text), np.int32).tolist()
 
     # -- decoding
 
@@ -279,11 +289,11 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id") -> DataFrame:
         for rows, _, _ in pieces(batches):
             flat, ends, texts = [], [0], []
             for text in rows.column("text").to_pylist():
-                ids = c.encode(text or "")
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-                texts.append(c.decode(ids))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat)))
+                raw = c.raw(text or "")
+                flat.append(raw)
+                ends.append(ends[-1] + len(raw) // 4)
+                texts.append(c.decode(np.frombuffer(raw, np.int32).tolist()))
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.record_batch([rows.column(key), ids, pa.array(texts, pa.string())], [key, "ids", "decoded"])
 
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
