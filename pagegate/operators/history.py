@@ -199,18 +199,59 @@ def lineage(chrono: DataFrame) -> DataFrame:
     return out.join(ends, "target").withColumn("position", C("n") - 1)
 
 
-def scan_roots(scan: DataFrame, rounds: int = 40) -> DataFrame:
-    """Root ancestor and depth of every scan by doubling: each round joins a scan with the ancestor it
-    has reached, so a chain of length n takes log2(n) joins. Broken parent links end a chain."""
-    ids = scan.select(C("scan_id").alias("id"))
-    at = scan.select("scan_id", C("parent_scan_id").alias("up"))
-    known = at.join(ids, at["up"] == ids["id"], "left").select(
-        "scan_id", C("id").alias("up"), F.coalesce("id", "scan_id").alias("root"), F.when(C("id").isNotNull(), 1).otherwise(0).cast("long").alias("depth")
-    )
-    at = cut_lineage(known)
-    for _ in range(rounds):
-        if at.filter("up IS NOT NULL").isEmpty():
+def _links(scan: DataFrame) -> DataFrame:
+    """Each scan with its parent, where that exists."""
+    ids = scan.select(C("scan_id").alias("up")).distinct()
+    return scan.select("scan_id", C("parent_scan_id").alias("up")).join(ids, "up", "left_semi").select("scan_id", "up")
+
+
+def _doubled(scan: DataFrame) -> list[DataFrame]:
+    """(scan_id, up): the ancestor 1, 2, 4, ... links away, until none is left or the distance is at least the number of
+    scans. What is left then leads into a cycle, for no path without one is that long."""
+    at = cut_lineage(_links(scan))
+    n, out = scan.count(), []
+    while not at.isEmpty():
+        out.append(at)
+        if 1 << (len(out) - 1) >= n:
             break
+        at = cut_lineage(at.join(at.select(C("scan_id").alias("up"), C("up").alias("further")), "up").select("scan_id", C("further").alias("up")))
+    return out
+
+
+def parent_cycles(scan: DataFrame) -> DataFrame:
+    """scan_id, on_cycle: scans whose parent links come to no end, and whether they are on the cycle or only lead into it."""
+    steps, n = _doubled(scan), scan.count()
+    if not steps or 1 << (len(steps) - 1) < n:
+        return scan.select("scan_id", F.lit(True).alias("on_cycle")).limit(0)
+    last = steps[-1]
+    # after so many links everyone stands on a cycle, and each of its scans is reached
+    return last.select("scan_id").join(last.select(C("up").alias("scan_id"), F.lit(True).alias("c")).distinct(), "scan_id", "left").select("scan_id", F.coalesce("c", F.lit(False)).alias("on_cycle"))
+
+
+def ancestors(scan: DataFrame) -> DataFrame:
+    """descendant, ancestor, distance of every pair along parent links, for scans that lead into no cycle.
+
+    Pairs up to distance 2**r, and the one ancestor exactly 2**r away, make all pairs up to 2**(r + 1); each pair arises once."""
+    lost = parent_cycles(scan).select("scan_id")
+    sound = cut_lineage(scan.select("scan_id", "parent_scan_id").join(lost, "scan_id", "left_anti"))
+    jump = cut_lineage(_links(sound))
+    pairs = jump.select(C("scan_id").alias("descendant"), C("up").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
+    reach = 1
+    while not jump.isEmpty():
+        far = jump.withColumnsRenamed({"scan_id": "from_id", "up": "descendant"}).join(pairs, "descendant")
+        more = cut_lineage(far.select(C("from_id").alias("descendant"), "ancestor", (C("distance") + reach).alias("distance")))
+        jump = more.filter(C("distance") == 2 * reach).select(C("descendant").alias("scan_id"), C("ancestor").alias("up"))
+        pairs, reach = pairs.unionByName(more), 2 * reach
+    return pairs
+
+
+def scan_roots(scan: DataFrame) -> DataFrame:
+    """Root and depth of every scan that leads into no cycle, by doubling: a chain of length n takes log2(n) joins. A broken parent link
+    ends a chain; scans of cycles are `parent_cycles`."""
+    lost = parent_cycles(scan).select("scan_id")
+    known = scan.join(lost, "scan_id", "left_anti").select("scan_id").join(_links(scan), "scan_id", "left")
+    at = cut_lineage(known.select("scan_id", "up", F.coalesce("up", "scan_id").alias("root"), F.when(C("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
+    while not at.filter("up IS NOT NULL").isEmpty():
         hop = at.select(C("scan_id").alias("up"), C("up").alias("up2"), C("root").alias("root2"), C("depth").alias("depth2"))
         at = cut_lineage(
             at.join(hop, "up", "left").select(
@@ -221,6 +262,11 @@ def scan_roots(scan: DataFrame, rounds: int = 40) -> DataFrame:
     return at.select("scan_id", "root", "depth")
 
 
+def finding_chronology(events: DataFrame) -> DataFrame:
+    """Findings of each target in the order in which they were first seen: position from 0, first and last seen, state, events."""
+    return rank_within(current_state(events), ["target"], ["first_seen", "finding_id"], "r").withColumn("position", C("r") - 1).drop("r")
+
+
 def children(scan: DataFrame) -> DataFrame:
     return scan.filter("parent_scan_id IS NOT NULL").select(C("parent_scan_id").alias("scan_id"), C("scan_id").alias("child"))
 
@@ -475,8 +521,8 @@ POLICY = {
 }
 
 
-def violations(diff: DataFrame, score_delta: DataFrame, policy: dict | None = None) -> DataFrame:
-    """What a policy objects to. `score_delta(target, delta)` is candidate less baseline."""
+def violations(diff: DataFrame, score_delta: DataFrame, policy: dict | None = None, keys: tuple[str, ...] = ("target",)) -> DataFrame:
+    """What a policy objects to. `score_delta(keys, delta)` is candidate less baseline; `keys` name a comparison."""
     p = {**POLICY, **(policy or {})}
     sev = C("to_severity")
     new = C("change") == "created"
@@ -495,23 +541,72 @@ def violations(diff: DataFrame, score_delta: DataFrame, policy: dict | None = No
         .when(C("change") == "reopened", F.concat(F.lit("reopened finding "), C("rule_id")))
         .otherwise(F.concat(C("rule_id"), F.lit(" "), C("from_severity"), F.lit("→"), sev))
     )
-    found = diff.select("target", effect.alias("effect"), rule.alias("rule"), detail.alias("detail")).filter("effect IS NOT NULL")
+    found = diff.select(*keys, effect.alias("effect"), rule.alias("rule"), detail.alias("detail")).filter("effect IS NOT NULL")
     drop = -C("delta")
     drops = score_delta.select(
-        "target", F.when(drop >= p["fail_drop"], "FAIL").when(drop >= p["warn_drop"], "WARN").alias("effect"),
+        *keys, F.when(drop >= p["fail_drop"], "FAIL").when(drop >= p["warn_drop"], "WARN").alias("effect"),
         F.lit("score-drop").alias("rule"), F.concat(F.lit("overall dropped "), drop).alias("detail"),
     ).filter("effect IS NOT NULL")
     return found.unionByName(drops)
 
 
-def gate_verdicts(targets: DataFrame, found: DataFrame) -> DataFrame:
-    v = found.groupBy("target").agg(
+def gate_verdicts(targets: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("target",)) -> DataFrame:
+    v = found.groupBy(*keys).agg(
         F.count_if(C("effect") == "FAIL").alias("fails"), F.count_if(C("effect") == "WARN").alias("warns")
     )
-    j = targets.select("target").distinct().join(v, "target", "left").fillna(0)
+    j = targets.select(*keys).distinct().join(v, list(keys), "left").fillna(0, ["fails", "warns"])
     return j.withColumn("verdict", F.when(C("fails") > 0, "FAIL").when(C("warns") > 0, "WARN").otherwise("PASS"))
 
 
+def baseline_history(pointers: DataFrame) -> DataFrame:
+    """Baseline pointers (target, scan_id, set_at, ...) with the time in which each is in force: from its own to the next one's;
+    `position` from 0. Pointers set at one time follow each other by scan."""
+    ranked = rank_within(pointers, ["target"], ["set_at", "scan_id"], "r")
+    out = with_previous(ranked, ["target"], "r", {"set_at": "valid_to"}, -1)
+    return out.withColumn("position", C("r") - 1).withColumnRenamed("set_at", "valid_from").drop("r")
+
+
+def baseline_in_force(chrono: DataFrame, pointers: DataFrame) -> DataFrame:
+    """target, n, baseline (scan id) of every scan: the pointer that was set last before the scan or at its time.
+
+    An as-of join by a running maximum over scans and pointers in one order, so a target may own most of either."""
+    marks = rank_within(pointers.select("target", "set_at", "scan_id").distinct(), ["target"], ["set_at", "scan_id"], "p")
+    both = marks.select("target", C("set_at").alias("at"), F.lit(0).alias("kind"), "p", F.lit(None).cast("long").alias("n")).unionByName(
+        chrono.select("target", C("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("p"), "n")
+    )
+    placed = cut_lineage(rank_within(both, ["target"], ["at", "kind", "p", "n"], "k"))
+    asof = running_max(placed, ["target"], "k", "p", "in_force").filter("kind = 1 AND in_force IS NOT NULL").select("target", "n", C("in_force").alias("p"))
+    return asof.join(marks.select("target", "p", C("scan_id").alias("baseline")), ["target", "p"]).drop("p")
+
+
+def gate_history(chrono: DataFrame, scan_finding: DataFrame, pointers: DataFrame, policy: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every scan judged against the baseline in force at its time: (target, n, baseline, baseline_n, fails, warns, verdict) and
+    the violations (target, n, effect, rule, detail). A scan before the first pointer is not judged.
+
+    A finding that the baseline lacks was resolved by then exactly when an earlier scan had it."""
+    held = baseline_in_force(chrono, pointers)
+    pairs = cut_lineage(held.join(chrono.select("target", C("scan_id").alias("baseline"), C("n").alias("baseline_n"), C("overall").alias("was")), ["target", "baseline"]).join(chrono.select("target", "n", C("overall").alias("is")), ["target", "n"]))
+    o = cut_lineage(observations(chrono, scan_finding))
+    seen = o.groupBy("target", "finding_id").agg(F.min("scan_n").alias("first_n"))
+    once = o.groupBy("target", "scan_n", "finding_id").agg(F.max_by(F.struct("rule_id", "severity", "evidence"), "pos").alias("f"))
+
+    def side(n: str, name: str) -> DataFrame:
+        return once.withColumnRenamed("scan_n", n).join(pairs.select("target", "n", "baseline_n"), ["target", n]).select("target", "n", "baseline_n", "finding_id", C("f").alias(name))
+
+    j = side("baseline_n", "a").join(side("n", "b"), ["target", "n", "baseline_n", "finding_id"], "full_outer").join(seen, ["target", "finding_id"])
+    sev, both = ~C("a.severity").eqNullSafe(C("b.severity")), C("a").isNotNull() & C("b").isNotNull()
+    change = (
+        F.when(C("b").isNull(), "resolved")
+        .when(C("a").isNull(), F.when(C("first_n") < C("baseline_n"), "reopened").otherwise("created"))
+        .when(sev | (C("a.evidence") != C("b.evidence")), "modified")
+        .otherwise("unchanged")
+    )
+    diff = j.select("target", "n", change.alias("change"), F.coalesce("b.rule_id", "a.rule_id").alias("rule_id"), C("a.severity").alias("from_severity"), C("b.severity").alias("to_severity"), (both & sev).alias("severity_changed"))
+    keys = ("target", "n")
+    found = violations(diff, pairs.select(*keys, (C("is") - C("was")).alias("delta")), policy, keys)
+    return pairs.select(*keys, "baseline", "baseline_n").join(gate_verdicts(pairs, found, keys), list(keys)), found
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row of each key: the current baseline, the latest snapshot, the latest verdict."""
     rest = [c for c in df.columns if c not in keys]

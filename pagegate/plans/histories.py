@@ -49,6 +49,16 @@ def _gate(s, d, known=None):
     return chrono, diff, T.violations(diff, delta)
 
 
+LOOPED = "target IN ('site-11', 'site-12') AND n = 1"
+
+
+def _looped(s, d):
+    """The scans with parents, the first scan of two targets coming from a later one."""
+    _, chrono = _base(s, d)
+    third = chrono.filter("n = 3").select("target", C("scan_id").alias("third"))
+    return chrono.join(third, "target", "left").select("scan_id", F.when(F.expr(LOOPED), C("third")).otherwise(C("parent_scan_id")).alias("parent_scan_id"))
+
+
 def _tampered(s, d):
     """A damaged copy of the scan store with its manifest: losses, strays, forgeries, repeats."""
     _, chrono = _base(s, d)
@@ -96,6 +106,9 @@ def queries():
         "scans_by_rule": lambda s, d: (lambda b: T.index_lookup(T.scan_index(b[1], b[0]), "by-rule", "SEC-001"))(_base(s, d)),
         "scan_lineage": lambda s, d: T.lineage(_base(s, d)[1]).select("scan_id", "previous_scan", "next_scan", "first_scan", "latest_scan", "position", "total"),
         "scan_roots": lambda s, d: T.scan_roots(_base(s, d)[1]),
+        "scan_ancestors": lambda s, d: T.ancestors(_looped(s, d)),
+        "scan_cycles": lambda s, d: T.parent_cycles(_looped(s, d)),
+        "finding_chronology": lambda s, d: T.finding_chronology(_events(s, d)[2]).select("target", "position", "finding_id", "first_seen", "last_seen", "state"),
         "scan_children": lambda s, d: T.children(_base(s, d)[1]),
         "scan_diff": lambda s, d: (lambda b: T.adjacent_diff(b[1], b[0]).groupBy("target", "n", "change").agg(F.count("*").alias("findings")))(_base(s, d)),
         "rule_diff": lambda s, d: (lambda b: T.rule_diff(T.adjacent_diff(b[1], b[0])))(_base(s, d)),
@@ -187,6 +200,10 @@ ev AS MATERIALIZED (SELECT e.*, c.ts, row_number() OVER q - 1 AS seq, lag(state)
   UNION ALL SELECT target, finding_id, k, step, scan_n, rule_id, severity, bucket, state FROM gone) e JOIN c ON c.target = e.target AND c.n = e.scan_n WINDOW q AS (PARTITION BY e.target, finding_id ORDER BY k, step)),
 cs AS (SELECT target, finding_id, arg_max(state, seq) AS state, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS observations FROM ev GROUP BY target, finding_id)"""
 
+LOOPS = f""", lp AS (SELECT ch.scan_id, CASE WHEN {LOOPED.replace('target', 'ch.target').replace(' n =', ' ch.n =')} THEN t.scan_id ELSE ch.parent_scan_id END AS parent FROM ch LEFT JOIN (SELECT target, scan_id FROM ch WHERE n = 3) t ON t.target = ch.target),
+an AS (SELECT l.scan_id AS descendant, l.parent AS ancestor, 1 AS distance FROM lp l JOIN lp p ON p.scan_id = l.parent
+ UNION ALL SELECT an.descendant, l.parent, distance + 1 FROM an JOIN lp l ON l.scan_id = an.ancestor JOIN lp p ON p.scan_id = l.parent WHERE distance < 99)"""
+
 OPEN = "state IN ('OPEN', 'CONFIRMED', 'ACTIVE', 'UPDATED', 'REOPENED')"
 RANK = "CASE {} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 
@@ -230,6 +247,9 @@ x AS (SELECT coalesce(ka.host, kb.host) AS host, coalesce(ka.suite, kb.suite) AS
         "scan_lineage": f"""{b} SELECT scan_id, lag(scan_id) OVER w AS previous_scan, lead(scan_id) OVER w AS next_scan, first_value(scan_id) OVER w AS first_scan,
  last_value(scan_id) OVER (PARTITION BY target ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest_scan, n - 1 AS position, count(*) OVER (PARTITION BY target) AS total FROM c WINDOW w AS (PARTITION BY target ORDER BY n)""",
         "scan_roots": f"""{b}, rr AS (SELECT scan_id, scan_id AS root, 0 AS depth FROM ch WHERE parent_scan_id IS NULL UNION ALL SELECT ch.scan_id, rr.root, depth + 1 FROM rr JOIN ch ON ch.parent_scan_id = rr.scan_id) SELECT scan_id, root, depth FROM rr""",
+        "scan_ancestors": f"{b}{LOOPS} SELECT descendant, ancestor, distance FROM an WHERE descendant NOT IN (SELECT descendant FROM an WHERE distance = 99)",
+        "scan_cycles": f"{b}{LOOPS} SELECT descendant AS scan_id, bool_or(ancestor = descendant) AS on_cycle FROM an WHERE descendant IN (SELECT descendant FROM an WHERE distance = 99) GROUP BY descendant",
+        "finding_chronology": f"{b}{LIFE} SELECT target, row_number() OVER (PARTITION BY target ORDER BY first_seen, finding_id) - 1 AS position, finding_id, first_seen, last_seen, state FROM cs",
         "scan_children": f"{b} SELECT parent_scan_id AS scan_id, scan_id AS child FROM ch WHERE parent_scan_id IS NOT NULL",
         "scan_diff": f"{b}{DIFF} SELECT target, n, change, count(*) AS findings FROM df GROUP BY ALL",
         "rule_diff": f"{b}{DIFF} SELECT target, n, rule_id, count(*) FILTER (change = 'introduced') AS introduced, count(*) FILTER (change = 'resolved') AS resolved, 0 AS changed FROM df WHERE change <> 'unchanged' GROUP BY target, n, rule_id",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagegate.plans import graph, histories, migration, misc, page_rules, site_audit, streams, visuals
+from pagegate.plans import graph, histories, migration, misc, page_rules, site_audit, stores, streams, visuals
 
-MODULES = (page_rules, site_audit, graph, migration, histories, visuals, misc, streams)
+MODULES = (page_rules, site_audit, graph, migration, histories, visuals, misc, streams, stores)
 
 
 def queries() -> dict:

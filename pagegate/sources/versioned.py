@@ -23,7 +23,7 @@ def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -31,13 +31,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def commits(spark: SparkSession, store: str) -> DataFrame:
     """version, base (whether it holds all keys), rows."""
     schema = "version bigint, base boolean, rows bigint"
-    if not _exists(spark, f"{store}/commits"):
+    if not exists(spark, f"{store}/commits"):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{store}/commits")
 
 
 def is_committed(spark: SparkSession, store: str, version: int) -> bool:
-    return _exists(spark, f"{store}/commits/version={version}/_SUCCESS")
+    return exists(spark, f"{store}/commits/version={version}/_SUCCESS")
 
 
 def _write(rows: DataFrame, store: str, keys: list[str], version: int, base: bool, buckets: int) -> None:
