@@ -190,3 +190,30 @@ def swept_viewports(sweeps: DataFrame) -> DataFrame:
     pages = sweeps.groupBy("site").agg(F.count_distinct("page").alias("n_pages"))
     v = sweeps.filter("swept").groupBy("site", "viewport").agg(F.count_distinct("page").alias("n"))
     return v.join(pages, "site").filter("n = n_pages").select("site", "viewport")
+
+
+# Rules that rest on a measurement of a page, and rules that rest on the sweep of viewports.
+MEASURED_RULES = ("A11Y-001", "PERF-001", "PERF-002")
+SWEPT_RULES = ("RESP-002", "RESP-003", "RESP-004", "RESP-005", "RESP-006")
+
+
+def sweep_gaps(pages: DataFrame, sweeps: DataFrame, viewports: list[str]) -> DataFrame:
+    """site, page, viewport of every rendered page that a needed viewport was not swept on."""
+    wanted = pages.select("site", "page").distinct().withColumn("viewport", F.explode(F.array(*map(F.lit, viewports))))
+    return wanted.join(sweeps.filter("swept").select("site", "page", "viewport"), ["site", "page", "viewport"], "left_anti")
+
+
+def unverified_rules(pages: DataFrame, sweeps: DataFrame, measures: DataFrame, viewports: list[str]) -> DataFrame:
+    """site, rule_id, reason of the rules that a site's rendering says nothing about: neither a pass nor a finding.
+
+    A rule of measurements is left open where no page gave any (`measures(site, page, rule_id)`). A rule of sweeps needs one
+    viewport without a gap on any page, which is a relational division by two anti-joins: viewports less those with gaps, sites less
+    those that have a viewport left. A sweep of some viewports only has been done, on fewer of them, and is not listed."""
+    sites = pages.select("site").distinct()
+    gaps = sweep_gaps(pages, sweeps, viewports).select("site", "viewport").distinct()
+    whole = sites.withColumn("viewport", F.explode(F.array(*map(F.lit, viewports)))).join(gaps, ["site", "viewport"], "left_anti")
+    blind = sites.join(whole.select("site").distinct(), "site", "left_anti")
+    needed = sites.withColumn("rule_id", F.explode(F.array(*map(F.lit, MEASURED_RULES))))
+    silent = needed.join(measures.select("site", "rule_id").distinct(), ["site", "rule_id"], "left_anti")
+    unswept = blind.withColumn("rule_id", F.explode(F.array(*map(F.lit, SWEPT_RULES))))
+    return silent.withColumn("reason", F.lit("no page gave a measurement")).unionByName(unswept.withColumn("reason", F.lit("no viewport was swept on every page")))

@@ -139,12 +139,24 @@ def queries():
         "engine_rows": lambda s, d: N.engine_rows(*_engines(s, d)),
         "blocking_overlays": lambda s, d: N.blocking_overlays(_fonts(s, d).select("site", "page", F.expr("page_id % 5 = 0").alias("still_blocking"), F.expr("CASE WHEN page_id % 2 = 0 THEN 'intercepts' ELSE 'paints' END").alias("reason"), F.expr("(page_id % 100) / 100").alias("cover"))),
         "consent_rows": lambda s, d: N.consent_rows(_fonts(s, d).select("site", "page")),
+        "unverified_rules": _unverified,
         "swept_viewports": lambda s, d: N.swept_viewports(
             _fonts(s, d).select("site", "page", F.explode(F.array(F.lit("1920 · Desktop"), F.lit("390 · Phone"))).alias("viewport"), "page_id").withColumn("swept", F.expr("viewport = '1920 · Desktop' OR page_id % 50 <> 3"))
         ),
     }
 
 
+SWEPT = "NOT (page_id % 4 = 1 AND viewport LIKE '1920%') AND NOT (page_id % 4 = 2 AND viewport LIKE '390%')"
+MEASURE = "CASE WHEN page_id % 3 = 0 THEN 'A11Y-001' WHEN page_id % 3 = 1 THEN 'PERF-001' WHEN page_id % 5 = 2 THEN 'PERF-002' END"
+NEEDED = ["1920 · Desktop", "390 · Phone"]
+
+
+def _unverified(s, d):
+    pages = _fonts(s, d).select("site", "page", "page_id").distinct()
+    sweeps = pages.withColumn("viewport", F.explode(F.array(*map(F.lit, NEEDED)))).withColumn("swept", F.expr(SWEPT))
+    return N.unverified_rules(pages, sweeps, pages.withColumn("rule_id", F.expr(MEASURE)).filter("rule_id IS NOT NULL"), NEEDED)
+
+
 def _el_sql() -> str:
     ref = ", ".join(f"{v} AS {k}" for k, v in X.ELEMENT_COLUMNS.items())
     cand = ", ".join(f"{v} AS {k}" for k, v in X.CAND_COLUMNS.items())
@@ -261,5 +273,8 @@ SELECT site, page, 'ICON-001' AS rule_id, count(*) AS n FROM i GROUP BY site, pa
 FROM (SELECT *, page_id % 10 <> 0 OR engine = 'firefox' AS av FROM (SELECT *, unnest(['firefox', 'webkit']) AS engine FROM {pg}))""",
         "blocking_overlays": f"SELECT site, page, 'CON-003' AS rule_id, concat(CASE WHEN page_id % 2 = 0 THEN 'blocks interaction across ' ELSE 'paints over ' END, page_id % 100, '% of the viewport') AS detail FROM {pg} WHERE page_id % 5 = 0",
         "consent_rows": f"SELECT site, count(*) AS clicks, count(DISTINCT page) AS pages FROM {pg} GROUP BY site",
+        "unverified_rules": f"""WITH p AS (SELECT DISTINCT site, page, page_id FROM {pg}), s AS (SELECT site, viewport, bool_and({SWEPT}) AS whole FROM p, (SELECT unnest({NEEDED}) AS viewport) GROUP BY site, viewport)
+SELECT DISTINCT p.site, r.rule_id, 'no page gave a measurement' AS reason FROM p, (SELECT unnest(['A11Y-001', 'PERF-001', 'PERF-002']) AS rule_id) r WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.site = p.site AND {MEASURE.replace("page_id", "q.page_id")} = r.rule_id)
+UNION ALL SELECT site, unnest(['RESP-002', 'RESP-003', 'RESP-004', 'RESP-005', 'RESP-006']), 'no viewport was swept on every page' FROM s GROUP BY site HAVING NOT bool_or(whole)""",
         "swept_viewports": f"SELECT DISTINCT site, '1920 · Desktop' AS viewport FROM {pg} UNION ALL SELECT site, '390 · Phone' FROM {pg} GROUP BY site HAVING count(*) FILTER (page_id % 50 = 3) = 0",
     }
