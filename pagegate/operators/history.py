@@ -558,6 +558,12 @@ def gate_verdicts(targets: DataFrame, found: DataFrame, keys: tuple[str, ...] =
     return j.withColumn("verdict", F.when(C("fails") > 0, "FAIL").when(C("warns") > 0, "WARN").otherwise("PASS"))
 
 
+def ordered_violations(found: DataFrame, keys: tuple[str, ...] = ("target",)) -> DataFrame:
+    """Violations with their place in the report, from 0: failures first, then by rule and detail (bytewise)."""
+    ranked = rank_within(found, list(keys), ["effect", "rule", "detail"], "r")  # FAIL sorts before WARN
+    return ranked.withColumn("position", C("r") - 1).drop("r")
+
+
 def baseline_history(pointers: DataFrame) -> DataFrame:
     """Baseline pointers (target, scan_id, set_at, ...) with the time in which each is in force: from its own to the next one's;
     `position` from 0. Pointers set at one time follow each other by scan."""

@@ -125,6 +125,7 @@ def queries():
         "open_findings": lambda s, d: (lambda e: T.open_at_scan(e[1], e[2]).select("target", "ts", "open_findings"))(_events(s, d)),
         "finding_diff": lambda s, d: _gate(s, d)[1].groupBy("target", "change", "severity_changed", "evidence_changed").agg(F.count("*").alias("n")),
         "policy_violations": lambda s, d: _gate(s, d)[2].groupBy("target", "effect", "rule", "detail").agg(F.count("*").alias("n")),
+        "violation_order": lambda s, d: T.ordered_violations(_gate(s, d)[2]).select("target", "position", "effect", "rule", "detail"),
         "regression_gate": lambda s, d: (lambda g: T.gate_verdicts(g[0], g[2]))(_gate(s, d)),
         "baseline_pointer": lambda s, d: (lambda c: T.latest_per(c.filter("n % 4 = 1").select("target", "n", "scan_id"), ["target"], ["n"]))(_base(s, d)[1]),
         "milestones": lambda s, d: T.milestones(_points(s, d)),
@@ -264,6 +265,7 @@ FROM (SELECT s.* FROM s JOIN l ON l.target = s.target AND s.n < last) p FULL JOI
 SELECT c.target, c.ts, (SELECT count(*) FROM (SELECT finding_id, arg_max(state, scan_n) AS state FROM ss WHERE ss.target = c.target AND ss.scan_n <= c.n GROUP BY finding_id) WHERE {OPEN}) AS open_findings FROM c""",
         "finding_diff": f"{b}{GATE} SELECT target, change, severity_changed, evidence_changed, count(*) AS n FROM fd GROUP BY ALL",
         "policy_violations": f"{b}{GATE} SELECT target, effect, rule, detail, count(*) AS n FROM vi GROUP BY ALL",
+        "violation_order": f"{b}{GATE} SELECT target, row_number() OVER (PARTITION BY target ORDER BY effect, rule, detail) - 1 AS position, effect, rule, detail FROM vi",
         "regression_gate": f"{b}{GATE} SELECT *, CASE WHEN fails > 0 THEN 'FAIL' WHEN warns > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM gv",
         "baseline_pointer": f"{b} SELECT target, max(n) AS n, arg_max(scan_id, n) AS scan_id FROM c WHERE n % 4 = 1 GROUP BY target",
         "milestones": f"""{b}{POINTS} SELECT target, arg_min(scan_id, index) AS first_scan, arg_max(scan_id, index) AS latest_scan, arg_max(scan_id, overall * 100000 - index) AS best_scan, arg_min(scan_id, overall * 100000 + index) AS worst_scan,
