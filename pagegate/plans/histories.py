@@ -285,6 +285,14 @@ SELECT t.target, s AS current_score, open_findings, CASE WHEN fails > 0 THEN 'FA
 SELECT 'duplicate' AS issue, count(*) AS n FROM (SELECT scan_id FROM m GROUP BY scan_id HAVING count(*) > 1) UNION ALL SELECT 'missing', count(DISTINCT scan_id) FROM m WHERE scan_id NOT IN (SELECT scan_id FROM s)
 UNION ALL SELECT 'orphan', count(*) FROM s WHERE scan_id NOT IN (SELECT scan_id FROM m) UNION ALL SELECT 'digest-mismatch', count(*) FROM s WHERE n % 9 IN (5, 6)
 UNION ALL SELECT 'address-mismatch', count(*) FROM s WHERE n % 9 = 6 UNION ALL SELECT 'broken-chain', count(*) FROM s WHERE parent_scan_id IS NOT NULL AND parent_scan_id NOT IN (SELECT scan_id FROM s)""",
+        "event_integrity": f"""{b}{LIFE}, hu AS (SELECT *, CASE WHEN seq = 2 AND rule_id = 'LINK-007' THEN 'OPEN' ELSE state END AS st FROM ev WHERE NOT (seq = 1 AND rule_id = 'SEO-003')),
+hl AS (SELECT *, row_number() OVER w - 1 AS r, lag(st) OVER w AS was, lag(seq) OVER w AS pseq FROM hu WINDOW w AS (PARTITION BY target, finding_id ORDER BY seq)),
+legal(f, t) AS (VALUES ('', 'OPEN'), ('OPEN', 'CONFIRMED'), ('CONFIRMED', 'ACTIVE'), ('ACTIVE', 'ACTIVE'), ('ACTIVE', 'UPDATED'), ('ACTIVE', 'RESOLVED'), ('ACTIVE', 'DUPLICATE'), ('ACTIVE', 'SUPERSEDED'),
+ ('UPDATED', 'ACTIVE'), ('UPDATED', 'RESOLVED'), ('UPDATED', 'DUPLICATE'), ('UPDATED', 'SUPERSEDED'), ('RESOLVED', 'REOPENED'), ('REOPENED', 'ACTIVE')),
+iss AS (SELECT 'digest-mismatch' AS issue FROM hl WHERE st <> state UNION ALL SELECT 'address-mismatch' FROM hl WHERE st <> state UNION ALL SELECT 'reorder' FROM hl WHERE seq <> r
+ UNION ALL SELECT 'broken-chain' FROM hl WHERE previous_state IS DISTINCT FROM was OR coalesce(pseq, -1) <> seq - 1 UNION ALL SELECT 'invalid-transition' FROM hl WHERE NOT EXISTS (SELECT 1 FROM legal WHERE f = coalesce(was, '') AND t = st)
+ UNION ALL SELECT 'orphaned-reference' FROM hl WHERE scan_n = 3)
+SELECT issue, count(*) AS n FROM iss GROUP BY issue""",
         "clean_event_store": "SELECT '' AS record_id, '' AS issue WHERE FALSE",
         "light_compare": f'{light} SELECT host, suite, chk AS "check", change FROM x WHERE change IS NOT NULL',
         "light_summary": f"""{light}, fl AS (SELECT host, count(*) FILTER (status = 'fail' AND side = 'a') AS fa, count(*) FILTER (status = 'fail' AND side = 'b') AS fb FROM (SELECT host, status, 'a' AS side FROM a UNION ALL SELECT host, status, 'b' FROM b) GROUP BY host)
