@@ -6,11 +6,12 @@ LEAST_COUNT times or more, with a fixed discount; what they leave goes to the sh
 chances sum to one. No share of the input and no number of n-grams bounds the model: it grows with what it is trained on.
 
 Each kept history is a state. An arc carries the log of a kept chance to the longest state that ends the new history; where a
-state has no arc for a token, its failure arc leads to the shorter history and carries the backoff weight. States and
-arcs are written tables and never leave the cluster: documents are dealt to parts of about PART_BYTES, a part asks for the counts
-and weights of its own n-grams by an equal join, and a count that is the part's own is not sent back. Each part then has the piece of the
-automaton that its texts can reach. A trigram is only asked for where both of its bigrams are kept, as it cannot occur more often
-than they do.
+state has no arc for a token, its failure arc leads to the shorter history and carries the backoff weight. The automaton never
+leaves the cluster: documents are dealt to parts of about PART_BYTES, and a part adds up its own n-grams. It sends them as sorted lists,
+one for each range of hashes; where the lists of a range meet they are added up, and each part gets back a list of the same order with
+the counts of all parts. One part that trains an n-gram is told to be its owner, which alone adds it to what its history has given away;
+those sums go the same way. Each part then has the piece of the automaton that its texts can reach. A trigram is only asked for where
+both of its bigrams are kept, as it cannot occur more often than they do.
 
 A text is scored in one walk from left to right that carries the state and adds up log10 chances. Many walks go in step as
 numpy arrays; a long text is cut into walks of CHUNK tokens, each of which first takes the two tokens before it without
@@ -35,8 +36,7 @@ from pagegate.llm.bytes_text import U64, mix, odd_constants, pieces, word_hashes
 from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
-# SHORT_LIST and KEPT: shares of all tokens that words and n-grams must have. None is asked for.
-SHORT_LIST, KEPT, LEAST_COUNT, DISCOUNT = 0, 0, 2, 0.5
+LEAST_COUNT, DISCOUNT = 2, 0.5
 PART_BYTES, CHUNK = 16 << 20, 256
 FOLDS, HELD = 7, 2
 END, *_FACTORS = odd_constants(5, 41)
@@ -94,31 +94,84 @@ class Grams:
         self.triples_n = np.bincount(at[self.trains[self.after[second[fine]]]], minlength=len(own))
 
 
-def put(keys: np.ndarray, values: np.ndarray, given: pa.Table, column: str = "value") -> np.ndarray:
-    """Values of the keys, those that are given instead of the part's own."""
-    out, order = values.copy(), np.argsort(keys)
-    if given.num_rows:
-        out[order[np.searchsorted(keys, given.column("key").to_numpy().view(U64), sorter=order)]] = given.column(column).to_numpy(zero_copy_only=False)
-    return out
+WORD, PAIR, TRIPLE, WORD_STATE, PAIR_STATE = range(5)
+GIVEN = "part int, kind byte, bucket int, value array<double>, owner array<boolean>"
+
+
+def lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+
+
+def sums_at(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(places, values, n).astype(np.float64)
+
+
+def by_range(part: int, parts: int, kind: int, keys: np.ndarray, **values: np.ndarray) -> pa.Table:
+    """A part's keys in order, one row for each of the 2 * parts ranges of hashes that has some, with what belongs to them."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((keys[order] >> U64(32)) * U64(2 * parts) >> U64(32)).astype(np.int32)
+    begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+    cuts = np.append(begins, len(keys))
+    return pa.table({
+        "part": pa.array(np.full(len(begins), part, np.int32)), "kind": pa.array(np.full(len(begins), kind, np.int8)), "bucket": pa.array(bucket[begins]),
+        "keys": lists(cuts, keys[order].view(np.int64)), **{c: lists(cuts, v[order]) for c, v in values.items()},
+    })
+
+
+def met(t: pa.Table, *columns: str) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The rows of one range by part, where their lists are cut, each key's number and the values of the columns."""
+    t = t.sort_by("part").combine_chunks()
+    flat = [pc.list_flatten(t.column(c)).to_numpy() for c in ("keys", *columns)]
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(t.column("keys")).to_numpy())])
+    return t, cuts, np.unique(flat[0], return_inverse=True)[1], flat[1:]
+
+
+def added_up(asked: DataFrame) -> DataFrame:
+    """Counts of all parts for the n-grams that each part asks for, and whether it owns them; `own` and `own_n` say how many it owns in a
+    range and how often those occur."""
+
+    def add(t: pa.Table) -> pa.Table:
+        t, cuts, which, (n,) = met(t, "n")
+        total, trains = np.bincount(which, n)[which], np.flatnonzero(n > 0)
+        owner = np.zeros(len(n), dtype=bool)
+        owner[trains[np.unique(which[trains], return_index=True)[1]]] = True
+        row = np.repeat(np.arange(t.num_rows), np.diff(cuts))
+        sums = [np.bincount(row, w, t.num_rows).astype(np.int64) for w in (owner, owner * total)]
+        return t.select(["part", "kind", "bucket"]).append_column("value", lists(cuts, total)).append_column("owner", lists(cuts, owner)).append_column("own", pa.array(sums[0])).append_column("own_n", pa.array(sums[1]))
+
+    return asked.groupBy("kind", "bucket").applyInArrow(add, GIVEN + ", own bigint, own_n bigint")
 
 
-WORD, PAIR, TRIPLE, STATE = range(4)
+def weights(asked: DataFrame) -> DataFrame:
+    """Log backoff weights of the histories that each part asks for, NaN where nothing kept goes on from one."""
 
+    def weigh(t: pa.Table) -> pa.Table:
+        t, cuts, which, (a, b) = met(t, "a", "b")
+        a, b = np.bincount(which, a), np.bincount(which, b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            back = np.where(a > 0, np.log10((1 - a) / (1 - b)), np.nan)
+        return t.select(["part", "kind", "bucket"]).append_column("value", lists(cuts, back[which])).append_column("owner", pa.nulls(t.num_rows, pa.list_(pa.bool_())))
 
-def of_kind(given: pa.Table, kind: int) -> pa.Table:
-    return given.filter(pc.equal(given.column("kind"), kind))
+    return asked.groupBy("kind", "bucket").applyInArrow(weigh, GIVEN)
+
+
+def answers(given: pa.Table, kind: int, keys: np.ndarray, column: str = "value") -> np.ndarray:
+    """What came back for the keys that were sent by `by_range`, in their own order."""
+    values = pc.list_flatten(given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)).to_numpy()
+    out = np.empty(len(keys), values.dtype)
+    out[np.argsort(keys, kind="stable")] = values
+    return out
 
 
 @dataclass
 class Model:
-    """Numbers of parts, tokens and distinct tokens, and written tables: counts (part, kind, key, value, owner) of words and pairs,
-    asked (part, kind, key, ...), arcs (key, c) of triples and states (key, back)."""
+    """Numbers of parts, tokens and distinct tokens, and written tables with the columns of GIVEN: `counts` of words and pairs, `arcs`
+    (counts of triples) and `states` (backoff weights)."""
 
     parts: int
     total: int
     distinct: int
     counts: DataFrame
-    asked: DataFrame
     arcs: DataFrame
     states: DataFrame
 
@@ -218,76 +271,62 @@ def dealt_out(docs: DataFrame, parts: int) -> DataFrame:
 def fit(docs: DataFrame) -> Model:
     """The model of the training rows of `with_fold(docs)`."""
     parts = n_parts(docs)
+    asks, sums = "part int, kind byte, bucket int, keys array<bigint>, n array<bigint>", "part int, kind byte, bucket int, keys array<bigint>, a array<double>, b array<double>"
 
     def first_asked(t: pa.Table) -> pa.Table:
-        g = Grams(t)
-        n = len(g.words_key) + len(g.pairs_key)
-        return pa.table({
-            "part": pa.array(np.full(n, t.column("part")[0].as_py(), np.int32)), "kind": pa.array(np.repeat([WORD, PAIR], [len(g.words_key), len(g.pairs_key)]), pa.int8()),
-            "key": pa.array(np.concatenate([g.words_key, g.pairs_key]).view(np.int64)), "n": pa.array(np.concatenate([g.words_n, g.pairs_n]).astype(np.int64)),
-        })
-
-    wanted = dealt_out(docs, parts).applyInArrow(first_asked, "part int, kind byte, key bigint, n bigint").repartition("key")
-    totals = wanted.groupBy("key").agg(F.sum("n").alias("value"), F.min(F.when(F.col("n") > 0, F.col("part"))).alias("first_part"))
-    # a word always comes back to one part that trains it, where it is added up
-    owner = F.coalesce(F.col("part") == F.col("first_part"), F.lit(False))
-    sent = ((F.col("kind") == WORD) & (owner | (F.col("value") != F.col("n")))) | ((F.col("value") >= LEAST_COUNT) & (F.col("value") != F.col("n")))
-    counts = cut_lineage(wanted.join(totals, "key").select("part", "kind", "key", "value", "n", owner.alias("owner")).filter(sent).drop("n"))
-    total, distinct = counts.filter(F.col("owner") & (F.col("kind") == WORD)).agg(F.coalesce(F.sum("value"), F.lit(0)), F.count("*")).first()
+        g, part = Grams(t), t.column("part")[0].as_py()
+        return pa.concat_tables([by_range(part, parts, WORD, g.words_key, n=g.words_n), by_range(part, parts, PAIR, g.pairs_key, n=g.pairs_n)])
+
+    counts = cut_lineage(added_up(dealt_out(docs, parts).applyInArrow(first_asked, asks)))
+    total, distinct = counts.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("own_n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
     scale = max(total + distinct + 1, 1)
+    counts = counts.drop("own", "own_n")
 
     def then_asked(t: pa.Table, given: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in zip(names, kinds, strict=True)})
-        g, given_pairs = Grams(t), of_kind(given, PAIR)
-        words, pairs = put(g.words_key, g.words_n, of_kind(given, WORD)), put(g.pairs_key, g.pairs_n, given_pairs)
-        mine = put(g.pairs_key, g.pairs_n > 0, given_pairs, "owner") & (pairs >= LEAST_COUNT)
+        g = Grams(t)
+        g.add_triples(answers(given, PAIR, g.pairs_key) >= LEAST_COUNT)
+        return by_range(t.column("part")[0].as_py(), parts, TRIPLE, g.triples_key, n=g.triples_n)
+
+    arcs = cut_lineage(added_up(dealt_out(docs, parts).cogroup(counts.groupBy("part")).applyInArrow(then_asked, asks)).drop("own", "own_n"))
+
+    def given_away(t: pa.Table, given: pa.Table) -> pa.Table:
+        """What the kept n-grams that a part owns take of each history, and what they would have by the shorter one."""
+        g, part = Grams(t), t.column("part")[0].as_py()
+        words, pairs = answers(given, WORD, g.words_key), answers(given, PAIR, g.pairs_key)
         kept = pairs >= LEAST_COUNT
         g.add_triples(kept)
-        p2 = np.where(kept, (pairs - DISCOUNT) / np.maximum(words[g.pairs[0]], 1), 0)
-        v = g.pairs[0][mine]
-        left, free = np.bincount(v, p2[mine], len(words)), np.bincount(v, (words[g.pairs[1][mine]] + 1) / scale, len(words))
-        history, state = np.flatnonzero(left > 0), np.flatnonzero(words >= LEAST_COUNT)
-        sizes = [len(history), len(g.triples_key), len(state) + int(kept.sum())]
-        blank = np.zeros(sizes[2], np.int64)
-        columns = (
-            np.full(sum(sizes), t.column("part")[0].as_py()), np.repeat([PAIR, TRIPLE, STATE], sizes),
-            np.concatenate([g.words_key[history], g.triples_key, g.words_key[state], g.pairs_key[kept]]).view(np.int64),
-            np.concatenate([np.zeros(sizes[0], np.int64), g.triples_n, blank]),
-            np.concatenate([np.zeros(sizes[0], U64), g.pairs_key[g.triples[0]], blank.view(U64)]).view(np.int64),
-            np.concatenate([left[history], pairs[g.triples[0]], blank]), np.concatenate([free[history], p2[g.triples[1]], blank]),
-        )
-        return pa.table({c: pa.array(x.astype(k.to_pandas_dtype()), k) for c, x, k in zip(names, columns, kinds, strict=True)})
-
-    names, kinds = ("part", "kind", "key", "n", "history", "a", "b"), (pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    asked = cut_lineage(dealt_out(docs, parts).cogroup(counts.groupBy("part")).applyInArrow(then_asked, "part int, kind byte, key bigint, n bigint, history bigint, a double, b double"))
-    triples = asked.filter(F.col("kind") == TRIPLE).groupBy("key").agg(F.sum("n").alias("c"), *[F.min(c).alias(c) for c in ("history", "a", "b")])
-    arcs = cut_lineage(triples.filter(F.col("c") >= LEAST_COUNT))
-    # what kept n-grams take of each history, and what they would have by the shorter one
-    taken = asked.filter(F.col("kind") == PAIR).select("key", "a", "b").union(arcs.select("history", (F.col("c") - DISCOUNT) / F.col("a"), "b"))
-    states = cut_lineage(taken.groupBy("key").agg(F.log10((1 - F.sum("a")) / (1 - F.sum("b"))).alias("back")))
-    return Model(parts, total, distinct, counts, asked, arcs.select("key", "c"), states)
+        triples = answers(given, TRIPLE, g.triples_key)
+        chance = np.where(kept, (pairs - DISCOUNT) / np.maximum(words[g.pairs[0]], 1), 0)
+        mine = kept & answers(given, PAIR, g.pairs_key, "owner")
+        first, second = g.pairs[0][mine], g.pairs[1][mine]
+        a1, b1 = sums_at(first, chance[mine], len(words)), sums_at(first, (words[second] + 1) / scale, len(words))
+        mine = (triples >= LEAST_COUNT) & answers(given, TRIPLE, g.triples_key, "owner")
+        left, right = g.triples[0][mine], g.triples[1][mine]
+        a2, b2 = sums_at(left, (triples[mine] - DISCOUNT) / pairs[left], len(pairs)), sums_at(left, chance[right], len(pairs))
+        state = words >= LEAST_COUNT
+        return pa.concat_tables([
+            by_range(part, parts, WORD_STATE, g.words_key[state], a=a1[state], b=b1[state]), by_range(part, parts, PAIR_STATE, g.pairs_key[kept], a=a2[kept], b=b2[kept]),
+        ])
+
+    states = cut_lineage(weights(dealt_out(docs, parts).cogroup(counts.union(arcs).groupBy("part")).applyInArrow(given_away, sums)))
+    return Model(parts, total, distinct, counts, arcs, states)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `with_fold(docs)`, from all of
     whose rows the model must come: what each part asks for is taken there."""
-    triples = model.asked.filter(F.col("kind") == TRIPLE).join(model.arcs, "key").filter("c <> n").select("part", "kind", "key", F.col("c").cast("double").alias("value"))
-    states = model.asked.filter(F.col("kind") == STATE).join(model.states, "key").select("part", "kind", "key", F.col("back").alias("value"))
-    given_all = model.counts.select("part", "kind", "key", F.col("value").cast("double").alias("value")).union(triples).union(states)
     total, scale = model.total, model.scale
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def scored(t: pa.Table, given: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(schema.split(", "), kinds, strict=True)})
         g = Grams(t)
-        words, pairs = (put(k, n.astype(np.float64), of_kind(given, kind)) for k, n, kind in ((g.words_key, g.words_n, WORD), (g.pairs_key, g.pairs_n, PAIR)))
-        g.add_triples(pairs >= LEAST_COUNT)
-        triples = put(g.triples_key, g.triples_n.astype(np.float64), of_kind(given, TRIPLE))
-        held, keys = of_kind(given, STATE), np.concatenate([g.words_key, g.pairs_key])
-        back = put(keys, np.full(len(keys), np.nan), held)
-        m = Automaton(g, words, pairs, triples, back[: len(words)], back[len(words) :], scale)
+        words, pairs = answers(given, WORD, g.words_key), answers(given, PAIR, g.pairs_key)
+        kept, known = pairs >= LEAST_COUNT, words >= LEAST_COUNT
+        g.add_triples(kept)
+        back1, back2 = np.full(len(words), np.nan), np.full(len(pairs), np.nan)
+        back1[known], back2[kept] = answers(given, WORD_STATE, g.words_key[known]), answers(given, PAIR_STATE, g.pairs_key[kept])
+        m = Automaton(g, words, pairs, answers(given, TRIPLE, g.triples_key), back1, back2, scale)
         at = g.words_at[g.after]
         begin = g.first - np.arange(len(g.first))
         size = np.diff(begin)
@@ -299,8 +338,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         )
         return pa.table({c.split()[0]: v if isinstance(v, pa.Array) else pa.array(v, k) for c, v, k in zip(schema.split(", "), values, kinds, strict=True)})
 
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return dealt_out(docs, model.parts).cogroup(given_all.groupBy("part")).applyInArrow(scored, schema)
+    given = model.counts.union(model.arcs).union(model.states)
+    return dealt_out(docs, model.parts).cogroup(given.groupBy("part")).applyInArrow(scored, schema)
 
 
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def test_scores_are_those_of_the_recursion(spark, real, edge, monkeypatch, part,
     rows = real.select("doc_id", "text").union(edge.filter("doc_id <> 4 or doc_id is null").select(F.col("doc_id") + 10_000, "text"))
     docs = ngram_lm.with_fold(rows)
     got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.fit(docs)).collect()}
-    want = plain.language_model({r.doc_id: r.text for r in rows.collect()}, ngram_lm.SHORT_LIST, ngram_lm.KEPT, ngram_lm.LEAST_COUNT, ngram_lm.DISCOUNT)
+    want = plain.language_model({r.doc_id: r.text for r in rows.collect()}, 0, 0, ngram_lm.LEAST_COUNT, ngram_lm.DISCOUNT)
     assert set(got) == set(want)
     for i, (n, known, total, base, score) in want.items():
         r = got[i]
