@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +56,19 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield rows, word_hashes(data, starts, ends), first
 
 
+def by_key(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers `at` of distinct things as they are once those are in the order of their keys, and that order."""
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    return rank[at], order
+
+
 class Grams:
     """The n-grams of a part's documents, each with the end before its first word and after its last.
 
-    `words`, `pairs` (first word, second word) and `triples` (first pair, second pair) are numbered from 0, `*_at` has the number at each
-    place, `*_n` how often each occurs in training, `*_key` its hash in all parts."""
+    `words`, `pairs` (first word, second word) and `triples` (first pair, second pair) are numbered from 0 in the order of their hashes,
+    `*_at` has the number at each place, `*_n` how often each occurs in training, `*_key` its hash in all parts."""
 
     def __init__(self, t: pa.Table):
         hashes, first = part_tokens(t)
@@ -73,14 +82,16 @@ class Grams:
         tokens[inner] = hashes
         self.trains = np.repeat(~t.column("held_out").to_numpy().astype(bool), np.diff(self.first))
         self.after = np.flatnonzero(~begins)  # places with a token before them in their document
-        self.words_key, self.words_at = np.unique(tokens, return_inverse=True)
+        at, own = pd.factorize(tokens)
+        self.words_at, order = by_key(at, own)
+        self.words_key = own[order]
         self.words_n = np.bincount(self.words_at[self.after][self.trains[self.after]], minlength=len(self.words_key))
         base = max(len(self.words_key), 1)
-        own, at = np.unique(self.words_at[self.after - 1] * base + self.words_at[self.after], return_inverse=True)
-        self.pairs = own // base, own % base
-        self.pairs_key = mix(self.words_key[self.pairs[0]] * _FACTORS[0] + self.words_key[self.pairs[1]] * _FACTORS[1])
-        self.pairs_n = np.bincount(at[self.trains[self.after]], minlength=len(own))
-        self.pairs_at = at
+        at, own = pd.factorize(self.words_at[self.after - 1] * base + self.words_at[self.after])
+        keys = mix(self.words_key[own // base] * _FACTORS[0] + self.words_key[own % base] * _FACTORS[1])
+        self.pairs_at, order = by_key(at, keys)
+        self.pairs_key, self.pairs = keys[order], (own[order] // base, own[order] % base)
+        self.pairs_n = np.bincount(self.pairs_at[self.trains[self.after]], minlength=len(own))
 
     def add_triples(self, kept: np.ndarray) -> None:
         """Those of which both pairs are kept."""
@@ -88,9 +99,10 @@ class Grams:
         left, right = self.pairs_at[second - 1], self.pairs_at[second]
         fine = kept[left] & kept[right]
         base = max(len(kept), 1)
-        own, at = np.unique(left[fine] * base + right[fine], return_inverse=True)
-        self.triples = own // base, own % base
-        self.triples_key = mix(self.pairs_key[self.triples[0]] * _FACTORS[2] + self.words_key[self.pairs[1][self.triples[1]]] * _FACTORS[3])
+        at, own = pd.factorize(left[fine] * base + right[fine])
+        keys = mix(self.pairs_key[own // base] * _FACTORS[2] + self.words_key[self.pairs[1][own % base]] * _FACTORS[3])
+        at, order = by_key(at, keys)
+        self.triples_key, self.triples = keys[order], (own[order] // base, own[order] % base)
         self.triples_n = np.bincount(at[self.trains[self.after[second[fine]]]], minlength=len(own))
 
 
@@ -107,14 +119,13 @@ def sums_at(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def by_range(part: int, parts: int, kind: int, keys: np.ndarray, **values: np.ndarray) -> pa.Table:
-    """A part's keys in order, one row for each of the 2 * parts ranges of hashes that has some, with what belongs to them."""
-    order = np.argsort(keys, kind="stable")
-    bucket = ((keys[order] >> U64(32)) * U64(2 * parts) >> U64(32)).astype(np.int32)
+    """A part's keys, which are in order, one row for each of the 2 * parts ranges of hashes that has some, with what belongs to them."""
+    bucket = ((keys >> U64(32)) * U64(2 * parts) >> U64(32)).astype(np.int32)
     begins = np.flatnonzero(np.diff(bucket, prepend=-1))
     cuts = np.append(begins, len(keys))
     return pa.table({
         "part": pa.array(np.full(len(begins), part, np.int32)), "kind": pa.array(np.full(len(begins), kind, np.int8)), "bucket": pa.array(bucket[begins]),
-        "keys": lists(cuts, keys[order].view(np.int64)), **{c: lists(cuts, v[order]) for c, v in values.items()},
+        "keys": lists(cuts, keys.view(np.int64)), **{c: lists(cuts, v) for c, v in values.items()},
     })
 
 
@@ -123,7 +134,7 @@ def met(t: pa.Table, *columns: str) -> tuple[pa.Table, np.ndarray, np.ndarray, l
     t = t.sort_by("part").combine_chunks()
     flat = [pc.list_flatten(t.column(c)).to_numpy() for c in ("keys", *columns)]
     cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(t.column("keys")).to_numpy())])
-    return t, cuts, np.unique(flat[0], return_inverse=True)[1], flat[1:]
+    return t, cuts, pd.factorize(flat[0])[0], flat[1:]
 
 
 def added_up(asked: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def added_up(asked: DataFrame) -> DataFrame:
         t, cuts, which, (n,) = met(t, "n")
         total, trains = np.bincount(which, n)[which], np.flatnonzero(n > 0)
         owner = np.zeros(len(n), dtype=bool)
-        owner[trains[np.unique(which[trains], return_index=True)[1]]] = True
+        owner[trains[~pd.Series(which[trains]).duplicated().to_numpy()]] = True
         row = np.repeat(np.arange(t.num_rows), np.diff(cuts))
         sums = [np.bincount(row, w, t.num_rows).astype(np.int64) for w in (owner, owner * total)]
         return t.select(["part", "kind", "bucket"]).append_column("value", lists(cuts, total)).append_column("owner", lists(cuts, owner)).append_column("own", pa.array(sums[0])).append_column("own_n", pa.array(sums[1]))
@@ -155,12 +166,9 @@ def weights(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "bucket").applyInArrow(weigh, GIVEN)
 
 
-def answers(given: pa.Table, kind: int, keys: np.ndarray, column: str = "value") -> np.ndarray:
-    """What came back for the keys that were sent by `by_range`, in their own order."""
-    values = pc.list_flatten(given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)).to_numpy()
-    out = np.empty(len(keys), values.dtype)
-    out[np.argsort(keys, kind="stable")] = values
-    return out
+def answers(given: pa.Table, kind: int, column: str = "value") -> np.ndarray:
+    """What came back for the keys that were sent by `by_range`, in their order."""
+    return pc.list_flatten(given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)).to_numpy()
 
 
 @dataclass
@@ -284,7 +292,7 @@ def fit(docs: DataFrame) -> Model:
 
     def then_asked(t: pa.Table, given: pa.Table) -> pa.Table:
         g = Grams(t)
-        g.add_triples(answers(given, PAIR, g.pairs_key) >= LEAST_COUNT)
+        g.add_triples(answers(given, PAIR) >= LEAST_COUNT)
         return by_range(t.column("part")[0].as_py(), parts, TRIPLE, g.triples_key, n=g.triples_n)
 
     arcs = cut_lineage(added_up(dealt_out(docs, parts).cogroup(counts.groupBy("part")).applyInArrow(then_asked, asks)).drop("own", "own_n"))
@@ -292,15 +300,15 @@ def fit(docs: DataFrame) -> Model:
     def given_away(t: pa.Table, given: pa.Table) -> pa.Table:
         """What the kept n-grams that a part owns take of each history, and what they would have by the shorter one."""
         g, part = Grams(t), t.column("part")[0].as_py()
-        words, pairs = answers(given, WORD, g.words_key), answers(given, PAIR, g.pairs_key)
+        words, pairs = answers(given, WORD), answers(given, PAIR)
         kept = pairs >= LEAST_COUNT
         g.add_triples(kept)
-        triples = answers(given, TRIPLE, g.triples_key)
+        triples = answers(given, TRIPLE)
         chance = np.where(kept, (pairs - DISCOUNT) / np.maximum(words[g.pairs[0]], 1), 0)
-        mine = kept & answers(given, PAIR, g.pairs_key, "owner")
+        mine = kept & answers(given, PAIR, "owner")
         first, second = g.pairs[0][mine], g.pairs[1][mine]
         a1, b1 = sums_at(first, chance[mine], len(words)), sums_at(first, (words[second] + 1) / scale, len(words))
-        mine = (triples >= LEAST_COUNT) & answers(given, TRIPLE, g.triples_key, "owner")
+        mine = (triples >= LEAST_COUNT) & answers(given, TRIPLE, "owner")
         left, right = g.triples[0][mine], g.triples[1][mine]
         a2, b2 = sums_at(left, (triples[mine] - DISCOUNT) / pairs[left], len(pairs)), sums_at(left, chance[right], len(pairs))
         state = words >= LEAST_COUNT
@@ -321,12 +329,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(t: pa.Table, given: pa.Table) -> pa.Table:
         g = Grams(t)
-        words, pairs = answers(given, WORD, g.words_key), answers(given, PAIR, g.pairs_key)
+        words, pairs = answers(given, WORD), answers(given, PAIR)
         kept, known = pairs >= LEAST_COUNT, words >= LEAST_COUNT
         g.add_triples(kept)
         back1, back2 = np.full(len(words), np.nan), np.full(len(pairs), np.nan)
-        back1[known], back2[kept] = answers(given, WORD_STATE, g.words_key[known]), answers(given, PAIR_STATE, g.pairs_key[kept])
-        m = Automaton(g, words, pairs, answers(given, TRIPLE, g.triples_key), back1, back2, scale)
+        back1[known], back2[kept] = answers(given, WORD_STATE), answers(given, PAIR_STATE)
+        m = Automaton(g, words, pairs, answers(given, TRIPLE), back1, back2, scale)
         at = g.words_at[g.after]
         begin = g.first - np.arange(len(g.first))
         size = np.diff(begin)
