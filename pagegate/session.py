@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cpus: str | int = "*", app: str = "pagegate") -> SparkSession:
     """A local session for tests and the benchmark. Clusters bring their own session."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)
@@ -47,10 +50,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes rows to a table in the checkpoint folder and reads them back.
 
     Later reads see fixed rows even when an executor is lost, take only the columns they need, and
-    know the size of what they read, which decides whether a join may broadcast it.
+    know the size of what they read, which decides whether a join may broadcast it. What the write shuffled
+    is given free as soon as the table stands.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4()}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
