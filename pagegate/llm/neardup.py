@@ -195,8 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     told = cut_lineage(describe(docs))
     named = told.filter("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")))
-    # equal ids with other texts stay one document: an id that is in two classes links them
-    whole = named.join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "node").filter("doc_id <> node").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # equal ids with other texts stay one document: an id that is in several classes links them all
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("d1", "d2", "n_shingles") for f in (F.min, F.max)]
+    many = named.groupBy("doc_id").agg(*ends).filter("d1_min <> d1_max or d2_min <> d2_max or n_shingles_min <> n_shingles_max").select("doc_id")
+    whole = named.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "node").filter("doc_id <> node").distinct()
     reps = named.join(classes.withColumnRenamed("node", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1"])
     sigs = cut_lineage(reps.select(F.col("doc_id").alias("node"), "sig"))
 

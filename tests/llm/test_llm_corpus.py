@@ -55,6 +55,14 @@ def test_near_duplicate_edges(spark, edge, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_copies(empty).count() == 0
 
 
+def test_an_id_with_several_texts_links_their_classes(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcde"}
+    rows = [(1, "a"), (5, "a"), (2, "b"), (5, "b"), (7, "c"), (5, "c"), (3, "d"), (8, "d"), (9, "e"), (9, "d")]
+    found = neardup.near_duplicates(spark.createDataFrame([(i, texts[c]) for i, c in rows], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.component_id) for r in found.collect())
+    assert got == sorted([(1, 1), (5, 1), (2, 1), (5, 1), (7, 1), (5, 1), (3, 3), (8, 3), (9, 3), (9, 3)])
+
+
 def test_pruning_keeps_the_chosen_miss_probability():
     from math import comb
 
