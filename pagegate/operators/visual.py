@@ -6,13 +6,13 @@ font, size, color, bg_img)` in document order; `raster_row(site, page, viewport,
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegate.functions.digest import djb2_base36
 from pagegate.functions.text import round_half_up
-from pagegate.operators.prefix import rank_within, with_previous
+from pagegate.operators.prefix import rank_within, running_max, running_sum, with_previous
+from pagegate.session import cut_lineage
 
 C = F.col
 VIEW = ["site", "page", "viewport"]
@@ -48,44 +48,72 @@ def match_elements(elements: DataFrame) -> DataFrame:
     return side("ref", "r").join(side("cand", "c"), [*VIEW, "vord", "bucket", "n"], "full_outer").drop("bucket", "n")
 
 
-def _relocate_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In order, each missing element takes the first free extra of another landmark. One page's
-    elements of one tag and identity."""
-    missing, extra = pdf[pdf["lost"]].sort_values("pos"), pdf[~pdf["lost"]].sort_values("pos")
-    free = list(zip(extra["pos"], extra["sec"], strict=True))
-    out = []
-    for pos, sec in zip(missing["pos"], missing["sec"], strict=True):
-        hit = next((f for f in free if f[1] != sec), None)
-        if hit is not None:
-            free.remove(hit)
-            out.append((pos, hit[0], hit[1]))
-    found = pd.DataFrame(out, columns=["ref_pos", "cand_pos", "to_sec"])
-    for k in (*VIEW, "tag", "ident"):
-        found[k] = pdf[k].iloc[0]
-    return found[[*VIEW, "tag", "ident", "ref_pos", "cand_pos", "to_sec"]]
+def _phases(knotted: DataFrame, key: list[str]) -> DataFrame:
+    """Adds to the n-th pairs the stretch `phase` (begin, own, end) they lie in, null outside of any.
+
+    A stretch begins where both sides are of one landmark `own`. From there on elements of `own` wait, and it ends where as many
+    as waited were taken: where the count of `own` on both sides, less one for each position, is back at what it was. This count
+    falls by one at most, so the end is the next row at its level. Stretches may begin inside of others; those that count are
+    found from the first one by doubling."""
+    stuck = C("ref_sec") == C("cand_sec")
+    rows = cut_lineage(running_sum(knotted.withColumn("is_stuck", F.coalesce(stuck, F.lit(False)).cast("long")), key, "n", "is_stuck", "begun"))
+    owners = rows.filter("is_stuck = 1").select(*key, C("ref_sec").alias("own")).distinct()
+    full = rows.filter("ref_sec IS NOT NULL AND cand_sec IS NOT NULL").join(owners, key)
+    step = full.withColumn("step", (C("ref_sec") == C("own")).cast("long") + (C("cand_sec") == C("own")).cast("long") - 1)
+    levels = running_sum(step, [*key, "own"], "n", "step", "level")
+    marks = F.filter(
+        F.array(
+            F.struct(C("level").alias("level"), F.lit(False).alias("begins")),
+            F.when(C("step") == 1, F.struct((C("level") - 1).alias("level"), F.lit(True).alias("begins"))),
+        ),
+        lambda m: m.isNotNull(),
+    )
+    events = rank_within(levels.select(*key, "own", "n", "begun", F.inline(marks)), [*key, "own", "level"], ["n"], "r")
+    paired = with_previous(events, [*key, "own", "level"], "r", {"n": "end", "begun": "begun_at_end"}, -1)
+    begins = cut_lineage(paired.filter("begins").select(*key, "own", C("n").alias("begin"), "end", C("begun").alias("at"), (C("begun_at_end") + 1).alias("to")))
+
+    jump = cut_lineage(begins.filter("to IS NOT NULL").select(*key, "at", "to"))
+    reached = begins.filter("at = 1").select(*key, "at")
+    while not jump.isEmpty():
+        onward = reached.join(jump, [*key, "at"]).select(*key, C("to").alias("at"))
+        reached = cut_lineage(reached.unionByName(onward))
+        hop = jump.select(*key, C("at").alias("to"), C("to").alias("then"))
+        jump = cut_lineage(jump.join(hop, [*key, "to"]).select(*key, "at", C("then").alias("to")))
+    counted = begins.join(reached, [*key, "at"]).select(*key, C("begin").alias("n"), F.struct("begin", "own", "end").alias("starts"))
+    last = running_max(rows.join(counted, [*key, "n"], "left"), key, "n", "starts", "last")
+    inside = C("last").isNotNull() & (C("last.end").isNull() | (C("n") <= C("last.end")))
+    return last.withColumn("phase", F.when(inside, C("last"))).drop("last", "starts", "is_stuck", "begun")
 
 
 def relocations(matched: DataFrame) -> DataFrame:
     """Missing elements that reappear in another landmark with the same tag and identity.
 
-    Where no landmark holds both a missing and an extra element of one identity, any pairing crosses
-    landmarks, so the greedy order is again an ordinal join. The remaining identities, elements
-    without text, are settled one page and identity at a time.
-    """
+    In order, each missing element takes the first free extra of another landmark. All extras passed over so far are of one
+    landmark, so the n-th missing meets the n-th extra but for stretches in which elements of one landmark wait. In such a
+    stretch the missing of that landmark take the extras of others, and the missing of others take those that wait, each
+    in order: equal joins on ordinals, whatever the size of a landmark. Elements without identity are not relocated."""
     key = [*VIEW, "tag", "ident"]
-    lost = matched.filter("c IS NULL AND r.ident <> ''").select(*VIEW, C("r.tag").alias("tag"), C("r.ident").alias("ident"), C("r.pos").alias("pos"), C("r.sec").alias("sec"), F.lit(True).alias("lost"))
-    extra = matched.filter("r IS NULL AND c.ident <> ''").select(*VIEW, C("c.tag").alias("tag"), C("c.ident").alias("ident"), C("c.pos").alias("pos"), C("c.sec").alias("sec"), F.lit(False).alias("lost"))
-    both = lost.unionByName(extra)
-    by_sec = both.groupBy(*key, "sec").agg(F.bool_or("lost").alias("l"), F.bool_or(~C("lost")).alias("e"))
-    kinds = by_sec.groupBy(*key).agg(F.bool_or(C("l") & C("e")).alias("mixed"), F.bool_or("l").alias("l"), F.bool_or("e").alias("e")).filter("l AND e")
-    plain = both.join(kinds.filter("NOT mixed").select(*key), key, "left_semi")
-    ranked = rank_within(plain, [*key, "lost"], ["pos"], "n")
-    a = ranked.filter("lost").select(*key, "n", C("pos").alias("ref_pos"))
-    b = ranked.filter("NOT lost").select(*key, "n", C("pos").alias("cand_pos"), C("sec").alias("to_sec"))
-    simple = a.join(b, [*key, "n"]).select(*key, "ref_pos", "cand_pos", "to_sec")
-    knotted = both.join(kinds.filter("mixed").select(*key), key, "left_semi")
-    schema = "site string, page string, viewport string, tag string, ident string, ref_pos long, cand_pos long, to_sec string"
-    return simple.unionByName(knotted.groupBy(*key).applyInPandas(_relocate_group, schema))
+
+    def unmatched(el: str, other: str, pos: str, sec: str) -> DataFrame:
+        alone = matched.filter(C(other).isNull() & (C(f"{el}.ident") != ""))
+        rows = alone.select(*VIEW, f"{el}.tag", f"{el}.ident", C(f"{el}.pos").cast("long").alias(pos), C(f"{el}.sec").alias(sec))
+        return rank_within(rows, key, [pos], "n")
+
+    lost, extra = unmatched("r", "c", "ref_pos", "ref_sec"), unmatched("c", "r", "cand_pos", "cand_sec")
+    met = cut_lineage(lost.join(extra, [*key, "n"], "full_outer"))
+    out = [*key, "ref_pos", "cand_pos", C("cand_sec").alias("to_sec")]
+    knots = met.filter("ref_sec = cand_sec").select(*key).distinct()
+    plain = met.filter("ref_pos IS NOT NULL AND cand_pos IS NOT NULL")
+    if knots.isEmpty():
+        return plain.select(*out)
+    told = cut_lineage(_phases(met.join(knots, key, "left_semi"), key))
+    waiting = told.filter("phase IS NOT NULL").select("*", C("phase.begin").alias("begin"), C("phase.own").alias("own"))
+    stretch = [*key, "begin", "turn"]
+    takers = waiting.filter("ref_pos IS NOT NULL").select(*key, "begin", (C("ref_sec") == C("own")).alias("turn"), "n", "ref_pos")
+    taken = waiting.filter("cand_pos IS NOT NULL").select(*key, "begin", (C("cand_sec") != C("own")).alias("turn"), "n", "cand_pos", "cand_sec")
+    crossed = rank_within(takers, stretch, ["n"], "k").drop("n").join(rank_within(taken, stretch, ["n"], "k").drop("n"), [*stretch, "k"])
+    direct = told.filter("phase IS NULL AND ref_pos IS NOT NULL AND cand_pos IS NOT NULL")
+    return plain.join(knots, key, "left_anti").select(*out).unionByName(direct.select(*out)).unionByName(crossed.select(*out))
 
 
 def deltas(matched: DataFrame, background: bool = True) -> DataFrame:

@@ -188,6 +188,27 @@ gr AS (SELECT DISTINCT site, page, CASE kind WHEN 'missing' THEN 'missing-elemen
 gt AS (SELECT *, CASE WHEN kind IN ('missing-element', 'missing-page') THEN 'MISSING' WHEN kind IN ('background', 'restyle', 'font-drift') THEN 'DEFECT' WHEN kind = 'moved' THEN 'SPACING' ELSE 'IMPROVEMENT' END AS tier FROM gr)"""
 
 
+def _relocated_sql() -> str:
+    """The taking of free extras as it is told, one missing element after the other."""
+    heads = {"ref": "0", "cand": "CASE WHEN pos % 13 = 1 THEN 1 ELSE 0 END"}
+    sides = {"ref": (X.ELEMENT_COLUMNS, "TRUE"), "cand": (X.CAND_COLUMNS, "pos % 7 <> 0")}
+    e = " UNION ALL ".join(
+        f"SELECT site, page, '{name}' AS side, pos, tag, {cols['sec']} AS sec, {cols['text']} AS text, CASE WHEN tag = 'li' THEN concat('h', (pos + {heads[name]}) % 4) ELSE '' END AS head,"
+        f" CASE WHEN tag = 'li' THEN 'item' ELSE '' END AS aria FROM m WHERE page_id % 20 <> 0 AND {where}"
+        for name, (cols, where) in sides.items()
+    )
+    views = ", ".join(f"('{n}')" for n, _, _, _ in X.VIEWPORTS)
+    first = lambda *names: f"lower(coalesce({', '.join(f'nullif({n}, {chr(39) * 2})' for n in names)}, ''))[1:40]"
+    return f"""WITH RECURSIVE m AS MATERIALIZED ({X.marks_sql()}), e AS ({e}),
+n AS MATERIALIZED (SELECT *, {first('text', 'aria')} AS ident, row_number() OVER (PARTITION BY site, page, side, sec, tag, {first('text', 'head')} ORDER BY pos) AS k, {first('text', 'head')} AS bkt FROM e),
+alone AS MATERIALIZED (SELECT * FROM n a WHERE ident <> '' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.side <> a.side AND b.site = a.site AND b.page = a.page AND b.sec = a.sec AND b.tag = a.tag AND b.bkt = a.bkt AND b.k = a.k)),
+lost AS MATERIALIZED (SELECT site, page, tag, ident, pos, sec, row_number() OVER (PARTITION BY site, page, tag, ident ORDER BY pos) AS turn FROM alone WHERE side = 'ref'),
+walk AS (SELECT site, page, tag, ident, 0::BIGINT AS turn, list({{'pos': pos, 'sec': sec}} ORDER BY pos) AS free, NULL::BIGINT AS ref_pos, NULL::BIGINT AS cand_pos, NULL::VARCHAR AS to_sec FROM alone WHERE side = 'cand' GROUP BY ALL
+ UNION ALL SELECT site, page, tag, ident, turn, CASE WHEN hit IS NULL THEN free ELSE list_filter(free, lambda x: x.pos <> hit.pos) END, pos, hit.pos, hit.sec FROM (
+  SELECT w.site, w.page, w.tag, w.ident, l.turn, w.free, l.pos, list_filter(w.free, lambda x: x.sec <> l.sec)[1] AS hit FROM walk w JOIN lost l ON l.site = w.site AND l.page = w.page AND l.tag = w.tag AND l.ident = w.ident AND l.turn = w.turn + 1))
+SELECT site, page, viewport, tag, ident, ref_pos, cand_pos, to_sec FROM walk CROSS JOIN (VALUES {views}) v(viewport) WHERE cand_pos IS NOT NULL"""
+
+
 def _fidelity(profile: str, ignore: str) -> str:
     p = V.PROFILES[profile]
     pen = "CASE tier " + " ".join(f"WHEN '{t}' THEN {round(v * 100)}::BIGINT" for t, v in p.items()) + " END"
@@ -225,6 +246,7 @@ UNION ALL SELECT site, page, 'Spare', 'FONT-005', NULL FROM p WHERE page_id % 6
     ps = "ps AS (SELECT site, page, floor(sum(CAST(round(match_score * 10) AS BIGINT))::DOUBLE / count(*) + 0.5) / 10 AS page_score FROM vs GROUP BY ALL)"
     return {
         "element_match": f"{e} SELECT site, page, viewport, rp AS ref_pos, cp AS cand_pos FROM mt",
+        "relocated_elements": _relocated_sql(),
         "element_deltas": f"{e} SELECT site, page, viewport, kind, is_bg, count(*) AS n FROM dl GROUP BY ALL",
         "restyle_details": f"{e} SELECT site, page, viewport, pos, detail FROM dl WHERE kind = 'restyled'",
         "structure_score": f"{e} SELECT site, page, viewport, ref_count, cand_count, matched, struct_score FROM ss",

@@ -231,6 +231,43 @@ def test_relocation_equals_brute_force(spark):
     assert n["missing"] + len(got) + both == 120 and n["extra"] + len(got) + both == 120
 
 
+def _take_turns(lost, extra):
+    """Each missing element, in order, takes the first free extra of another landmark."""
+    free, out = list(extra), []
+    for pos, sec in lost:
+        hit = next((f for f in free if f[1] != sec), None)
+        if hit is not None:
+            free.remove(hit)
+            out.append((pos, *hit))
+    return out
+
+
+def _alone(spark, rows):
+    side = "struct<tag:string,ident:string,pos:long,sec:string>"
+    return spark.createDataFrame(rows, f"site string, page string, viewport string, r {side}, c {side}")
+
+
+def test_relocation_stretches_equal_turns_taken(spark):
+    """Groups of every size, with two to four landmarks and one that outweighs the others, in which stretches follow, hold and cut
+    each other and run to the end."""
+    rnd = random.Random(11)
+    rows, want = [], []
+    for g in range(400):
+        secs = ["nav", "main", "footer", "aside"][: rnd.randint(1, 4)] + ["nav"] * rnd.choice([0, 0, 2, 5])
+        lost, extra = ([(p, rnd.choice(secs)) for p in range(rnd.choice([0, 1, 3, 8, 25]))] for _ in range(2))
+        rows += [("s", f"/{g}", "v", ("a", "x", p, sec), None) for p, sec in lost] + [("s", f"/{g}", "v", None, ("a", "x", p, sec)) for p, sec in extra]
+        want += [(f"/{g}", *hit) for hit in _take_turns(lost, extra)]
+    rnd.shuffle(rows)
+    found = V.relocations(_alone(spark, rows))
+    assert sorted((r.page, r.ref_pos, r.cand_pos, r.to_sec) for r in found.collect()) == sorted(want) and len(want) > 500
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relocation_without_rows_or_identity(spark):
+    assert V.relocations(_alone(spark, [])).count() == 0
+    assert V.relocations(_alone(spark, [("s", "/", "v", ("a", "", 1, "nav"), None), ("s", "/", "v", None, ("a", "", 1, "main"))])).count() == 0
+
+
 def test_pages_are_read_once_and_never_shuffled(spark):
     """Findings come from what one pass wrote: their plan reads no HTML, and the pass itself has no exchange."""
     from pagegate.operators import audit
