@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagegate import rules as R
 from pagegate.operators import audit as A
+from pagegate.operators import reach as E
 from pagegate.operators import rows as W
 from pagegate.operators import score as S
 from pagegate.operators import site_rules as P
@@ -39,6 +40,10 @@ def _audit(spark, d, skip=()):
     return A.audit(X.crawl(spark, d), _site_findings(spark, d), X.check_failures(spark, d), skip)
 
 
+def _numbered(spark, d):
+    return E.numbered(E.page_states(X.crawl(spark, d), X.sitemap_urls(spark, d)))
+
+
 def _coverage(spark, d):
     return W.verified(W.ledger(X.crawl(spark, d), X.check_failures(spark, d)))
 
@@ -92,6 +97,9 @@ def queries():
             _audit(s, d)
         ),
         "coverage_rules": lambda s, d: W.coverage_rules(_coverage(s, d)).select("site", "rule_id", "evaluated"),
+        "coverage_reasons": lambda s, d: E.rule_reach(_numbered(s, d), X.check_failures(s, d), _coverage(s, d)).drop("scan_id"),
+        "rule_broken_pages": lambda s, d: E.broken_pages(_numbered(s, d), X.check_failures(s, d)).drop("scan_id"),
+        "page_states": lambda s, d: E.page_states(X.crawl(s, d), X.sitemap_urls(s, d)).select("site", "url", "state"),
         "coverage_counts": lambda s, d: W.coverage_counts(_coverage(s, d)).drop("scan_id"),
         "suite_tally": lambda s, d: W.suite_tally(_audit(s, d).rows).drop("scan_id"),
         "checks_passing": lambda s, d: W.checks_passing(_audit(s, d).rows).drop("scan_id"),
@@ -323,6 +331,22 @@ FROM (SELECT site, url, unnest(forms) AS form, generate_subscripts(forms, 1) - 1
     out["row_occurrences"] = f"{w} SELECT site, rule_id, sum(occurrences) AS occurrences, max(pages) AS pages FROM cr GROUP BY site, rule_id"
     out["evidence_rows"] = f"{w} SELECT site, check_id, status, reason FROM ev"
     out["coverage_rules"] = f"{w} SELECT site, rule_id, evaluated FROM erules"
+    listed = f"SELECT site, url FROM x WHERE page_id % 3 <> 1 UNION SELECT site, 'https://' || site || '/never-fetched' FROM ({sites})"
+    states = f"""pg AS MATERIALIZED (SELECT site, url, bool_or(html) AS html, bool_or(responded) AS responded, bool_or(seen) AS seen, bool_or(no_schema) AS no_schema FROM (
+  SELECT site, url, status = 200 AS html, status >= 100 AS responded, TRUE AS seen, status = 200 AND page_id % 61 = 7 AS no_schema FROM x
+  UNION ALL SELECT site, url, FALSE, FALSE, FALSE, FALSE FROM ({listed})) GROUP BY site, url)"""
+    out["page_states"] = f"{CTX}, {states} SELECT site, url, CASE WHEN html THEN 'audited' WHEN seen THEN 'errored' ELSE 'not-reached' END AS state FROM pg"
+    once = ", ".join(q(c) for c in E.SITE_CHECKS)
+    answers = f"""{states}, pr AS (SELECT site, url, rule_id, bool_or(read) AS read, bool_or(read AND NOT broke) AS answered FROM (
+  SELECT site, url, rule_id, CASE WHEN check_id = 'page-status' THEN responded ELSE html END AS read, (check_id = 'schema' AND no_schema) OR (check_id = 'title' AND html AND site LIKE 'blog.%') AS broke
+  FROM pg CROSS JOIN (SELECT check_id, unnest(rule_ids) AS rule_id FROM checks WHERE check_id NOT IN ({once}))) GROUP BY site, url, rule_id)"""
+    out["rule_broken_pages"] = f"{w}, {answers} SELECT site, rule_id, url FROM pr WHERE read AND NOT answered"
+    out["coverage_reasons"] = f"""{w}, {answers}, pc AS (SELECT site, rule_id, count(*) FILTER (answered) AS pages_evaluated, count(*) FILTER (read AND NOT answered) AS pages_errored,
+ count(*) FILTER (NOT read) AS pages_not_reached FROM pr GROUP BY site, rule_id),
+why AS (SELECT site, rule_id, bool_or(verified) AS evaluated, CASE WHEN bool_or(reason = 'evaluated') THEN 'evaluated' WHEN bool_or(reason = 'partial-error') THEN 'partial-error'
+ WHEN bool_or(reason = 'check-error') THEN 'check-error' WHEN bool_or(reason = 'no-evidence') THEN 'no-evidence' ELSE 'skipped-by-operator' END AS reason
+ FROM (SELECT site, verified, reason, unnest(rule_ids) AS rule_id FROM cov) GROUP BY site, rule_id)
+SELECT site, rule_id, evaluated, reason, pages_evaluated, pages_errored, pages_not_reached FROM why LEFT JOIN pc USING (site, rule_id)"""
     out["coverage_counts"] = f"""{w} SELECT a.*, b.rules_evaluated, b.rules_not_evaluated FROM
  (SELECT site, count(*) AS checks, count(*) FILTER (verified) AS verified, count(*) FILTER (NOT verified) AS not_run FROM cov GROUP BY site) a
  JOIN (SELECT site, count(*) FILTER (evaluated) AS rules_evaluated, count(*) FILTER (NOT evaluated) AS rules_not_evaluated FROM erules GROUP BY site) b USING (site)"""

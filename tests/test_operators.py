@@ -268,6 +268,53 @@ def test_relocation_without_rows_or_identity(spark):
     assert V.relocations(_alone(spark, [("s", "/", "v", ("a", "", 1, "nav"), None), ("s", "/", "v", None, ("a", "", 1, "main"))])).count() == 0
 
 
+def test_rule_reach_equals_sets_of_pages(spark):
+    """Sites over the border of a bitmap, rules of several checks, repeated failures, failures on pages that a check cannot read
+    or that nobody knows, and of checks that are asked once a site."""
+    from pagegate.operators import reach as E
+    from pagegate.operators import rows as W
+
+    status = lambda i: 200 if i % 10 else 404
+    n = {"big": 33_000, "small": 12}
+    page = lambda site, i: f"https://{site}/{i:06d}"
+    crawl = spark.createDataFrame([(k, "1", page(k, i), status(i), "<html></html>", "text/html") for k, m in n.items() for i in range(m)], "site string, scan_id string, url string, status int, body string, content_type string")
+    listed = spark.createDataFrame([(k, "1", u) for k in n for u in (page(k, 1), page(k, 999_999), page(k, 999_999))], "site string, scan_id string, url string")
+    known = [(c, rules.split()) for c, (_, rules) in R.CHECKS.items()]
+    known = [(c, [*rules, *{"title": ["T", "S"], "schema": ["T", "M"], "page-status": ["M"], "robots-txt": ["S"]}.get(c, [])]) for c, rules in known]
+    table = spark.createDataFrame(known, "check_id string, rule_ids array<string>")
+    by_rule = {}
+    for c, rules in known:
+        for r in rules:
+            by_rule.setdefault(r, []).append(c)
+    rnd = random.Random(3)
+    bad = [(k, "1", c, page(k, i), "x") for k, m in n.items() for c in ["title", "schema", "page-status", "robots-txt"] for i in (rnd.randrange(m) for _ in range(m // 3))]
+    bad += bad[:50] + [("small", "1", "title", page("small", 999_999), "x"), ("gone", "1", "title", "https://gone/", "x")]
+    failures = spark.createDataFrame(bad, "site string, scan_id string, check_id string, url string, error string")
+    pages = E.numbered(E.page_states(crawl, listed))
+    got = {(r.site, r.rule_id): r for r in E.rule_reach(pages, failures, W.verified(W.ledger(crawl, failures)), table).collect()}
+    broke = {}
+    for k, _, c, u, _ in bad:
+        broke.setdefault((k, c), set()).add(u)
+    lost = set()
+    for k, m in n.items():
+        html = {page(k, i) for i in range(m) if status(i) == 200}
+        every = {page(k, i) for i in range(m)}
+        for rule, checks in by_rule.items():
+            asked = {c: every if c in E.RESPONSE_CHECKS else html for c in checks if c not in E.SITE_CHECKS}
+            r = got[k, rule]
+            if not asked:
+                assert r.pages_evaluated is None and r.pages_errored is None
+                continue
+            read = set().union(*asked.values())
+            answered = set().union(*(u - broke.get((k, c), set()) for c, u in asked.items()))
+            assert (r.pages_evaluated, r.pages_errored, r.pages_not_reached) == (len(answered), len(read - answered), m + 1 - len(read)), (k, rule)
+            lost |= {(k, rule, u) for u in read - answered}
+    assert len(got) == 2 * len(by_rule) and len(lost) > 1000
+    assert {(r.site, r.rule_id, r.url) for r in E.broken_pages(pages, failures, table).collect()} == lost
+    none = E.numbered(E.page_states(crawl.limit(0), listed.limit(0)))
+    assert E.broken_pages(none, failures).count() == 0 and E.rule_reach(none, failures, W.verified(W.ledger(crawl.limit(0)))).count() == 0
+
+
 def test_pages_are_read_once_and_never_shuffled(spark):
     """Findings come from what one pass wrote: their plan reads no HTML, and the pass itself has no exchange."""
     from pagegate.operators import audit
