@@ -186,20 +186,21 @@ def redirect_chains(starts: DataFrame, redirect: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, ended).filter("loop OR hops > 1").select(*KEYS, "url", "hops", "loop", C("cur").alias("final"))
 
 
-def reachable(edges: DataFrame, homes: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, homes: DataFrame, node: str = "url") -> DataFrame:
     """Pages reached from the home page by following stored links, with their distance.
 
+    `node` names what a page is known by, its url or an id where several pages have one url; `edges` hold it as src and dst.
     Breadth-first: each round joins only the newest pages. Rounds are written to the checkpoint
     folder, so lost executors cost one round and the plan does not grow.
     """
     edges = cut_lineage(edges.select(*KEYS, C("src"), C("dst")).distinct())
-    frontier = cut_lineage(homes.select(*KEYS, C("url"), F.lit(0).alias("depth")))
+    frontier = cut_lineage(homes.select(*KEYS, node, F.lit(0).alias("depth")).distinct())
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.select(*KEYS, C("url").alias("src")).join(edges, [*KEYS, "src"])
-        new = step.select(*KEYS, C("dst").alias("url")).distinct().join(seen, [*KEYS, "url"], "left_anti")
-        frontier = cut_lineage(new.select(*KEYS, "url", F.lit(depth).alias("depth")))
+        step = frontier.select(*KEYS, C(node).alias("src")).join(edges, [*KEYS, "src"])
+        new = step.select(*KEYS, C("dst").alias(node)).distinct().join(seen, [*KEYS, node], "left_anti")
+        frontier = cut_lineage(new.select(*KEYS, node, F.lit(depth).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -40,3 +40,16 @@ def test_query_matches_sql(spark, con, name):
     cols = [d[0] for d in cur.description]
     want = check.rows_of(cols, cur.fetchall())
     assert check.rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_reachable_pages_of_equal_urls(spark, con, tmp_path):
+    """Pages that share a url are pages of their own, as in the SQL."""
+    src = f"read_parquet('{SF}/pages.parquet')"
+    con.execute(f"COPY (SELECT page_id + k * 50 AS page_id, url, html FROM {src}, range(3) t(k)) TO '{tmp_path}/pages.parquet'")
+    again = duckdb.connect()
+    again.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    df = registry.queries()["reachable_pages"](spark, str(tmp_path))
+    cur = again.execute(registry.oracles()["reachable_pages"])
+    want = check.rows_of([d[0] for d in cur.description], cur.fetchall())
+    got = check.rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == want and len(set(got)) < len(got)
