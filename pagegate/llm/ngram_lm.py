@@ -38,7 +38,7 @@ from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
 LEAST_COUNT, DISCOUNT = 2, 0.5
-PART_BYTES, CHUNK = 16 << 20, 256
+PART_BYTES, CHUNK = 12 << 20, 256
 FOLDS, HELD = 7, 2
 END, *_FACTORS = odd_constants(5, 41)
 
@@ -59,11 +59,19 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 def by_key(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers `at` of distinct things as they are once those are in the order of their keys, and that order."""
     order = np.argsort(keys)
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys))
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.arange(len(keys), dtype=np.int32)
     return rank[at], order
 
 
+def joint(a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """One number for each pair of numbers below 2**31, b below base."""
+    out = a.astype(np.int64)
+    out *= base
+    out += b
+    return out
+
+
 class Grams:
     """The n-grams of a part's documents, each with the end before its first word and after its last.
 
@@ -80,30 +88,38 @@ class Grams:
         inner = ~begins
         inner[self.first[1:] - 1] = False
         tokens[inner] = hashes
+        del hashes, inner
         self.trains = np.repeat(~t.column("held_out").to_numpy().astype(bool), np.diff(self.first))
-        self.after = np.flatnonzero(~begins)  # places with a token before them in their document
+        self.after = np.flatnonzero(~begins).astype(np.int32)  # places with a token before them in their document
+        del begins
         at, own = pd.factorize(tokens)
+        del tokens
         self.words_at, order = by_key(at, own)
         self.words_key = own[order]
-        self.words_n = np.bincount(self.words_at[self.after][self.trains[self.after]], minlength=len(self.words_key))
+        trains = self.trains[self.after]
+        self.words_n = np.bincount(self.words_at[self.after][trains], minlength=len(self.words_key))
         base = max(len(self.words_key), 1)
-        at, own = pd.factorize(self.words_at[self.after - 1] * base + self.words_at[self.after])
-        keys = mix(self.words_key[own // base] * _FACTORS[0] + self.words_key[own % base] * _FACTORS[1])
+        del at, own
+        at, own = pd.factorize(joint(self.words_at[self.after - 1], self.words_at[self.after], base))
+        first, second = (own // base).astype(np.int32), (own % base).astype(np.int32)
+        del own
+        keys = mix(self.words_key[first] * _FACTORS[0] + self.words_key[second] * _FACTORS[1])
         self.pairs_at, order = by_key(at, keys)
-        self.pairs_key, self.pairs = keys[order], (own[order] // base, own[order] % base)
-        self.pairs_n = np.bincount(self.pairs_at[self.trains[self.after]], minlength=len(own))
+        del at
+        self.pairs_key, self.pairs = keys[order], (first[order], second[order])
+        self.pairs_n = np.bincount(self.pairs_at[trains], minlength=len(keys))
 
     def add_triples(self, kept: np.ndarray) -> None:
         """Those of which both pairs are kept."""
         second = np.flatnonzero(np.diff(self.after) == 1) + 1  # the pair before is of the same document
-        left, right = self.pairs_at[second - 1], self.pairs_at[second]
-        fine = kept[left] & kept[right]
+        second = second[kept[self.pairs_at[second - 1]] & kept[self.pairs_at[second]]]
         base = max(len(kept), 1)
-        at, own = pd.factorize(left[fine] * base + right[fine])
-        keys = mix(self.pairs_key[own // base] * _FACTORS[2] + self.words_key[self.pairs[1][own % base]] * _FACTORS[3])
+        at, own = pd.factorize(joint(self.pairs_at[second - 1], self.pairs_at[second], base))
+        left, right = (own // base).astype(np.int32), (own % base).astype(np.int32)
+        keys = mix(self.pairs_key[left] * _FACTORS[2] + self.words_key[self.pairs[1][right]] * _FACTORS[3])
         at, order = by_key(at, keys)
-        self.triples_key, self.triples = keys[order], (own[order] // base, own[order] % base)
-        self.triples_n = np.bincount(at[self.trains[self.after[second[fine]]]], minlength=len(own))
+        self.triples_key, self.triples = keys[order], (left[order], right[order])
+        self.triples_n = np.bincount(at[self.trains[self.after[second]]], minlength=len(keys))
 
 
 WORD, PAIR, TRIPLE, WORD_STATE, PAIR_STATE = range(5)
@@ -205,7 +221,7 @@ class Automaton:
         self.to_root = self.back + np.where(self.fail > 0, self.back[self.fail], 0)
         triple = np.flatnonzero(triples >= LEAST_COUNT)
         left, right = g.triples[0][triple], g.triples[1][triple]
-        keys = np.concatenate([(v + 1) * n + w + 1, state[left] * n + g.pairs[1][right] + 1])
+        keys = np.concatenate([joint(v + 1, w + 1, n), joint(state[left], g.pairs[1][right] + 1, n)])
         logs = np.log10(np.concatenate([(pairs[pair] - DISCOUNT) / words[v], (triples[triple] - DISCOUNT) / pairs[left]]))
         order = np.argsort(keys)
         self.arcs, self.logs = keys[order], logs[order]
