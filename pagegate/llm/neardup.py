@@ -6,9 +6,9 @@ the whole sequence is one shingle; without words it has none and is linked with
 
 1. Documents of one set form a class; only its smallest id goes on.
 2. 32 bands of 4 MinHash values give candidates: a pair at the threshold meets in none with probability 5e-6.
-3. A bucket's members are compared with one of them, drawn anew for each bucket and round, unless they are known to
-   be of one component. Components are merged after each round. So a group of copies takes about one comparison for each
-   member and bucket, not all pairs. When rounds no longer pay, the pairs of a bucket that still lie in two components are
+3. A bucket's members are compared with one of them, drawn anew for each round, unless they are known to be of one
+   component. All buckets draw by one order of the documents, so the buckets that a group of copies shares draw the same few of
+   them and most pairs come up once, not once for each bucket. Components are merged after each round. When rounds no longer pay, the pairs of a bucket that still lie in two components are
    left. A document can only share shingles that occur in another component too. These are counted by document and by PLACES
    hash classes; two documents share at most the sum over classes of the smaller count. A pair for which that is too
    little is no link. All others are compared, so no link that could join two components is missed.
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not left[0] or left[0] <= PAYS * left[1] or (open_before is not None and left[0] > 0.9 * open_before):
             break
         open_before = left[0]
-        drawn = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(r)).alias("h"), F.col("node").alias("center"), F.col("comp").alias("center_comp"))).alias("c"))
+        drawn = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("center"), F.col("comp").alias("center_comp"))).alias("c"))
         pairs = placed.join(drawn.select("key", "c.center", "c.center_comp"), "key").filter("comp <> center_comp")
         pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         comps = merged(comps, links_among(pairs))

@@ -260,3 +260,38 @@ def test_edges_pass_every_stage(spark, edge_dir, empty_dir):
             docs = cut_lineage(stage(spark, docs, d))
             assert docs.count() <= most and (name == "mixing" or docs.columns == columns)
         assert docs.filter(F.col("mix_position").isNull()).count() == 0
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    """Smallest node reachable; links are read again only while their sides are apart."""
+    import random
+
+    r = random.Random(5)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 400 + i) for i in range(300)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(200)] + [(7, 7), (3000, 3000)]
+    r.shuffle(links)
+    links = [e if r.random() < 0.5 else e[::-1] for e in links]
+    up = {n: n for e in links for n in e}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {x.node: x.comp for x in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in up}
+
+
+def test_a_group_of_near_copies_is_compared_about_once(spark, monkeypatch):
+    """Buckets draw the same centers, so a group's pairs are a few times its members, not members times bands."""
+    import random
+
+    r = random.Random(6)
+    own = [f"w{r.randrange(500)}" for _ in range(300)]
+    rows = [(i, " ".join([*own[:k], f"x{i}", *own[k + 1 :]])) for i, k in enumerate(r.randrange(300) for _ in range(400))]
+    pairs, real = [], neardup.survivors
+    monkeypatch.setattr(neardup, "survivors", lambda p: pairs.append(p.count()) or real(p))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.component_id for x in out} == {0} and sum(pairs) <= 6 * len(rows), pairs
