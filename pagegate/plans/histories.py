@@ -14,7 +14,7 @@ C = F.col
 
 def _base(s, d):
     """Records with parents, chronology and findings of the fixture."""
-    f = X.scan_finding(s, d)
+    f = cut_lineage(X.scan_finding(s, d))
     rec = T.scan_records(X.scan_heads(f), f)
     chrono = T.chronology(rec.drop("parent_scan_id", "digest"))
     linked = with_previous(chrono, ["target"], "n", {"scan_id": "prev"})
@@ -25,7 +25,7 @@ def _base(s, d):
 
 def _events(s, d):
     f, chrono = _base(s, d)
-    return f, chrono, cut_lineage(T.lifecycle_events(chrono, T.observations(chrono, f)))
+    return f, chrono, T.lifecycle_events(chrono, T.observations(chrono, f))
 
 
 def _points(s, d):

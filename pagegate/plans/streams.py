@@ -93,10 +93,11 @@ def _lifecycle(s, d):
 
 def _decided(s, d):
     """The same from batch jobs."""
-    f = X.scan_finding(s, d)
+    f = cut_lineage(X.scan_finding(s, d))
     chrono = cut_lineage(T.chronology(f.select("target", "ts").distinct().withColumn("scan_id", C("ts"))))
     obs = cut_lineage(T.observations(chrono, f))
-    events = cut_lineage(T.lifecycle_events(chrono, obs).withColumn("at", F.to_timestamp("ts")))
+    events = T.lifecycle_events(chrono, obs).select("target", "finding_id", "seq", F.to_timestamp("ts").alias("at"), "state", "previous_state", "kind")
+    events = cut_lineage(events)
     out = T.apply_decisions(events, _decisions(obs))
     return out.select("target", "finding_id", "seq", F.date_format("at", "yyyy-MM-dd HH").alias("at"), "state", "previous_state", "kind")
 

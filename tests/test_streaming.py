@@ -116,3 +116,19 @@ def test_progress_counts(spark, out):
     q.processAllAvailable()
     q.stop()
     assert {(r.scan_id, r.kind): r.n for r in spark.table("prog").collect()} == {("s1", "finding.created"): 3, ("s1", "scan.completed"): 1, ("s2", "finding.created"): 1}
+
+
+def test_long_lives_equal_one_pass(spark, monkeypatch):
+    """Both ways give the same events in every column, and one pass moves the observations once."""
+    f = streams.X.scan_finding(spark, "/root/testdata/sf0.001")
+    chrono = T.chronology(f.select("target", "ts").distinct().withColumn("scan_id", F.concat("target", "ts"))).localCheckpoint()
+    obs = T.observations(chrono, f)
+    once = T.lifecycle_events(chrono, obs)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(target" in line and "finding_id" in line for line in plan.splitlines()) == 1, plan
+    monkeypatch.setattr(T, "LONG_LIFE", 3)
+    split = T.lifecycle_events(chrono, obs)
+    columns = sorted(once.columns)
+    assert sorted(split.columns) == columns
+    a, b = (sorted(map(tuple, df.select(*columns).collect()), key=str) for df in (once, split))
+    assert len(a) > 1000 and a == b
