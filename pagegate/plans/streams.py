@@ -58,11 +58,13 @@ def _decisions(obs):
 
 
 def _rocks(s):
-    """State of the lifecycle stream is kept in RocksDB; other streams of the session stay as they were."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(key)
-    s.conf.set(key, ROCKS)
-    return lambda: s.conf.set(key, before)
+    """State of the lifecycle stream is kept in RocksDB, in as many partitions as the cluster has cores, since each is opened and
+    written in every batch; other streams of the session stay as they were."""
+    mine = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(s.sparkContext.defaultParallelism)}
+    before = {k: s.conf.get(k) for k in mine}
+    for k, v in mine.items():
+        s.conf.set(k, v)
+    return lambda: [s.conf.set(k, v) for k, v in before.items()]
 
 
 def _lifecycle(s, d):
