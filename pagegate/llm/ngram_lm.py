@@ -38,7 +38,7 @@ from pagegate.llm.tables import table
 from pagegate.session import cut_lineage
 
 LEAST_COUNT, DISCOUNT = 2, 0.5
-PART_BYTES, CHUNK = 12 << 20, 256
+PART_BYTES, PACK_BYTES, CHUNK = 12 << 20, 48 << 20, 256
 FOLDS, HELD = 7, 2
 END, *_FACTORS = odd_constants(5, 41)
 
@@ -123,13 +123,23 @@ class Grams:
 
 
 WORD, PAIR, TRIPLE, WORD_STATE, PAIR_STATE = range(5)
-GIVEN = "part int, kind byte, bucket int, value array<double>, owner array<boolean>"
+GIVEN = "part int, kind byte, bucket int, value binary, owner binary"  # packed lists of numbers and of booleans
 
 
 def lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
+def packed_lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The same, each list as its length and its compressed bytes: answers are mostly small counts, and many at a time wait on disk."""
+    own = [values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.array([len(v).to_bytes(8, "big") + pa.compress(v, "zstd", asbytes=True) for v in own], pa.binary())
+
+
+def unpacked_list(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "big"), "zstd", asbytes=True)
+
+
 def sums_at(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(places, values, n).astype(np.float64)
 
@@ -164,7 +174,10 @@ def added_up(asked: DataFrame) -> DataFrame:
         owner[trains[~pd.Series(which[trains]).duplicated().to_numpy()]] = True
         row = np.repeat(np.arange(t.num_rows), np.diff(cuts))
         sums = [np.bincount(row, w, t.num_rows).astype(np.int64) for w in (owner, owner * total)]
-        return t.select(["part", "kind", "bucket"]).append_column("value", lists(cuts, total)).append_column("owner", lists(cuts, owner)).append_column("own", pa.array(sums[0])).append_column("own_n", pa.array(sums[1]))
+        if t.column("kind")[0].as_py() != WORD:  # those that are not kept are all alike
+            owner &= total >= LEAST_COUNT
+            total = np.where(total >= LEAST_COUNT, total, 0.0)
+        return t.select(["part", "kind", "bucket"]).append_column("value", packed_lists(cuts, total.astype(np.float64))).append_column("owner", packed_lists(cuts, owner)).append_column("own", pa.array(sums[0])).append_column("own_n", pa.array(sums[1]))
 
     return asked.groupBy("kind", "bucket").applyInArrow(add, GIVEN + ", own bigint, own_n bigint")
 
@@ -177,14 +190,15 @@ def weights(asked: DataFrame) -> DataFrame:
         a, b = np.bincount(which, a), np.bincount(which, b)
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(a > 0, np.log10((1 - a) / (1 - b)), np.nan)
-        return t.select(["part", "kind", "bucket"]).append_column("value", lists(cuts, back[which])).append_column("owner", pa.nulls(t.num_rows, pa.list_(pa.bool_())))
+        return t.select(["part", "kind", "bucket"]).append_column("value", packed_lists(cuts, back[which])).append_column("owner", pa.nulls(t.num_rows, pa.binary()))
 
     return asked.groupBy("kind", "bucket").applyInArrow(weigh, GIVEN)
 
 
 def answers(given: pa.Table, kind: int, column: str = "value") -> np.ndarray:
     """What came back for the keys that were sent by `by_range`, in their order."""
-    return pc.list_flatten(given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)).to_numpy()
+    own = given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)
+    return np.frombuffer(b"".join(unpacked_list(v) for v in own.to_pylist()), np.float64 if column == "value" else bool)
 
 
 @dataclass
@@ -288,8 +302,43 @@ def part_tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_hashes) if all_hashes else np.zeros(0, U64), np.concatenate(firsts)
 
 
+ROWS = pa.schema({"doc_id": pa.int64(), "text": pa.string(), "held_out": pa.bool_()})
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part that lie near each other as one compressed row (part, rows): texts make up much of what is shuffled."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().sort_by("part")
+        part = t.column("part").to_numpy()
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        rows = t.select(ROWS.names).cast(ROWS)
+        blobs = []
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(rows.slice(a, b - a).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch({"part": pa.array(part[begins], pa.int32()), "rows": pa.array(blobs, pa.binary())})
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= PACK_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def unpacked(t: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in t.column("rows").to_pylist()] or [ROWS.empty_table()])
+
+
 def dealt_out(docs: DataFrame, parts: int) -> DataFrame:
-    return docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {parts})").cast("int").alias("part"), "doc_id", "text", "held_out").groupBy("part")
+    near = docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {parts})").cast("int").alias("part"), "doc_id", "text", "held_out")
+    return near.mapInArrow(packed, "part int, rows binary").groupBy("part")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -298,7 +347,7 @@ def fit(docs: DataFrame) -> Model:
     asks, sums = "part int, kind byte, bucket int, keys array<bigint>, n array<bigint>", "part int, kind byte, bucket int, keys array<bigint>, a array<double>, b array<double>"
 
     def first_asked(t: pa.Table) -> pa.Table:
-        g, part = Grams(t), t.column("part")[0].as_py()
+        g, part = Grams(unpacked(t)), t.column("part")[0].as_py()
         return pa.concat_tables([by_range(part, parts, WORD, g.words_key, n=g.words_n), by_range(part, parts, PAIR, g.pairs_key, n=g.pairs_n)])
 
     counts = cut_lineage(added_up(dealt_out(docs, parts).applyInArrow(first_asked, asks)))
@@ -307,7 +356,7 @@ def fit(docs: DataFrame) -> Model:
     counts = counts.drop("own", "own_n")
 
     def then_asked(t: pa.Table, given: pa.Table) -> pa.Table:
-        g = Grams(t)
+        g = Grams(unpacked(t))
         g.add_triples(answers(given, PAIR) >= LEAST_COUNT)
         return by_range(t.column("part")[0].as_py(), parts, TRIPLE, g.triples_key, n=g.triples_n)
 
@@ -315,7 +364,7 @@ def fit(docs: DataFrame) -> Model:
 
     def given_away(t: pa.Table, given: pa.Table) -> pa.Table:
         """What the kept n-grams that a part owns take of each history, and what they would have by the shorter one."""
-        g, part = Grams(t), t.column("part")[0].as_py()
+        g, part = Grams(unpacked(t)), t.column("part")[0].as_py()
         words, pairs = answers(given, WORD), answers(given, PAIR)
         kept = pairs >= LEAST_COUNT
         g.add_triples(kept)
@@ -344,6 +393,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def scored(t: pa.Table, given: pa.Table) -> pa.Table:
+        t = unpacked(t)
         g = Grams(t)
         words, pairs = answers(given, WORD), answers(given, PAIR)
         kept, known = pairs >= LEAST_COUNT, words >= LEAST_COUNT
@@ -362,7 +412,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         )
         return pa.table({c.split()[0]: v if isinstance(v, pa.Array) else pa.array(v, k) for c, v, k in zip(schema.split(", "), values, kinds, strict=True)})
 
-    given = model.counts.union(model.arcs).union(model.states)
+    # who owns an n-gram is of no use here
+    given = model.counts.union(model.arcs).union(model.states).withColumn("owner", F.lit(None).cast("binary"))
     return dealt_out(docs, model.parts).cogroup(given.groupBy("part")).applyInArrow(scored, schema)
 
 

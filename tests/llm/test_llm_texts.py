@@ -230,6 +230,19 @@ def test_rare_pairs_of_a_large_text_are_learnt(spark):
     assert all(got[i].score == pytest.approx(want[i][4], rel=1e-9) for i in texts) and got[held].score > got[held].base_score + 4
 
 
+def test_backoff_rows_are_dealt_out_compressed(spark, monkeypatch):
+    """What is shuffled is far smaller than the texts, and is all of them; n-grams that are not kept come back without numbers."""
+    monkeypatch.setattr(ngram_lm, "PACK_BYTES", 50_000)
+    docs = ngram_lm.with_fold(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = ngram_lm.dealt_out(docs, 3).applyInArrow(lambda t: ngram_lm.unpacked(t).append_column("size", pa.array([sum(map(len, t.column("rows").to_pylist()))] * ngram_lm.unpacked(t).num_rows)), "doc_id long, text string, held_out boolean, size long")
+    rows, want = got.collect(), docs.collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in rows))) == sorted(map(str, map(tuple, want)))
+    assert sum({r["size"] for r in rows}) < 0.6 * sum(len((r.text or "").encode()) for r in want)
+    lists = ngram_lm.fit(docs).counts.filter("kind = 1").toArrow()
+    counts = ngram_lm.answers(lists, ngram_lm.PAIR)
+    assert 1 not in counts and counts.max() > 1 and lists.column("value").nbytes < counts.nbytes / 4
+
+
 def test_no_text_to_learn_from(spark, empty, edge):
     docs = ngram_lm.with_fold(empty)
     assert ngram_lm.score(docs, ngram_lm.fit(docs)).count() == 0
