@@ -131,7 +131,7 @@ def lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def packed_lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
-    """The same, each list as its length and its compressed bytes: answers are mostly small counts, and many at a time wait on disk."""
+    """The same, each list as its length and its compressed bytes: they are mostly small counts and zeros, and many at a time wait on disk."""
     own = [values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return pa.array([len(v).to_bytes(8, "big") + pa.compress(v, "zstd", asbytes=True) for v in own], pa.binary())
 
@@ -140,6 +140,10 @@ def unpacked_list(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "big"), "zstd", asbytes=True)
 
 
+def numbers(blobs: pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(unpacked_list(v) for v in blobs.to_pylist()), kind)
+
+
 def sums_at(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(places, values, n).astype(np.float64)
 
@@ -151,14 +155,14 @@ def by_range(part: int, parts: int, kind: int, keys: np.ndarray, **values: np.nd
     cuts = np.append(begins, len(keys))
     return pa.table({
         "part": pa.array(np.full(len(begins), part, np.int32)), "kind": pa.array(np.full(len(begins), kind, np.int8)), "bucket": pa.array(bucket[begins]),
-        "keys": lists(cuts, keys.view(np.int64)), **{c: lists(cuts, v) for c, v in values.items()},
+        "keys": lists(cuts, keys.view(np.int64)), **{c: packed_lists(cuts, v.astype(np.float64)) for c, v in values.items()},
     })
 
 
 def met(t: pa.Table, *columns: str) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]:
     """The rows of one range by part, where their lists are cut, each key's number and the values of the columns."""
     t = t.sort_by("part").combine_chunks()
-    flat = [pc.list_flatten(t.column(c)).to_numpy() for c in ("keys", *columns)]
+    flat = [pc.list_flatten(t.column("keys")).to_numpy(), *(numbers(t.column(c)) for c in columns)]
     cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(t.column("keys")).to_numpy())])
     return t, cuts, pd.factorize(flat[0])[0], flat[1:]
 
@@ -198,7 +202,7 @@ def weights(asked: DataFrame) -> DataFrame:
 def answers(given: pa.Table, kind: int, column: str = "value") -> np.ndarray:
     """What came back for the keys that were sent by `by_range`, in their order."""
     own = given.filter(pc.equal(given.column("kind"), kind)).sort_by("bucket").column(column)
-    return np.frombuffer(b"".join(unpacked_list(v) for v in own.to_pylist()), np.float64 if column == "value" else bool)
+    return numbers(own, np.float64 if column == "value" else bool)
 
 
 @dataclass
@@ -344,7 +348,7 @@ def dealt_out(docs: DataFrame, parts: int) -> DataFrame:
 def fit(docs: DataFrame) -> Model:
     """The model of the training rows of `with_fold(docs)`."""
     parts = n_parts(docs)
-    asks, sums = "part int, kind byte, bucket int, keys array<bigint>, n array<bigint>", "part int, kind byte, bucket int, keys array<bigint>, a array<double>, b array<double>"
+    asks, sums = "part int, kind byte, bucket int, keys array<bigint>, n binary", "part int, kind byte, bucket int, keys array<bigint>, a binary, b binary"
 
     def first_asked(t: pa.Table) -> pa.Table:
         g, part = Grams(unpacked(t)), t.column("part")[0].as_py()
