@@ -74,8 +74,8 @@ class LifecycleProcessor(StatefulProcessor):
             if not len(part):
                 continue
             at = part["at"].astype("datetime64[ms]").astype("int64")
-            text = part[["finding_id", "value"]].astype(object).where(part[["finding_id", "value"]].notna(), None)
-            own = pd.DataFrame({"at": at, "kind": part["kind"], "pos": part["pos"], "finding_id": text["finding_id"], "value": text["value"]})
+            text = {c: pd.Series([None if v is None or pd.isna(v) else v for v in part[c]], part.index, dtype=object) for c in ("finding_id", "value")}
+            own = pd.DataFrame({"at": at, "kind": part["kind"], "pos": part["pos"], **text})
             for t, group in own.groupby("at", sort=False):
                 t = int(t)
                 n = times.get(str(t), 0)
@@ -109,7 +109,9 @@ class LifecycleProcessor(StatefulProcessor):
             if len(scan) < len(rows):
                 self._decide(t, rows[len(scan) :], out)
         self.times.update((json.dumps(times),))
-        finding, seq, at, state, was, kind = zip(*out, strict=True) if out else ((),) * 6
+        if not out:
+            return
+        finding, seq, at, state, was, kind = zip(*out, strict=True)
         yield pd.DataFrame({
             "target": [key[0]] * len(out), "bucket": [key[1]] * len(out), "finding_id": finding, "seq": seq,
             "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="ms"), "state": state, "previous_state": was, "kind": kind,
