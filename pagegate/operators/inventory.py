@@ -6,6 +6,8 @@ crawl order, is kept with a partial minimum, so no list of pages is ever gathere
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +106,35 @@ BEHAVIORS = {
     "language-switch": GLOBALS["language-switcher"],
 }
 
+# Words in lower case of which each match of a sign has at least one. A search for a word costs far less than a pattern.
+WORDS = {
+    "header": "<header banner", "footer": "<footer contentinfo", "nav": "<nav navigation",
+    "mobile-nav": "hamburger menu navbar-toggle nav-toggle", "mega-menu": "mega", "sticky-header": "sticky fixed",
+    "announcement-bar": "announce top promo notification utility", "cookie-banner": "cookie consent onetrust termly osano iubenda",
+    "newsletter-popup": "newsletter", "chat-widget": "intercom drift.com tawk.to crisp.chat zendesk livechat hubspot-messages tidio widget.freshworks",
+    "whatsapp": "wa.me/ api.whatsapp.com", "messenger": "m.me/ facebook.com/messages fb-customerchat", "phone-button": "tel:",
+    "email-button": "mailto:", "back-to-top": "to-top scrolltop", "a11y-widget": "userway accessibe acsb accessibility-widget",
+    "language-switcher": "lang-switch language-select lang-selector hreflang", "theme-toggle": "theme-toggle dark-mode color-scheme-toggle",
+    "search-overlay": "search-overlay search-modal", "account-menu": "my-account account-menu", "mini-cart": "mini cart-drawer",
+    "wishlist": "wishlist", "currency-selector": "currency", "analytics-ga4": "gtag( googletagmanager.com/gtag g-",
+    "tag-manager": "googletagmanager.com/gtm gtm-", "facebook-pixel": "connect.facebook.net fbq(",
+    "linkedin": "snap.licdn.com _linkedin_partner_id", "tiktok": "analytics.tiktok.com ttq.",
+    "accordion": "accordion <details", "tabs": "tab", "carousel": "carousel slider swiper slick splide glide flickity",
+    "modal": "modal dialog", "drawer": "drawer offcanvas off-canvas", "video-playback": "<video youtube.com/embed player.vimeo.com",
+    "dropdown": "dropdown", "infinite-scroll": "infinite", "pagination": "pagination pager next", "lazy-load": "lazy",
+    "theme-switch": "theme-toggle dark-mode color-scheme-toggle", "language-switch": "lang-switch language-select lang-selector hreflang",
+}
+ASSET_WORDS = (
+    "<img", "data-src", "url(", ".svg", "icon", "apple-touch-icon", "manifest", ".woff .ttf .otf .eot", ".mp4 .webm .ogg",
+    ".pdf .doc .xls .ppt .zip .csv", "og:image",
+)
+
+
+def _may_hold(words: str) -> Column:
+    """Whether the page, in lower case, has one of the words."""
+    some = [C("low").contains(w) for w in words.split()]
+    return reduce(lambda a, b: a | b, some)
+
 
 def _meta(**entries) -> Column:
     parts = []
@@ -149,7 +180,7 @@ def _sections() -> Column:
     return F.transform(F.filter(heads, lambda h: h["text"] != ""), named)
 
 
-def _asset_role(n: int, role: str, pattern: str) -> Column:
+def _asset_role(n: int, role: str, pattern: str, words: str) -> Column:
     def asset(src: Column, i: Column) -> Column:
         file = basename(src)
         return _row(
@@ -157,17 +188,18 @@ def _asset_role(n: int, role: str, pattern: str) -> Column:
             _meta(role=role, filename=file, src=F.substring(src, 1, 160), firstPage=C("url")),
         )
 
-    return F.filter(F.transform(H.find_all(C("body"), pattern, 1), asset), lambda a: a["meta"]["filename"] != "")
+    found = F.when(_may_hold(words), H.find_all(C("body"), pattern, 1)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(found, asset), lambda a: a["meta"]["filename"] != "")
 
 
 def _assets() -> Column:
-    return F.flatten(F.array(*[_asset_role(n, role, pattern) for n, (role, pattern) in enumerate(ASSETS)]))
+    return F.flatten(F.array(*[_asset_role(n, *asset, words) for n, (asset, words) in enumerate(zip(ASSETS, ASSET_WORDS, strict=True))]))
 
 
 def _signals(signals: dict[str, str], type_: str) -> Column:
     found = F.array(
         *[
-            F.when(H.matches(C("body"), p), _row(type_, F.lit(f"{type_}:{k}"), F.lit(0), _meta(key=k, firstPage=C("url"))))
+            F.when(_may_hold(WORDS[k]) & H.matches(C("body"), p), _row(type_, F.lit(f"{type_}:{k}"), F.lit(0), _meta(key=k, firstPage=C("url"))))
             for k, p in signals.items()
         ]
     )
@@ -241,7 +273,7 @@ def inventory(crawl: DataFrame, types: tuple[str, ...] = tuple(PROVIDERS)) -> Da
 
     The first page that shows an item, in crawl order, is kept; sections carry their page as parent.
     """
-    pages = html_pages(crawl).select(*KEYS, "url", "ord", "status", "body", path_of(C("url")).alias("path"))
+    pages = html_pages(crawl).select(*KEYS, "url", "ord", "status", "body", F.lower("body").alias("low"), path_of(C("url")).alias("path"))
     shown = pages.select(*KEYS, "url", "ord", F.inline(F.concat(*[_provider(t) for t in types])))
     first = shown.groupBy(*KEYS, "type", "identity_key").agg(
         F.min_by(F.struct("meta", "url"), F.struct("ord", "pos")).alias("m")
