@@ -18,6 +18,7 @@ from pagegate.plans import fixtures as X
 from pagegate.plans.page_rules import edged
 from pagegate.plans.site_audit import _gate_sql
 from pagegate.plans.sqltext import every, q, sub
+from pagegate.session import cut_lineage
 
 C = F.col
 CASE_COLUMNS = {
@@ -47,6 +48,11 @@ def _contracts(s, d):
     return K.project(W.occurrences(gate_findings(X.crawl(s, d)).select("*")))
 
 
+def _kept_contracts(s, d):
+    """The same from findings that are written once, for what reads them more than once."""
+    return K.project(W.occurrences(cut_lineage(gate_findings(X.crawl(s, d)))))
+
+
 def _docs(s, d):
     return X.documents(s, d)
 
@@ -58,7 +64,7 @@ def queries():
         "impact_sentence": lambda s, d: _contracts(s, d).select("rule_id", "why").distinct(),
         "contract_gaps": lambda s, d: _contracts(s, d).select(F.explode(K.gaps()).alias("gap")).groupBy("gap").agg(F.count("*").alias("n")),
         "finding_tickets": lambda s, d: _contracts(s, d).select("rule_id", F.regexp_count(K.ticket(), F.lit("\n")).alias("lines")).groupBy("rule_id", "lines").agg(F.count("*").alias("n")),
-        "check_tickets": lambda s, d: K.check_ticket(_contracts(s, d)).select("site", "rule_id", "findings", C("ticket").contains(" more in report.json").alias("more")),
+        "check_tickets": lambda s, d: K.check_ticket(_kept_contracts(s, d)).select("site", "rule_id", "findings", C("ticket").contains(" more in report.json").alias("more")),
         "locators": lambda s, d: X.crawl(s, d).select(
             F.explode(H.find_all(C("body"), r"(?i)<(?:a|button|input)\b[^>]*>")).alias("raw")
         ).select(F.lower(F.regexp_extract("raw", "^<([A-Za-z]+)", 1)).alias("tag"), H.attr_map(F.regexp_replace(F.regexp_replace("raw", "^<[A-Za-z]+", ""), "/?>$", "")).alias("at")).select(
