@@ -84,9 +84,9 @@ def best_practices():
 
 
 def located(prose: Column, pattern: str) -> Column:
-    """All matches of a pattern with the position each starts at (zero based)."""
+    """All matches of a pattern with the position each starts at (zero based). Most texts have none and are looked through once."""
     both = F.struct(H.find_all(prose, pattern).alias("raws"), F.split(prose, pattern, -1).alias("gaps"))
-    return let(
+    found = let(
         both,
         lambda b: F.transform(
             b["raws"],
@@ -99,6 +99,7 @@ def located(prose: Column, pattern: str) -> Column:
             ),
         ),
     )
+    return F.when(~prose.rlike(pattern), F.array().cast("array<struct<raw:string,pos:int>>")).otherwise(found)
 
 
 def snippet(prose: Column, m: Column, around: int, limit: int) -> Column:

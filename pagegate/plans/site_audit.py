@@ -17,6 +17,7 @@ from pagegate.operators.page_ctx import page_ctx
 from pagegate.plans import fixtures as X
 from pagegate.plans.page_rules import VISIBLE_CHECKS, rule_arms
 from pagegate.plans.sqltext import CTX, LIVE_CTX, VISIBLE_STEP, every, keep, q
+from pagegate.session import cut_lineage
 
 C = F.col
 EXCLUDED = ("SEO-003", "SEC-011", "FORM-001", "FORM-002", "FORM-900", "FUNC-001")
@@ -64,9 +65,9 @@ def _forms(spark, d):
 def _full_rows(spark, d):
     a = _audit(spark, d)
     crawl = X.crawl(spark, d)
-    advisory = A.advisory_findings(crawl)
+    advisory = cut_lineage(A.advisory_findings(crawl))
     merged = A.with_advisory(a.rows, advisory, copy_words(page_ctx(crawl, "live")))
-    return merged.unionByName(W.manual_rows(_forms(spark, d))), a
+    return cut_lineage(merged.unionByName(W.manual_rows(_forms(spark, d)))), a
 
 
 def queries():
