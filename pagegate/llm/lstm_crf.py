@@ -92,11 +92,33 @@ def _back(x: np.ndarray, wh: np.ndarray, saved: list, d_states: np.ndarray) -> t
     return dx, dwh
 
 
+def _states(x: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """The hidden states of `_run`, as (length, HIDDEN, batch): rows of one gate lie together, and one tanh serves all gates."""
+    length, batch = x.shape
+    half = np.full((4 * HIDDEN, 1), 0.5, np.float32)
+    half[3 * HIDDEN :] = 1
+    wx, wh = np.ascontiguousarray(wx.T) * half, np.ascontiguousarray(wh.T) * half
+    states = np.empty((length, HIDDEN, batch), np.float32)
+    h, c, s = (np.zeros((HIDDEN, batch), np.float32) for _ in range(3))
+    z, y = (np.empty((4 * HIDDEN, batch), np.float32) for _ in range(2))
+    gates, (i, f, o, g) = z[: 3 * HIDDEN], np.split(z, 4)
+    for t in range(length):
+        np.take(wx, x[t], axis=1, out=z, mode="clip")
+        z += np.matmul(wh, h, out=y)
+        np.tanh(z, out=z)
+        gates *= 0.5
+        gates += 0.5
+        c *= f
+        c += np.multiply(i, g, out=s)
+        h = np.multiply(o, np.tanh(c, out=s), out=states[t])
+    return states
+
+
 def emissions(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Tag scores (length, batch, TAGS) of windows x (length, batch)."""
-    ahead, _ = _run(x, model["xf"], model["hf"], False)
-    behind, _ = _run(x[::-1], model["xb"], model["hb"], False)
-    return np.concatenate([ahead, behind[::-1]], axis=2) @ model["out"] + model["bias"]
+    """Tag scores (length, TAGS, batch) of windows x (length, batch)."""
+    x, out = x.astype(np.intp), np.ascontiguousarray(model["out"].T)
+    ahead, behind = _states(x, model["xf"], model["hf"]), _states(x[::-1], model["xb"], model["hb"])
+    return out[:, :HIDDEN] @ ahead + out[:, HIDDEN:] @ behind[::-1] + model["bias"][:, None]
 
 
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -163,6 +185,28 @@ def train(x: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: fl
     return model
 
 
+def begin_chances(e: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    """The greatest chance of any B at each step (length, batch) of scores e (length, TAGS, batch): the marginals of `decode` with
+    chances in place of their logarithms, so that a step is one small product for the whole batch."""
+    length, _, batch = e.shape
+    follow, start = np.exp(model["trans"] + rules()).astype(np.float32), np.exp(model["start"] + first_rules()).astype(np.float32)
+    p = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60))
+    ahead, back = np.empty_like(p), follow.T.copy()
+    now = p[0] * start[:, None]
+    for t in range(length):
+        if t:
+            now = np.matmul(back, now, out=ahead[t])
+            now *= p[t]
+        now = np.divide(now, now.sum(axis=0), out=ahead[t])
+    out, after = np.empty((length, batch), np.float32), np.ones((TAGS, batch), np.float32)
+    for t in range(length - 1, -1, -1):
+        both = ahead[t] * after
+        out[t] = both[1::2].max(axis=0) / both.sum(axis=0)
+        after = follow @ (after * p[t])
+        after /= after.max(axis=0)
+    return out
+
+
 def decode(e: np.ndarray, model: dict[str, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tags and their marginal chances (length, batch); steps past a sequence's own length mean nothing."""
     trans, start = (model["trans"] + rules()).astype(np.float32), model["start"] + first_rules()

@@ -2,13 +2,14 @@
 
 Base spans are those of four patterns (email, ip, card, phone), leftmost and without overlaps for each kind; a match that
 fails its further test is dropped. The model is trained from labelled spans: base spans of the given documents in their
-context, the same with their writing varied (signs spelled out or left out, digits changed), and places with digits that are no
-span. Training sees at most `TRAIN_WINDOWS` windows, those with the least hashes; it takes part in one task and gives a few thousand numbers.
+context, the same with their writing varied (signs spelled out or left out, digits changed), places with digits that are no
+span, and plain ones. Training sees at most `TRAIN_WINDOWS` windows, those with the least hashes; it takes part in one task and gives a few thousand numbers.
 
-A span holds a digit or an `@`, so only stretches around such characters can have any. A stretch is cut into windows of
-`WINDOW` characters that overlap by half. Windows are scored by the LSTM; where they overlap, scores are averaged with
-more weight towards a window's middle, and one Viterbi pass over the whole stretch decides, so windows cannot contradict each
-other. A model span stays if the chance of each of its tags is `SURE` or more and it meets no base span.
+The model looks at every character of every text. A text is cut into blocks, and `SIGHT` blocks make a window that
+shares one with the next. Windows are scored by the LSTM; where they overlap, scores are averaged with more weight towards a window's middle. The CRF
+works on parts with `MARGIN` blocks more on either side: what begins in a part belongs to it, and a span that runs to the end of these blocks has its
+whole text decoded at once. A model span stays if the chance of each of its tags is `SURE` or more and it meets no base span. So it begins where
+some B has that chance: chances are worked out everywhere, in parts of `CORE` blocks, and best paths for each block in which one has.
 
 Null texts are empty. Rows are judged one by one, so repeated rows give repeated results. Other columns are not read, or
 pass through unchanged. Without any base span in the table there is nothing to learn and base spans are all.
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegate.llm.bytes_text import pieces
-from pagegate.llm.lstm_crf import KINDS, TAGS, classes, decode, emissions, train
+from pagegate.llm.lstm_crf import KINDS, TAGS, begin_chances, classes, decode, emissions, train
 from pagegate.llm.tables import table
 
-WINDOW, REACH = 96, 40
+WINDOW = 96
+BLOCK, SIGHT, CORE, MARGIN = 48, 2, 16, 2
 TRAIN_WINDOWS, STEPS, SURE = 3000, 300, 0.9
-MOST_STRETCHES = 256
+BATCH, BATCH_CHARS = 512, 1 << 18
+PLAIN = 8
 
 Span = tuple[str, int, int]
 
@@ -117,15 +120,19 @@ def varied(kind: str, text: str, r: np.random.Generator) -> str:
 
 
 def training_windows(docs: DataFrame) -> DataFrame:
-    """key, chars and tags of windows around marked characters: base spans, varied ones, and places that are none."""
+    """key, chars and tags of windows: around marked characters (base spans, varied ones, and places that are none), and in one of
+    `PLAIN` texts wherever its hash falls."""
     schema = "key bigint, chars string, tags string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, chars, tags = [], [], []
 
+            def hashed(text: str, middle: int) -> int:
+                return int.from_bytes(hashlib.md5(f"{middle}:{text[max(0, middle - 20) : middle + 20]}".encode()).digest()[:8], "big", signed=True)
+
             def add(text: str, own: np.ndarray, middle: int, keys: list = keys, chars: list = chars, tags: list = tags) -> None:
-                shift = int.from_bytes(hashlib.md5(f"{middle}:{text[max(0, middle - 20) : middle + 20]}".encode()).digest()[:8], "big", signed=True)
+                shift = hashed(text, middle)
                 low = max(0, middle - WINDOW // 2 + shift % 25 - 12)
                 keys.append(shift)
                 chars.append(text[low : low + WINDOW])
@@ -134,6 +141,8 @@ def training_windows(docs: DataFrame) -> DataFrame:
             for text in b.column("text").to_pylist():
                 spans = base_spans(text)
                 own, seen = tagged(text, spans), -WINDOW
+                if (plain := hashed(text, 0)) % PLAIN == 0:
+                    add(text, own, plain // PLAIN % len(text))
                 for m in _MARKED.finditer(text):
                     at = m.start()
                     if at - seen >= WINDOW // 2:
@@ -142,16 +151,14 @@ def training_windows(docs: DataFrame) -> DataFrame:
                 for kind, a, e in spans:
                     r = np.random.default_rng(a * 31 + len(text))
                     left, right, new = text[max(0, a - WINDOW) : a], text[e : e + WINDOW], varied(kind, text[a:e], r)
-                    if _MARKED.search(new):
-                        t = left + new + right
-                        marks = np.zeros(len(t), dtype=np.int8)
-                        marks[len(left) : len(left) + len(new)] = tagged(new, [(kind, 0, len(new))])
-                        marks[: len(left)], marks[len(left) + len(new) :] = own[a - len(left) : a], own[e : e + len(right)]
-                        add(t, marks, len(left) + len(new) // 2)
+                    t = left + new + right
+                    marks = np.zeros(len(t), dtype=np.int8)
+                    marks[len(left) : len(left) + len(new)] = tagged(new, [(kind, 0, len(new))])
+                    marks[: len(left)], marks[len(left) + len(new) :] = own[a - len(left) : a], own[e : e + len(right)]
+                    add(t, marks, len(left) + len(new) // 2)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(chars, pa.string()), pa.array(tags, pa.string())], ["key", "chars", "tags"])
 
-    marked = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    return marked.mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''").mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> dict[str, np.ndarray] | None:
@@ -183,88 +190,140 @@ def _drop_key(run):  # noqa: ANN001, ANN202
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within REACH characters of a digit or `@`."""
-    at = [m.start() for m in _MARKED.finditer(text)]
-    out: list[list[int]] = []
-    for p in at:
-        low, high = max(0, p - REACH), min(len(text), p + REACH + 1)
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
-
-
-def stretch_scores(model: dict[str, np.ndarray], parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Tag scores of each stretch of classes, its overlapping windows averaged."""
-    half = WINDOW // 2
-    where = [(k, a) for k, p in enumerate(parts) for a in range(0, max(1, len(p) - half), half)]
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    sums, weights = [np.zeros((len(p), TAGS), np.float32) for p in parts], [np.zeros(len(p), np.float32) for p in parts]
-    for b in range(0, len(where), 512):
-        own = where[b : b + 512]
-        x = np.zeros((WINDOW, len(own)), np.uint8)
-        for j, (k, a) in enumerate(own):
-            piece = parts[k][a : a + WINDOW]
-            x[: len(piece), j] = piece
-        e = emissions(model, x)
-        for j, (k, a) in enumerate(own):
-            n = min(WINDOW, len(parts[k]) - a)
-            sums[k][a : a + n] += e[:n, j] * weight[:n, None]
-            weights[k][a : a + n] += weight[:n]
-    return [s / w[:, None] for s, w in zip(sums, weights, strict=True)]
-
-
-def model_spans(model: dict[str, np.ndarray], parts: list[str]) -> list[list[Span]]:
-    """Spans of each stretch, from its begin."""
-    scores = stretch_scores(model, [classes(p) for p in parts])
-    out: list[list[Span]] = [[] for _ in parts]
-    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+    """What the model looks at: all of the text."""
+    return [(0, len(text))] if text else []
+
+
+def block_scores(model: dict[str, np.ndarray], x: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Tag scores (blocks, TAGS, BLOCK) of blocks of classes, averaged where windows of `SIGHT` blocks overlap by one. last: which blocks
+    end their text; no window goes on from there."""
+    ends = np.flatnonzero(last)
+    end = ends[np.searchsorted(ends, np.arange(len(x)))]
+    place = np.arange(len(x)) - np.concatenate([[0], ends[:-1] + 1])[np.searchsorted(ends, np.arange(len(x)))]
+    begins = np.flatnonzero((place % (SIGHT - 1) == 0) & (~last | (place == 0)))
+    length = SIGHT * BLOCK
+    weight = np.minimum(np.minimum(np.arange(1, length + 1), np.arange(length, 0, -1)), BLOCK).astype(np.float32).reshape(SIGHT, BLOCK)
+    sums, weights = np.zeros((len(x), TAGS, BLOCK), np.float32), np.zeros((len(x), BLOCK), np.float32)
+    for b in range(0, len(begins), BATCH):
+        own = begins[b : b + BATCH]
+        there = [own + k <= end[own] for k in range(SIGHT)]
+        w = np.zeros((SIGHT, BLOCK, len(own)), np.uint8)
+        for k, ok in enumerate(there):
+            w[k][:, ok] = x[own[ok] + k].T
+        e = emissions(model, w.reshape(length, len(own))).reshape(SIGHT, BLOCK, TAGS, len(own))
+        for k, ok in enumerate(there):
+            sums[own[ok] + k] += (e[k] * weight[k][:, None, None]).transpose(2, 1, 0)[ok]
+            weights[own[ok] + k] += weight[k]
+    sums /= weights[:, None, :]
+    return sums
+
+
+def _path_spans(e: np.ndarray, model: dict[str, np.ndarray]) -> list[list[tuple[int, int, int, bool]]]:
+    """Kind, begin, end and sureness of the spans of each best path through scores e (length, TAGS, batch)."""
+    length, _, batch = e.shape
+    tags, chance = decode(np.ascontiguousarray(e.transpose(0, 2, 1)), model, np.full(batch, length))
+    out: list[list[tuple[int, int, int, bool]]] = [[] for _ in range(batch)]
+    for j in range(batch):
+        t, c = tags[:, j], chance[:, j]
+        for a in np.flatnonzero(t % 2 == 1).tolist():
+            b = a + 1
+            while b < length and t[b] == t[a] + 1:
+                b += 1
+            out[j].append(((int(t[a]) - 1) // 2, a, b, bool(c[a:b].min() >= SURE)))
+    return out
+
+
+def model_spans(model: dict[str, np.ndarray], parts: list[str], taken: list[list[Span]] | None = None) -> list[list[Span]]:
+    """Model spans of each text but for those that begin inside of its `taken` spans."""
+    out: list[list[Span]] = []
     at = 0
-    while at < len(order):
-        # stretches of like lengths together, and few at once where they are long
-        longest = lambda n: len(parts[order[min(at + n, len(order)) - 1]])
-        n = MOST_STRETCHES
-        while n > 1 and (longest(n) > 2 * len(parts[order[at]]) + 64 or n * longest(n) > 200_000):
-            n //= 2
-        own = order[at : at + n]
+    while at < len(parts):
+        n, size = 1, len(parts[at])
+        while at + n < len(parts) and size + len(parts[at + n]) <= BATCH_CHARS:
+            size += len(parts[at + n])
+            n += 1
+        out += _batch_spans(model, parts[at : at + n], taken[at : at + n] if taken else [[]] * n)
         at += n
-        lengths = np.array([len(parts[k]) for k in own])
-        e = np.zeros((int(lengths.max()), len(own), TAGS), np.float32)
-        for j, k in enumerate(own):
-            e[: lengths[j], j] = scores[k]
-        tags, chance = decode(e, model, lengths)
-        for j, k in enumerate(own):
-            t, c = tags[: lengths[j], j], chance[: lengths[j], j]
-            for a in np.flatnonzero(t % 2 == 1).tolist():
-                b = a + 1
-                while b < len(t) and t[b] == t[a] + 1:
-                    b += 1
-                if c[a:b].min() >= SURE and _MARKED.search(parts[k][a:b]):
-                    out[k].append((KINDS[(t[a] - 1) // 2], a, b))
     return out
 
 
+def _batch_spans(model: dict[str, np.ndarray], parts: list[str], taken: list[list[Span]]) -> list[list[Span]]:
+    out: list[list[Span]] = [[] for _ in parts]
+    lengths = np.array([len(p) for p in parts])
+    blocks = -(-lengths // BLOCK)
+    first, total = np.cumsum(blocks) - blocks, int(blocks.sum())
+    if not total:
+        return out
+    # each text begins a block; what its last one has left is padding
+    flat, x = np.arange(lengths.sum()) + np.repeat(first * BLOCK - (np.cumsum(lengths) - lengths), lengths), np.zeros(total * BLOCK, np.uint8)
+    x[flat] = classes("".join(parts))
+    inside, free = (np.zeros((total + 1) * BLOCK, dtype=bool) for _ in range(2))
+    inside[flat] = free[flat] = True
+    for k, spans in enumerate(taken):
+        for _, a, b in spans:
+            free[first[k] * BLOCK + a : first[k] * BLOCK + b] = False
+    last = np.zeros(total, dtype=bool)
+    last[(first + blocks - 1)[blocks > 0]] = True
+    e = np.zeros((total + 1, TAGS, BLOCK), np.float32)
+    e[:total] = block_scores(model, x.reshape(total, BLOCK), last)
+    # nothing but O goes on past a text's end
+    e.transpose(0, 2, 1)[~inside.reshape(-1, BLOCK)] = [0] + [-60] * (TAGS - 1)
+
+    text_of = np.repeat(np.arange(len(parts)), blocks)
+
+    def around(core: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (length, TAGS, batch) of `size` blocks and a margin on either side, the block where each begins, and its text."""
+        k = text_of[core]
+        low, end = np.maximum(core - MARGIN, first[k]), (first + blocks)[k]
+        where = low[:, None] + np.arange(int((np.minimum(core + size + MARGIN, end) - low).max()))
+        got = e[np.where(where < end[:, None], where, total)]
+        return np.ascontiguousarray(got.transpose(1, 3, 2, 0)).reshape(-1, TAGS, len(core)), low, k
+
+    # where a span can begin
+    cores = np.flatnonzero((np.arange(total) - first[text_of]) % CORE == 0)
+    cores = cores[np.argsort(np.minimum(cores + CORE, (first + blocks)[text_of[cores]]) - cores, kind="stable")]
+    begins = np.zeros(total, dtype=bool)
+    for b in range(0, len(cores), BATCH):
+        own = cores[b : b + BATCH]
+        scores, low, k = around(own, CORE)
+        sure = (begin_chances(scores, model) >= SURE - 0.01).reshape(-1, BLOCK, len(own))
+        at, j = np.nonzero(sure.any(axis=1))
+        block = low[j] + at
+        right = (block >= own[j]) & (block < np.minimum(own[j] + CORE, (first + blocks)[k[j]]))
+        at, j, block = at[right], j[right], block[right]
+        begins[block[(sure[at, :, j] & free.reshape(-1, BLOCK)[block]).any(axis=1)]] = True
+    # best paths around there
+    cores, again = np.flatnonzero(begins), set()
+    for b in range(0, len(cores), BATCH):
+        own = cores[b : b + BATCH]
+        scores, low, texts = around(own, 1)
+        shift, lead = ((low - first[texts]) * BLOCK).tolist(), ((own - low) * BLOCK).tolist()
+        for j, (k, found) in enumerate(zip(texts.tolist(), _path_spans(scores, model), strict=True)):
+            for kind, a, z, sure in found:
+                if lead[j] <= a < lead[j] + BLOCK:
+                    if z == len(scores) and shift[j] + z < lengths[k]:
+                        again.add(k)
+                    elif sure:
+                        out[k].append((KINDS[kind], shift[j] + a, shift[j] + z))
+    for k in again:
+        whole = np.ascontiguousarray(e[first[k] : first[k] + blocks[k]].transpose(0, 2, 1)).reshape(-1, TAGS, 1)
+        out[k] = [(KINDS[kind], a, z) for kind, a, z, sure in _path_spans(whole, model)[0] if sure]
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
+
+
 def all_spans(model: dict[str, np.ndarray] | None, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
-    bases = [base_spans(t) for t in texts]
+    bases = [base_spans(t) if _MARKED.search(t) else [] for t in texts]
     more: list[list[Span]] = [[] for _ in texts]
     if model is not None:
-        where = [(k, a, b) for k, t in enumerate(texts) for a, b in stretches(t)]
-        for (k, a, _), found in zip(where, model_spans(model, [texts[k][a:b] for k, a, b in where]), strict=True):
+        for k, found in enumerate(model_spans(model, texts, bases)):
             taken = np.zeros(len(texts[k]) + 1, dtype=bool) if found else None
             for _, s, e in bases[k] if found else ():
                 taken[s:e] = True
-            more[k] += [(kind, a + s, a + e) for kind, s, e in found if not taken[a + s : a + e].any()]
+            more[k] = [(kind, s, e) for kind, s, e in found if not taken[s:e].any()]
     return [(b, sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0]))) if m else b) for b, m in zip(bases, more, strict=True)]
 
 
-def marked_texts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Which texts have a digit or `@`; no other can hold a span."""
-    at = np.flatnonzero((data - np.uint8(48) < 10) | (data == 64))
-    return np.diff(np.searchsorted(at, offs)) > 0
-
-
 def find(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all) and n_added of every row."""
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
@@ -272,11 +331,8 @@ def find(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in pieces(batches):
-            hit = np.flatnonzero(marked_texts(data, offs)).tolist()
-            found = dict(zip(hit, all_spans(model, [data[offs[k] : offs[k + 1]].tobytes().decode() for k in hit]), strict=True))
             out = []
-            for k in range(rows.num_rows):
-                base, spans = found.get(k, ([], []))
+            for base, spans in all_spans(model, [data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)]):
                 kinds = [s[0] for s in base]
                 out.append((*(kinds.count(x) for x in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
             kinds_of = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64())
@@ -300,17 +356,16 @@ def mask(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     rows. A null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in pieces(batches):
-            hit = np.flatnonzero(marked_texts(data, offs)).tolist()
+        for rows, _, _ in pieces(batches):
             column = rows.column("text")
-            if hit:
-                texts, sizes = column.to_pylist(), {}
-                for k, (_, spans) in zip(hit, all_spans(model, [texts[k] for k in hit]), strict=True):
-                    if spans:
-                        texts[k] = masked_text(texts[k], spans)
-                        sizes[k] = len(texts[k])
+            texts, sizes = column.to_pylist(), {}
+            for k, (_, spans) in enumerate(all_spans(model, [t or "" for t in texts])):
+                if spans:
+                    texts[k] = masked_text(texts[k], spans)
+                    sizes[k] = len(texts[k])
+            if sizes:
                 rows = rows.set_column(rows.schema.get_field_index("text"), rows.schema.field("text"), pa.array(texts, column.type))
-                if sizes and "n_chars" in rows.schema.names:
+                if "n_chars" in rows.schema.names:
                     old = rows.column("n_chars")
                     new = pa.array([sizes.get(k, n) for k, n in enumerate(old.to_pylist())], old.type)
                     rows = rows.set_column(rows.schema.get_field_index("n_chars"), rows.schema.field("n_chars"), new)
