@@ -57,28 +57,33 @@ def without_code(c: Column) -> Column:
     return c
 
 
-def hidden_removed(c: Column) -> Column:
-    for tag in HIDDEN_BLOCKS:
+def _blocks_removed(c: Column, tags) -> Column:
+    for tag in tags:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    return c
+
+
+def hidden_removed(c: Column) -> Column:
+    """A page less its blocks without visible copy, in their order. Most pages hold scripts and styles alone."""
+    rare = HIDDEN_BLOCKS[2:]
+    c = let(
+        _blocks_removed(c, HIDDEN_BLOCKS[:2]),
+        lambda t: F.when(t.rlike(rf"(?i)<(?:{'|'.join(rare)})\b"), _blocks_removed(t, rare)).otherwise(t),
+    )
     return F.regexp_replace(c, "(?s)<!--.*?-->", " ")
 
 
-def visible_prose(html: Column) -> Column:
-    """Visible copy: no scripts, styles, code, templates or comments."""
-    return collapse_ws(F.regexp_replace(hidden_removed(html), "<[^>]+>", " "))
+def visible_prose(shown: Column) -> Column:
+    """Visible copy of what `hidden_removed` leaves of a page."""
+    return collapse_ws(F.regexp_replace(shown, "<[^>]+>", " "))
 
 
-def paragraphs(html: Column) -> Column:
-    """Visible copy as an array of paragraphs, split at block ends and line breaks."""
-    c = hidden_removed(html)
-    c = F.regexp_replace(c, rf"(?i)<br{WS}*/?>", "\n\n")
+def paragraph_texts(shown: Column) -> Column:
+    """What `hidden_removed` leaves, split at block ends and line breaks. White space at the ends and empty texts
+    stay in: what is read of it are word counts."""
+    c = F.regexp_replace(shown, rf"(?i)<br{WS}*/?>", "\n\n")
     c = F.regexp_replace(c, rf"(?i)</(p|div|li|h[1-6]|blockquote|tr|section|article|td){WS}*>", "\n\n")
-    c = F.regexp_replace(c, "<[^>]+>", " ")
-    parts = F.transform(
-        F.split(c, f"\n{WS}*\n+"),
-        lambda p: F.regexp_replace(F.regexp_replace(p, "[ \t]+", " "), f"^{WS}+|{WS}+$", ""),
-    )
-    return F.filter(parts, lambda p: p != "")
+    return F.split(F.regexp_replace(c, "<[^>]+>", " "), f"\n{WS}*\n+")
 
 
 def text_paragraphs(text: Column) -> Column:
@@ -113,8 +118,7 @@ def title_of(html: Column) -> Column:
 
 
 def first_doctype(html: Column) -> Column:
-    start = F.regexp_replace(html, f"^{WS}+", "")
-    return first_match(start, "(?i)^<!doctype[^>]*>")
+    return first_match(html, f"(?i)^{WS}*(<!doctype[^>]*>)", 1)
 
 
 def is_html(body: Column, content_type: Column) -> Column:

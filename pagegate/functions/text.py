@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The characters a JavaScript `\s` matches, as one character class.
 WS = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NON_WS = "[^" + WS[1:]
+# The same characters for Java's patterns: Latin letters are told apart by one table, not by every range in turn.
+SPACE = "[\t\n\x0b\x0c\r \u00a0[[\u1680-\u3000\ufeff]&&" + WS + "]]"
 
 
 def let(value: Column, body) -> Column:
@@ -16,12 +18,12 @@ def let(value: Column, body) -> Column:
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def collapse_ws(c: Column) -> Column:
     """Whitespace runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def utf16_length(c: Column) -> Column:
@@ -34,6 +36,14 @@ def word_list(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def holds_any(lower: Column, signs) -> Column:
+    """Whether a text in lower case holds any of the signs: bytes are compared, so it costs far less than a pattern."""
+    out = F.lit(False)
+    for s in signs:
+        out = out | lower.contains(s)
+    return out
+
+
 def word_count(c: Column) -> Column:
     """Latin word count with inner apostrophes and hyphens."""
     return F.regexp_count(c, F.lit("[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"))

@@ -112,19 +112,19 @@ def audit(
     return Audit(found, coverage, rows)
 
 
-def with_advisory(rows: DataFrame, advisory: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds the advisory rows: loose symbols and misspellings count, markup and copy only inform.
+def advisory_rows(sites: DataFrame, advisory: DataFrame, words: DataFrame) -> DataFrame:
+    """A row per site and advisory rule: loose symbols and misspellings count, markup and copy only inform.
 
     Copy rows are always `manual`; phrases also carry their density per thousand words.
     """
-    spark = rows.sparkSession
+    spark = sites.sparkSession
     facts = F.broadcast(R.rules_df(spark).select("rule_id", "title", "severity", C("suite").alias("rule_suite")))
     ids = [r["rule_id"] for r in R.rule_rows() if r["suite"] in ("best-practices", "copy")] + ["FUNC-008", "FUNC-009"]
-    sites = rows.select(*KEYS).distinct().select("*", F.explode(F.array(*[F.lit(i) for i in ids])).alias("rule_id"))
+    asked = sites.select(*KEYS).distinct().select("*", F.explode(F.array(*[F.lit(i) for i in ids])).alias("rule_id"))
     hits = advisory.groupBy(*KEYS, "rule_id").agg(
         F.sum(F.size("items")).alias("occurrences"), F.count_distinct("url").alias("pages")
     )
-    j = sites.join(hits, [*KEYS, "rule_id"], "left").join(facts, "rule_id").join(words, list(KEYS), "left")
+    j = asked.join(hits, [*KEYS, "rule_id"], "left").join(facts, "rule_id").join(words, list(KEYS), "left")
     n = F.coalesce(C("occurrences"), F.lit(0))
     density = F.round(F.try_divide(n * 1000.0, C("words")), 1)
     status = (
@@ -143,10 +143,9 @@ def with_advisory(rows: DataFrame, advisory: DataFrame, words: DataFrame) -> Dat
         .when(C("rule_id") == "FUNC-009", text(n, " words to check"))
         .otherwise(text(n, " times"))
     )
-    extra = j.select(
+    return j.select(
         *KEYS, C("rule_suite").alias("suite"), F.lit("advisory").alias("check_id"), status.alias("status"),
         C("title").alias("name"), "rule_id", F.lit("").alias("target"), detail.alias("detail"), F.lit("").alias("value"),
         n.cast("long").alias("occurrences"), F.coalesce(C("pages"), F.lit(0)).alias("pages"),
         F.lit(False).alias("not_run"), F.lit(None).cast("string").alias("reason"),
     )
-    return rows.unionByName(extra)

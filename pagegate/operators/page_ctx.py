@@ -49,11 +49,13 @@ def page_ctx(crawl: DataFrame, env: str | None = None) -> DataFrame:
         H.title_of(html).alias("title"),
         H.find_all(html, r"(?i)<img\b[^>]*>").alias("imgs"),
         H.find_all(html, r"(?i)<h([1-6])\b", 1).alias("levels"),
-        H.visible_prose(html).alias("visible"),
+        H.first_doctype(html).alias("doctype"),
+        H.hidden_removed(html).alias("shown"),
     )
-    head, main = F.col("head"), F.col("main")
-    return sliced.select(
+    head, main, shown = F.col("head"), F.col("main"), F.col("shown")
+    read = sliced.select(
         "*",
+        H.visible_prose(shown).alias("visible"),
         H.strip_tags(main).alias("text"),
         H.strip_tags(H.without_code(main)).alias("prose"),
         H.meta_content(head, "description").alias("description"),
@@ -63,6 +65,7 @@ def page_ctx(crawl: DataFrame, env: str | None = None) -> DataFrame:
         H.find_all(html, r"(?i)<input\b[^>]*>").alias("inputs"),
         H.find_all(html, r"(?i)<a\b[^>]*>").alias("anchors"),
         F.when(F.size("imgs") > 0, located_images(html)).alias("img_located"),
-        rhythm(paragraph_words(H.paragraphs(html))).alias("rhythm"),
+        rhythm(paragraph_words(H.paragraph_texts(shown))).alias("rhythm"),
     )
+    return read.select("*", F.lower("visible").alias("visible_lower"))
 

@@ -71,11 +71,11 @@ def queries():
             K.locator_strategies(C("tag"), C("at"))[0].alias("w")
         ).groupBy("w.kind", "w.value", "w.stability").agg(F.count("*").alias("n")),
         "doubled_words": lambda s, d: _docs(s, d).select("doc_id", F.explode(doubled_words(C("text"))).alias("phrase")),
-        "misspellings": lambda s, d: _docs(s, d).select("doc_id", F.explode(misspelled_words(C("text"))).alias("word")),
+        "misspellings": lambda s, d: _docs(s, d).select("doc_id", F.explode(misspelled_words(F.lower("text"))).alias("word")),
         "paragraph_rhythm": lambda s, d: _docs(s, d).select("doc_id", rhythm(paragraph_words(H.text_paragraphs(C("text")))).alias("r")).select(
             "doc_id", "r.paragraphs", "r.words", F.round("r.cv", 6).alias("cv"), is_uniform(C("r")).alias("uniform")
         ),
-        "stock_phrases": lambda s, d: _docs(s, d).select("doc_id", F.size(copy_items(C("text"), "ai-tell-phrasing", STOCK_PHRASES, False)).alias("n")).filter("n > 0"),
+        "stock_phrases": lambda s, d: _docs(s, d).select("doc_id", F.size(copy_items(C("text"), F.lower("text"), "ai-tell-phrasing", STOCK_PHRASES, False)).alias("n")).filter("n > 0"),
         "readability": lambda s, d: _docs(s, d).select("doc_id", F.round(flesch_reading_ease(collapse_ws(C("text"))), 4).alias("ease")),
         "portfolio": lambda s, d: P.cumulative(_cases(s, d)),
         "portfolio_superseded": lambda s, d: P.with_superseded(_cases(s, d)).groupBy("source", "superseded").agg(F.count("*").alias("n")),
