@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegate.functions.text import WS, collapse_ws, let
+from pagegate.functions.text import WS, collapse_ws, holds_any, let
 
 Q = "[\"']"
 
@@ -28,20 +28,30 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def find_where(c: Column, lower: Column, signs: tuple[str, ...], pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern in a text that holds one of the signs in lower case; without them there are none."""
+    return F.when(holds_any(lower, signs), find_all(c, pattern, group)).otherwise(F.array().cast("array<string>"))
+
+
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     """First match or null; a match of the empty string is kept as the empty string."""
     hit = F.regexp_extract(c, pattern, group)
     return F.when((hit != "") | matches(c, pattern), hit)
 
 
+def first_block(html: Column, tag: str, otherwise: Column) -> Column:
+    """First block of a tag, looked for once; what `otherwise` gives where there is none."""
+    return let(
+        F.regexp_extract(html, f"(?is)<{tag}.*?</{tag}>", 0), lambda b: F.when(b != "", b).otherwise(otherwise)
+    )
+
+
 def head_slice(html: Column) -> Column:
-    return F.coalesce(first_match(html, "(?is)<head.*?</head>"), F.substring(html, 1, 8000))
+    return first_block(html, "head", F.substring(html, 1, 8000))
 
 
 def main_slice(html: Column) -> Column:
-    return F.coalesce(
-        first_match(html, "(?is)<main.*?</main>"), first_match(html, "(?is)<article.*?</article>"), html
-    )
+    return first_block(html, "main", first_block(html, "article", html))
 
 
 def strip_tags(c: Column) -> Column:
@@ -50,9 +60,12 @@ def strip_tags(c: Column) -> Column:
     return collapse_ws(F.regexp_replace(c, "<[^>]+>", " "))
 
 
+# Blocks that quote text rather than say it.
+QUOTING = ("pre", "code", "textarea")
+
+
 def without_code(c: Column) -> Column:
-    """Drops preformatted, code and textarea blocks, which quote text rather than say it."""
-    for tag in ("pre", "code", "textarea"):
+    for tag in QUOTING:
         c = F.regexp_replace(c, f"(?is)<{tag}.*?</{tag}>", " ")
     return c
 
@@ -151,25 +164,26 @@ def tag_chunks(html: Column, tag: str) -> Column:
     )
 
 
-def _last_start(before: Column, pattern: str) -> Column:
-    """Start of the last match of `pattern`, or -1."""
-    return F.length(F.regexp_extract(F.concat(F.lit("."), before), rf"(?is)^(.+){pattern}", 1)) - 1
+def _last_start(before: Column, lower: Column, sign: str, pattern: str) -> Column:
+    """Start of the last match of `pattern`, or -1. A text without the sign in lower case has no match."""
+    start = F.length(F.regexp_extract(F.concat(F.lit("."), before), rf"(?is)^(.+){pattern}", 1)) - 1
+    return F.when(lower.contains(sign), start).otherwise(F.lit(-1))
 
 
 def region_at(before: Column) -> Column:
     """Innermost landmark opened and not yet closed in the text before a position."""
-    found = F.array(
+    found = lambda low: F.array(
         *[
             F.struct(
-                _last_start(before, rf"<{t}\b").alias("pos"),
+                _last_start(before, low, f"<{t}", rf"<{t}\b").alias("pos"),
                 F.lit(-i).alias("order"),
-                _last_start(before, f"</{t}>").alias("closed"),
+                _last_start(before, low, f"</{t}>", f"</{t}>").alias("closed"),
                 F.lit(t).alias("name"),
             )
             for i, t in enumerate(LANDMARKS)
         ]
     )
-    open_ones = F.filter(found, lambda r: (r["pos"] >= 0) & (r["pos"] > r["closed"]))
+    open_ones = F.filter(let(F.lower(before), found), lambda r: (r["pos"] >= 0) & (r["pos"] > r["closed"]))
     return F.array_max(open_ones)["name"]
 
 

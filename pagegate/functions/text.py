@@ -71,12 +71,25 @@ def syllables(prose: Column) -> Column:
 
 def flesch_reading_ease(prose: Column) -> Column:
     """Flesch reading ease of collapsed prose; null below 30 words."""
-    n = F.size(word_list(prose)).cast("double")
+    return let(F.size(word_list(prose)), lambda n: ease_of(prose, n.cast("double")))
+
+
+def ease_of(prose: Column, n: Column) -> Column:
+    """Flesch reading ease of collapsed prose whose words are counted already."""
     sentences = F.greatest(F.regexp_count(prose, F.lit("[.!?]+")), F.lit(1)).cast("double")
     score = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (syllables(prose) / n)
     return F.when(n >= 30, score)
 
 
+def reading(prose: Column) -> Column:
+    """Struct of the words of collapsed prose, counted by the spaces between them, and its reading ease."""
+    spaces = F.length(prose) - F.length(F.replace(prose, F.lit(" "), F.lit("")))
+    return let(
+        F.when(prose == "", 0).otherwise(spaces + 1),
+        lambda n: F.struct(n.alias("words"), ease_of(prose, n.cast("double")).alias("ease")),
+    )
+
+
 def round_half_up(c: Column) -> Column:
     """`Math.round`: halves go toward positive infinity."""
     return F.floor(c + F.lit(0.5))

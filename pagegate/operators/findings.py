@@ -35,8 +35,10 @@ class Listed(NamedTuple):
     rule_id: str
     section: str
     when: Column
-    items: Column
+    listed: Column
     detail: Callable[[Column], Column]
+    value: Callable[[Column], Column] | None = None
+    items: bool = True
 
 
 class Detector(NamedTuple):
@@ -66,8 +68,16 @@ def text(*parts) -> Column:
 
 def _finding(check_id: str, hit: Hit | Listed) -> Column:
     if isinstance(hit, Listed):
-        one = lambda its: _finding(check_id, Hit(hit.rule_id, hit.section, F.size(its) > 0, hit.detail(its), "", its))
-        return let(F.when(hit.when, hit.items), one)
+        return let(
+            F.when(hit.when, hit.listed),
+            lambda x: _finding(
+                check_id,
+                Hit(
+                    hit.rule_id, hit.section, F.size(x) > 0, hit.detail(x), hit.value(x) if hit.value else "",
+                    x if hit.items else None,
+                ),
+            ),
+        )
     row = F.struct(
         as_col(hit.rule_id).alias("rule_id"),
         F.lit(check_id).alias("check_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagegate.functions import html as H
 from pagegate.functions.html import header
-from pagegate.functions.text import WS
+from pagegate.functions.text import WS, reading
 from pagegate.functions.urls import detect_env
 from pagegate.operators.detect_advisory import paragraph_words, rhythm
 from pagegate.operators.detect_static import located_images
@@ -51,21 +51,29 @@ def page_ctx(crawl: DataFrame, env: str | None = None) -> DataFrame:
         H.find_all(html, r"(?i)<h([1-6])\b", 1).alias("levels"),
         H.first_doctype(html).alias("doctype"),
         H.hidden_removed(html).alias("shown"),
+        F.lower(html).alias("html_lower"),
     )
     head, main, shown = F.col("head"), F.col("main"), F.col("shown")
     read = sliced.select(
         "*",
         H.visible_prose(shown).alias("visible"),
         H.strip_tags(main).alias("text"),
-        H.strip_tags(H.without_code(main)).alias("prose"),
         H.meta_content(head, "description").alias("description"),
         F.lower(F.coalesce(H.meta_content(head, "robots"), F.lit(""))).alias("robots"),
         F.regexp_extract(head, rf"(?i)<link\b[^>]*rel{WS}*={WS}*{Q}canonical{Q}[^>]*>", 0).alias("canonical_tag"),
         F.lower(header("x-robots-tag")).alias("x_robots"),
-        H.find_all(html, r"(?i)<input\b[^>]*>").alias("inputs"),
+        H.find_where(html, F.col("html_lower"), ("<input",), r"(?i)<input\b[^>]*>").alias("inputs"),
         H.find_all(html, r"(?i)<a\b[^>]*>").alias("anchors"),
         F.when(F.size("imgs") > 0, located_images(html)).alias("img_located"),
         rhythm(paragraph_words(H.paragraph_texts(shown))).alias("rhythm"),
     )
-    return read.select("*", F.lower("visible").alias("visible_lower"))
+    quotes = main.rlike(f"(?i)<(?:{'|'.join(H.QUOTING)})")
+    said = read.select(
+        "*",
+        F.lower("visible").alias("visible_lower"),
+        F.when(quotes, H.strip_tags(H.without_code(main))).otherwise(F.col("text")).alias("prose"),
+        H.matches(html, r"(?i)<(main|article)\b").alias("has_main"),
+    )
+    copy = F.when(F.col("prose") != "", F.col("prose")).otherwise(F.col("text"))
+    return said.select("*", F.lower("prose").alias("prose_lower"), F.when(F.col("has_main"), reading(copy)).alias("reading"))
 

@@ -17,7 +17,6 @@ from pagegate.operators.page_ctx import page_ctx
 from pagegate.plans import fixtures as X
 from pagegate.plans.page_rules import VISIBLE_CHECKS, rule_arms
 from pagegate.plans.sqltext import CTX, LIVE_CTX, VISIBLE_STEP, every, keep, q
-from pagegate.session import cut_lineage
 
 C = F.col
 EXCLUDED = ("SEO-003", "SEC-011", "FORM-001", "FORM-002", "FORM-900", "FUNC-001")
@@ -37,8 +36,8 @@ def _site_findings(spark, d):
     )
 
 
-def _audit(spark, d, skip=()):
-    return A.audit(X.crawl(spark, d), _site_findings(spark, d), X.check_failures(spark, d), skip)
+def _audit(spark, d, skip=(), advisory=False):
+    return A.audit(X.crawl(spark, d), _site_findings(spark, d), X.check_failures(spark, d), skip, advisory)
 
 
 def _numbered(spark, d):
@@ -62,12 +61,11 @@ def _forms(spark, d):
     return X.sites(spark, d).join(f, ["site", "scan_id"], "left").fillna(0, ["forms"]).select("site", "scan_id", "forms")
 
 
-def _full_rows(spark, d):
-    a = _audit(spark, d)
-    crawl = X.crawl(spark, d)
-    advisory = cut_lineage(A.advisory_findings(crawl))
-    merged = a.rows.unionByName(A.advisory_rows(a.rows, advisory, copy_words(page_ctx(crawl, "live"))))
-    return cut_lineage(merged.unionByName(W.manual_rows(_forms(spark, d)))), a
+def _merged_rows(spark, d):
+    """Rows of the audit and of the advisory rules, from one pass over the pages. Rows for a person count in no score
+    and name no further site, so they are not asked for; neither are the words of a site, which stand in details alone."""
+    a = _audit(spark, d, advisory=True)
+    return a.rows.unionByName(A.advisory_rows(a.rows, a.advisory))
 
 
 def _advisory_rows(spark, d):
@@ -137,7 +135,7 @@ def queries():
             "site", "rule_id", "suite", "status", "occurrences", "pages"
         ),
         "manual_rows": lambda s, d: W.manual_rows(_forms(s, d)).select("site", "suite", "name", "rule_id", "status"),
-        "merged_score": lambda s, d: S.overall_score(S.suite_scores(_full_rows(s, d)[0])).drop("scan_id"),
+        "merged_score": lambda s, d: S.overall_score(S.suite_scores(_merged_rows(s, d))).drop("scan_id"),
         "rule_enrichment": lambda s, d: R.enrich(A.gate_findings(X.crawl(s, d))).groupBy("suite", "severity", "tier").agg(
             F.count("*").alias("n"), F.sum("deduction").alias("points")
         ),
